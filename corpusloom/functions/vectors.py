@@ -38,8 +38,39 @@ def _ready(m: np.ndarray, metric: str) -> np.ndarray:
     return m
 
 
-class Nearest:
-    """Running k nearest rows of every query over the batches of one task.
+class TopK:
+    """Running k smallest (distance, id) of every query over the batches of one task."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.limit = np.full(queries, np.inf)
+        self.q = np.empty(0, np.int64)
+        self.d = np.empty(0, np.float64)
+        self.ids: np.ndarray | None = None
+
+    def push(self, q: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        if not len(q):
+            return
+        q, d = np.concatenate([self.q, q]), np.concatenate([self.d, d])
+        ids = ids if self.ids is None else np.concatenate([self.ids, ids])
+        order = np.lexsort((ids, d, q))
+        q = q[order]
+        first = np.searchsorted(q, q, side="left")
+        order = order[np.arange(len(q)) - first < self.k]
+        self.d, self.ids = d[order], ids[order]
+        self.q = q[np.arange(len(q)) - first < self.k]
+        count = np.bincount(self.q, minlength=len(self.limit))
+        last = np.cumsum(count) - 1
+        full = count == self.k
+        self.limit[full] = self.d[last[full]]
+
+    def columns(self, keys: list) -> list:
+        ids = [] if self.ids is None else self.ids.tolist()
+        return [[keys[i] for i in self.q], ids, self.d]
+
+
+class Nearest(TopK):
+    """Nearest rows by vector distance.
 
     Matrix products find candidates, with a margin for their rounding error; the candidates
     are then measured term by term. So the result is the exact top k, ordered by rounded
@@ -47,13 +78,10 @@ class Nearest:
     """
 
     def __init__(self, queries: np.ndarray, k: int, metric: str):
-        self.metric, self.k = metric, k
+        super().__init__(len(queries), k)
+        self.metric = metric
         self.queries = _ready(queries, metric)
         self.norms = np.einsum("ij,ij->i", self.queries, self.queries)
-        self.limit = np.full(len(queries), np.inf)
-        self.q = np.empty(0, np.int64)
-        self.d = np.empty(0, np.float64)
-        self.ids: np.ndarray | None = None
 
     def add(self, ids: np.ndarray, rows: np.ndarray, probe: np.ndarray | None = None) -> None:
         """Take in a batch; ``probe`` (queries by rows) limits which pairs count."""
@@ -81,36 +109,14 @@ class Nearest:
         if probe is not None:
             keep &= probe
         qi, ri = np.nonzero(keep)
-        if not len(qi):
-            return
-        d = np.concatenate(
-            [
-                self._measure(qi[at : at + _PAIRS], rows, ri[at : at + _PAIRS])
-                for at in range(0, len(qi), _PAIRS)
-            ]
-        )
-        kept = ids[ri]
-        self.q = np.concatenate([self.q, qi])
-        self.d = np.concatenate([self.d, d])
-        self.ids = kept if self.ids is None else np.concatenate([self.ids, kept])
-        self._cut()
-
-    def _measure(self, qi: np.ndarray, rows: np.ndarray, ri: np.ndarray) -> np.ndarray:
-        a, b = self.queries[qi], rows[ri]
+        for at in range(0, len(qi), _PAIRS):
+            q, r = qi[at : at + _PAIRS], ri[at : at + _PAIRS]
+            self.push(q, self._measure(self.queries[q], rows[r]), ids[r])
+
+    def _measure(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if self.metric == "l2":
             diff = a - b
             d = np.einsum("ij,ij->i", diff, diff)
         else:
             d = 1.0 - np.einsum("ij,ij->i", a, b)
         return np.round(d, DECIMALS) + 0.0
-
-    def _cut(self) -> None:
-        order = np.lexsort((self.ids, self.d, self.q))
-        q = self.q[order]
-        first = np.searchsorted(q, q, side="left")
-        order = order[np.arange(len(q)) - first < self.k]
-        self.q, self.d, self.ids = self.q[order], self.d[order], self.ids[order]
-        count = np.bincount(self.q, minlength=len(self.queries))
-        last = np.cumsum(count) - 1
-        full = count == self.k
-        self.limit[full] = self.d[last[full]]

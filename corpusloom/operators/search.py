@@ -133,8 +133,7 @@ def _scan(rows, queries, held, k, metric, id_col, query_id, probe=None) -> DataF
                 allowed = pairs[:, np.searchsorted(cells, batch.column(1).to_numpy())]
             best.add(ids, _matrix(batch.column(batch.num_columns - 1)), allowed)
         if best.ids is not None:
-            columns = [[keys[i] for i in best.q], best.ids.tolist(), best.d]
-            arrays = [pa.array(c, type=t) for c, t in zip(columns, types)]
+            arrays = [pa.array(c, type=t) for c, t in zip(best.columns(keys), types)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return rows.mapInArrow(task, schema)
@@ -162,10 +161,10 @@ def _grid(rows, queries, k, metric, id_col, vector_col, query_id, query_vector)
         if not len(q) or not len(r):
             return pd.DataFrame({query_id: [], id_col: [], "distance": []})
         best = Nearest(np.stack(q[query_vector].to_numpy()), k, metric)
-        best.add(r[id_col].to_numpy(), np.stack(r[vector_col].to_numpy()))
-        return pd.DataFrame(
-            {query_id: q[query_id].to_numpy()[best.q], id_col: best.ids, "distance": best.d}
-        )
+        ids = r[id_col].to_numpy()
+        best.add(ids.astype(str) if ids.dtype == object else ids, np.stack(r[vector_col].to_numpy()))
+        columns = best.columns(q[query_id].tolist())
+        return pd.DataFrame(dict(zip((query_id, id_col, "distance"), columns)))
 
     return (
         left.groupBy("block", "shard")
