@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom import constants as C
+from corpusloom.functions.text import batch_tier
 
 
 def chunk_stats(chunks: DataFrame, text_col: str = "content") -> DataFrame:
@@ -77,10 +78,6 @@ def gauges(events: DataFrame, labels: list[str], value: str, order: list[str]) -
 
 def batch_sizes(docs: DataFrame, source_col: str, id_col: str, text_col: str, first: int = 100) -> DataFrame:
     """Batch size per source from the mean length of its first texts."""
-    from pyspark.sql import Window
-
-    from corpusloom.functions.text import batch_tier
-
     w = Window.partitionBy(source_col).orderBy(id_col)
     head = docs.select(source_col, id_col, F.length(text_col).alias("_len"))
     head = head.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= first)
@@ -88,13 +85,16 @@ def batch_sizes(docs: DataFrame, source_col: str, id_col: str, text_col: str, fi
     return mean.withColumn("batch_size", batch_tier("mean_length").cast("bigint"))
 
 
+def allowed_calls(endpoint: str, limits: dict[str, int]):
+    pairs = [F.lit(x) for kv in limits.items() for x in kv]
+    return F.try_element_at(F.create_map(*pairs), F.col(endpoint)).cast("bigint")
+
+
 def rate_breaches(
-    requests: DataFrame, client: str, endpoint: str, ts: str, limits: dict[str, int]
+    requests: DataFrame, client: str, endpoint: str, ts: str, limits: dict[str, int], unit: str = "minute"
 ) -> DataFrame:
-    """Clients with more calls of an endpoint in a minute than its limit allows."""
-    minute = F.date_trunc("minute", F.col(ts).cast("timestamp")).alias("minute")
-    calls = requests.where(F.col(endpoint).isin(*limits)).groupBy(client, endpoint, minute)
-    pairs = [F.lit(x) for kv in limits.items() for x in kv]
-    limit = F.try_element_at(F.create_map(*pairs), F.col(endpoint))
-    out = calls.agg(F.count("*").alias("calls")).withColumn("allowed", limit.cast("bigint"))
+    """Clients with more calls of an endpoint in a fixed window than its limit allows."""
+    start = F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz").alias("window_start")
+    calls = requests.where(F.col(endpoint).isin(*limits)).groupBy(client, endpoint, start)
+    out = calls.agg(F.count("*").alias("calls")).withColumn("allowed", allowed_calls(endpoint, limits))
     return out.where(F.col("calls") > F.col("allowed"))
