@@ -1,2 +1,103 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Registered queries over text embedding and ranking by terms."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom import constants as C
+from corpusloom.functions.text import embedding_key
+from corpusloom.operators import embedding
+from corpusloom.plans.flows import search_texts
+from corpusloom.plans.tables import documents, table
+from corpusloom.session import written
+
+
+def _docs(spark, sf_dir):
+    return documents(spark, sf_dir, "doc_id", "source").withColumnRenamed("content", "text")
+
+
+def term_topk(spark, sf_dir):
+    """All benchmark texts as questions over all documents."""
+    asked = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query_text")
+    )
+    out = embedding.term_search(_docs(spark, sf_dir), asked, 5)
+    return out.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
+
+
+def document_frequencies(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select(F.explode(embedding.terms("text")).alias("term"))
+    return embedding.document_frequencies(_docs(spark, sf_dir), words.distinct())
+
+
+def _embedded(spark, sf_dir):
+    """All documents, with a cache that knows the texts of the labelled ones."""
+    docs = _docs(spark, sf_dir)
+    model = embedding.fit_vectoriser(docs)
+    vectoriser = lambda frame: embedding.vectorise(frame, model)
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    known = vectoriser(labelled.select("text").distinct()).select(
+        embedding_key("text").alias("key"), "embedding"
+    )
+    # Texts that differ only in case or outer space share a key.
+    cache = written(known.groupBy("key").agg(F.first("embedding").alias("embedding")), "embedding-cache")
+    return embedding.embed_with_cache(docs, cache, vectoriser)
+
+
+def hashed_embed(spark, sf_dir):
+    rows, _ = _embedded(spark, sf_dir)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return rows.select(
+        "doc_id", F.size("embedding").cast("bigint").alias("dims"), F.round(norm, 4).alias("norm")
+    )
+
+
+def embed_new_entries(spark, sf_dir):
+    """What the cache gains: one entry for every distinct text it did not know."""
+    _, new = _embedded(spark, sf_dir)
+    return new.select("key", "text_length")
+
+
+def text_search(spark, sf_dir):
+    """Question texts to hits: normalise, expand, embed, search."""
+    docs = _docs(spark, sf_dir)
+    model = embedding.fit_vectoriser(docs)
+    vectors = embedding.vectorise(docs.select("doc_id", "text"), model).select("doc_id", "embedding")
+    asked = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("question")
+    )
+    hits = search_texts(vectors, asked, model, C.DEFAULT_SEARCH_K, id_col="doc_id")
+    return hits.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (
+    term_topk, document_frequencies, hashed_embed, embed_new_entries, text_search,
+)}
+
+_TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_KEY = f"sha256('default:' || lower(trim(text, {_WS})))"
+
+ORACLE = {
+    "term_topk": f"""WITH dt AS (SELECT doc_id, term, 1 + ln(count(*)) AS w
+  FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY doc_id, term),
+norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM dt GROUP BY doc_id),
+dfs AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
+qt AS (SELECT query_id, t.term, (1 + ln(tf)) * ln((SELECT count(*) FROM documents)::DOUBLE / df) AS w
+  FROM (SELECT item_id AS query_id, term, count(*) AS tf
+        FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL) t JOIN dfs ON t.term = dfs.term),
+qn AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM qt GROUP BY query_id),
+scored AS (SELECT qt.query_id, dt.doc_id, round(sum(qt.w * dt.w) / any_value(qn.norm * norms.norm), 9) AS score
+  FROM qt JOIN dt ON qt.term = dt.term JOIN qn ON qn.query_id = qt.query_id JOIN norms ON norms.doc_id = dt.doc_id
+  GROUP BY qt.query_id, dt.doc_id)
+SELECT query_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 5""",
+    "document_frequencies": f"""SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents)
+WHERE term IN (SELECT unnest({_TERMS}) FROM benchmark) GROUP BY term""",
+    "hashed_embed": f"SELECT doc_id, {C.EMBEDDING_DIM}::BIGINT AS dims, 1.0::DOUBLE AS norm FROM documents",
+    "embed_new_entries": f"""WITH k AS (SELECT doc_id, {_KEY} AS key, text FROM documents)
+SELECT key, arg_min(length(text), doc_id)::BIGINT AS text_length FROM k
+WHERE key NOT IN (SELECT key FROM k WHERE doc_id IN (SELECT doc_id FROM labels))
+GROUP BY key HAVING arg_min(length(text), doc_id) >= 5""",
+}

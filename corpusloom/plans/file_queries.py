@@ -1,2 +1,192 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Registered queries over extraction: the documents are turned into files of many formats, in
+the columns of the binary file source, and extracted again."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from corpusloom import constants as C
+from corpusloom.operators import chunking, stats
+from corpusloom.plans.tables import documents
+from corpusloom.session import scratch_path
+from corpusloom.sources import files
+
+RTF = "concat('{rtf1\\ansi\\deff0 ', {t}, '\\par \\b0}')"
+
+
+def _text_files(spark, sf_dir):
+    """UTF-8 text, Latin-1 markdown, RTF, and a format nobody knows, by language."""
+    docs = documents(spark, sf_dir, "doc_id", "lang")
+    rtf = F.concat(F.lit("{\\rtf1\\ansi\\deff0 "), "content", F.lit("\\par \\b0}"))
+    suffix = F.when(F.col("lang") == "en", ".txt").when(F.col("lang") == "fr", ".MD").when(
+        F.col("lang") == "de", ".rtf"
+    ).otherwise(".xyz")
+    data = F.when(F.col("lang") == "fr", F.encode("content", "ISO-8859-1")).when(
+        F.col("lang") == "de", F.encode(rtf, "UTF-8")
+    ).otherwise(F.encode("content", "UTF-8"))
+    path = F.concat(F.lit("/in/doc_"), F.col("doc_id").cast("string"), suffix)
+    return docs.select("doc_id", path.alias("path"), data.alias("content"))
+
+
+def extract_text_files(spark, sf_dir):
+    out = files.extract(_text_files(spark, sf_dir))
+    return out.select("doc_id", "filename", "file_type", "format", "content", "success", "error", "encoding")
+
+
+def rtf_text(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id")
+    rtf = F.concat(F.lit("{\\rtf1\\ansi\\deff0 "), F.replace("content", F.lit("\n"), F.lit("\\par ")), F.lit("\\b0}"))
+    return docs.select("doc_id", files.rtf_text(rtf).alias("content"))
+
+
+def extract_summary(spark, sf_dir):
+    out = files.extract(_text_files(spark, sf_dir))
+    return stats.ingest_summary(out, by=["file_type"])
+
+
+def file_gate(spark, sf_dir):
+    """Known and unknown suffixes, and content with a NUL byte for one of the languages."""
+    raw = _text_files(spark, sf_dir).withColumn(
+        "content", F.when(F.endswith("path", F.lit(".rtf")), F.concat("content", F.lit(bytearray(b"\x00")))).otherwise(F.col("content"))
+    )
+    return files.gate(raw).select("doc_id", "problem")
+
+
+def supported_formats(spark, sf_dir):
+    """Documents whose file has a supported format."""
+    out = _text_files(spark, sf_dir).select("doc_id", files.file_extension("path").alias("file_type"))
+    return out.join(F.broadcast(files.supported_formats(spark)), "file_type").select("doc_id", "file_type", "format")
+
+
+def _pack(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, text in parts.items():
+            book.writestr(name, text)
+    return out.getvalue()
+
+
+def _office(kind: str, text: str) -> bytes:
+    """A minimal office file with one paragraph, slide or row per line of the text."""
+    lines = [escape(line) for line in text.split("\n")]
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    if kind == "docx":
+        w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        body = "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in lines)
+        table = "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+        return _pack({"word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{body}{table}</w:body></w:document>'})
+    if kind == "odt":
+        t = "urn:oasis:names:tc:opendocument:xmlns:text:1.0"
+        return _pack({"content.xml": f'<d xmlns:t="{t}">' + "".join(f"<t:p>{x}</t:p>" for x in lines) + "</d>"})
+    if kind == "pptx":
+        a, p = (f"http://schemas.openxmlformats.org/{x}/2006/main" for x in ("drawingml", "presentationml"))
+        parts = {
+            f"ppt/slides/slide{i}.xml": f'<p:sld xmlns:p="{p}" xmlns:a="{a}"><p:cSld><p:spTree><p:sp><p:txBody><a:p><a:r><a:t>{x}</a:t></a:r></a:p></p:txBody></p:sp></p:spTree></p:cSld></p:sld>'
+            for i, x in enumerate(lines, 1)
+        }
+        ids = "".join(f'<p:sldId id="{255 + i}" r:id="rId{i}"/>' for i in range(1, len(lines) + 1))
+        rels = "".join(f'<Relationship Id="rId{i}" Target="slides/slide{i}.xml"/>' for i in range(1, len(lines) + 1))
+        parts["ppt/presentation.xml"] = f'<p:presentation xmlns:p="{p}" xmlns:r="{rel}"><p:sldIdLst>{ids}</p:sldIdLst></p:presentation>'
+        parts["ppt/_rels/presentation.xml.rels"] = f"<Relationships>{rels}</Relationships>"
+        return _pack(parts)
+    s = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rows = '<row r="1"><c r="A1" t="inlineStr"><is><t>line</t></is></c><c r="B1" t="inlineStr"><is><t>n</t></is></c></row>' + "".join(
+        f'<row r="{i}"><c r="A{i}" t="inlineStr"><is><t>{x}</t></is></c><c r="B{i}"><v>{i}</v></c></row>' for i, x in enumerate(lines, 2)
+    )
+    return _pack({
+        "xl/workbook.xml": f'<workbook xmlns="{s}" xmlns:r="{rel}"><sheets><sheet name="Lines" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{s}"><sheetData>{rows}</sheetData></worksheet>',
+    })
+
+
+def _office_files(spark, sf_dir):
+    pack = F.pandas_udf(
+        lambda kinds, texts: pd.Series([_office(k, t) for k, t in zip(kinds, texts)]), "binary"
+    )
+    kind = F.when(F.col("lang") == "en", "docx").when(F.col("lang") == "fr", "odt").when(
+        F.col("lang") == "de", "pptx"
+    ).otherwise("xlsx")
+    docs = documents(spark, sf_dir, "doc_id", "lang").withColumn("kind", kind)
+    path = F.concat(F.lit("/in/doc_"), F.col("doc_id").cast("string"), F.lit("."), "kind")
+    return docs.select("doc_id", path.alias("path"), pack("kind", "content").alias("content"))
+
+
+def extract_office_files(spark, sf_dir):
+    """Text of packed documents; of a workbook only the counts (its preview is laid out)."""
+    out = files.extract(_office_files(spark, sf_dir))
+    number = lambda name: F.try_element_at("stats", F.lit(name))
+    return out.select(
+        "doc_id", "format", "success",
+        F.when(F.col("format") != "excel", F.col("content")).alias("content"),
+        F.coalesce(number("paragraphs"), number("slides"), F.get("sheets", F.lit(0))["rows"]).alias("parts"),
+        F.coalesce(number("tables"), number("total_sheets")).alias("tables"),
+    )
+
+
+def csv_profile(spark, sf_dir):
+    """Every document as a CSV file with one row per line."""
+    docs = documents(spark, sf_dir, "doc_id", "source")
+    lines = F.transform(F.split("content", "\n"), lambda x, i: F.concat(i.cast("string"), F.lit(","), F.length(x).cast("string")))
+    body = F.concat(F.lit("n,chars\n"), F.array_join(lines, "\n"), F.lit("\n"))
+    path = F.concat(F.lit("/in/doc_"), F.col("doc_id").cast("string"), F.lit(".csv"))
+    raw = docs.select("doc_id", path.alias("path"), F.encode(body, "UTF-8").alias("content"))
+    out = files.extract(raw)
+    return out.select(
+        "doc_id", F.try_element_at("stats", F.lit("rows")).alias("rows"),
+        F.try_element_at("stats", F.lit("columns")).alias("columns"),
+        F.array_join("column_names", ",").alias("column_names"),
+        F.element_at(F.split("content", "\n"), 1).alias("first_line"),
+        F.contains("content", F.lit("more rows")).alias("cut"),
+    )
+
+
+def saved_chunks(spark, sf_dir):
+    """Chunks written as JSON with their statistics and read back."""
+    chunks = chunking.fixed_windows(documents(spark, sf_dir, "doc_id")).select("doc_id", "chunk_position", "chunk_id", "word_count", "content")
+    path = scratch_path(spark, "saved")
+    files.save_chunks(chunks, path)
+    return files.load_chunks(spark, path, chunks.schema)
+
+
+QUERIES = {f.__name__: f for f in (
+    extract_text_files, rtf_text, extract_summary, file_gate, supported_formats, extract_office_files,
+    csv_profile, saved_chunks,
+)}
+
+_RTF = "replace(regexp_replace(regexp_replace({0}, '\\\\[a-z]+\\d*\\s?', '', 'g'), '[{{}}]', '', 'g'), '\\', '')"
+_KIND = "CASE lang WHEN 'en' THEN '.txt' WHEN 'fr' THEN '.MD' WHEN 'de' THEN '.rtf' ELSE '.xyz' END"
+_WIN = "regexp_matches(text, '[^\\x00-\\x7f]')"
+_LINES = "string_split(text, chr(10))"
+_WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+ORACLE = {
+    "extract_text_files": f"""SELECT doc_id, 'doc_' || doc_id || {_KIND} AS filename, lower({_KIND}) AS file_type,
+  CASE lang WHEN 'en' THEN 'text' WHEN 'fr' THEN 'text' WHEN 'de' THEN 'rtf' END AS format,
+  CASE lang WHEN 'en' THEN text WHEN 'fr' THEN text WHEN 'de' THEN {_RTF.format("'{\\rtf1\\ansi\\deff0 ' || text || '\\par \\b0}'")} ELSE '' END AS content,
+  lang IN ('en', 'fr', 'de') AS success, CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'Unsupported format: .xyz' END AS error,
+  CASE WHEN lang = 'fr' AND {_WIN} THEN 'latin-1' END AS encoding FROM documents""",
+    "rtf_text": f"SELECT doc_id, {_RTF.format(chr(39) + '{' + chr(92) + 'rtf1' + chr(92) + 'ansi' + chr(92) + 'deff0 ' + chr(39) + ' || replace(text, chr(10), ' + chr(39) + chr(92) + 'par ' + chr(39) + ') || ' + chr(39) + chr(92) + 'b0}' + chr(39))} AS content FROM documents",
+    "extract_summary": f"""SELECT lower({_KIND}) AS file_type, count(*) AS documents, count(*) FILTER (lang IN ('en', 'fr', 'de')) AS succeeded,
+  count(*) FILTER (lang NOT IN ('en', 'fr', 'de')) AS failed FROM documents GROUP BY ALL""",
+    "file_gate": "SELECT doc_id, CASE lang WHEN 'en' THEN NULL WHEN 'fr' THEN NULL WHEN 'de' THEN 'bad_content' ELSE 'unsupported_type' END AS problem FROM documents",
+    "supported_formats": f"""SELECT doc_id, lower({_KIND}) AS file_type, CASE lang WHEN 'de' THEN 'rtf' ELSE 'text' END AS format
+FROM documents WHERE lang IN ('en', 'fr', 'de')""",
+    "extract_office_files": f"""SELECT doc_id, CASE lang WHEN 'en' THEN 'docx' WHEN 'fr' THEN 'odt' WHEN 'de' THEN 'powerpoint' ELSE 'excel' END AS format, true AS success,
+  CASE lang
+    WHEN 'en' THEN array_to_string(list_append(list_filter({_LINES}, lambda x: trim(x, {_WS}) <> ''), chr(10) || '[Table]' || chr(10) || 'a | b'), chr(10) || chr(10))
+    WHEN 'fr' THEN array_to_string(list_filter(list_transform({_LINES}, lambda x: trim(x, {_WS})), lambda x: x <> ''), chr(10))
+    WHEN 'de' THEN array_to_string(list_transform({_LINES}, lambda x, i: chr(10) || '[Slide ' || i || ']' || CASE WHEN trim(x, {_WS}) <> '' THEN chr(10) || trim(x, {_WS}) ELSE '' END), chr(10)) END AS content,
+  CASE WHEN lang <> 'fr' THEN len({_LINES}) END AS parts, CASE WHEN lang = 'en' THEN 1 WHEN lang NOT IN ('fr', 'de') THEN 1 END::BIGINT AS tables FROM documents""",
+    "csv_profile": f"""SELECT doc_id, len({_LINES}) AS rows, 2::BIGINT AS columns, 'n,chars' AS column_names,
+  'CSV Data with ' || len({_LINES}) || ' rows and 2 columns' AS first_line, len({_LINES}) > 10 AS cut FROM documents""",
+    "saved_chunks": f"""WITH w AS (SELECT doc_id, text, unnest(range(greatest(0, length(text) - 201) // 800 + 1)) AS i FROM documents WHERE text <> '')
+SELECT doc_id, i AS chunk_position, substring(md5(p || i), 1, 16) AS chunk_id,
+  len(list_filter(string_split_regex(p, '\\s+'), lambda w: w <> ''))::BIGINT AS word_count, trim(p, {_WS}) AS content
+FROM (SELECT *, substring(text, i * 800 + 1, 1000) AS p FROM w)""",
+}

@@ -1,2 +1,79 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Registered streaming queries: the tables are read as streams until nothing is left, and the
+resulting tables are the results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.plans.metric_queries import DAY_LIMITS
+from corpusloom.plans.tables import table
+from corpusloom.session import scratch_path
+from corpusloom.streaming import ingest, monitor, sink
+
+
+def _stream(spark, sf_dir, name):
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def _run(spark, stream, keys, mode="update"):
+    path, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "state")
+    sink.write_batches(stream, path, checkpoint, mode).awaitTermination()
+    return sink.read_latest(spark, path, stream.schema, keys)
+
+
+def _events(spark, sf_dir):
+    events = _stream(spark, sf_dir, "events").withColumn("seconds", F.col("value") / 100)
+    return monitor.timed(events.withColumnRenamed("event_type", "endpoint"))
+
+
+def stream_hourly_counts(spark, sf_dir):
+    counts = monitor.windowed_counts(_events(spark, sf_dir), ["endpoint"])
+    return _run(spark, counts, ["window_start", "endpoint"])
+
+
+def stream_latency(spark, sf_dir):
+    latency = monitor.windowed_latency(_events(spark, sf_dir), ["endpoint"], "seconds", "1 day")
+    return _run(spark, latency, ["window_start", "endpoint"]).withColumn("sum", F.round("sum", 4))
+
+
+def stream_rate_breaches(spark, sf_dir):
+    found = monitor.breaches(_events(spark, sf_dir), "user_id", "endpoint", DAY_LIMITS, "1 day")
+    return _run(spark, found, ["window_start", "user_id", "endpoint"])
+
+
+def stream_ingest(spark, sf_dir):
+    """Documents arrive as a stream and end up as chunks in a table."""
+    docs = _stream(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("title"), "doc_id", "source", F.col("text").alias("content")
+    )
+    chunks = ingest.document_chunks(docs)
+    out = _run(spark, chunks, ["id"], "append")
+    return out.select("id", "doc_id", "source", "chunk_position", "total_chunks", "chunk_id", "content")
+
+
+QUERIES = {f.__name__: f for f in (stream_hourly_counts, stream_latency, stream_rate_breaches, stream_ingest)}
+
+
+def _ingest_sql() -> str:
+    from corpusloom.plans.chunk_queries import RECURSIVE
+    from corpusloom.plans.split_sql import chunk_select
+
+    return RECURSIVE + f"""SELECT 'upload_doc_' || doc_id || '_' || chunk_position AS id, doc_id, source, chunk_position, total_chunks, chunk_id, content
+FROM ({chunk_select('plain')})"""
+
+
+_ALLOWED = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in DAY_LIMITS.items()) + " END"
+_BUCKETS = ", ".join(
+    f"count(*) FILTER (value / 100 <= {b}) AS " + f"le_{b}".replace(".", "_")
+    for b in (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+)
+
+ORACLE = {
+    "stream_hourly_counts": "SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type AS endpoint, count(*) AS total FROM events GROUP BY ALL",
+    "stream_latency": f"""SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type AS endpoint, {_BUCKETS},
+  count(*) AS "count", round(sum(value / 100), 4) AS "sum" FROM events GROUP BY ALL""",
+    "stream_rate_breaches": f"""SELECT * FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, user_id, event_type AS endpoint, count(*) AS calls,
+  any_value({_ALLOWED})::BIGINT AS allowed FROM events GROUP BY ALL) WHERE calls > allowed""",
+    "stream_ingest": _ingest_sql(),
+}
