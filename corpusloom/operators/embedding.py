@@ -153,7 +153,7 @@ def _score_block(docs, queries, k, id_col, text_col, query_id, query_text) -> Da
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             ids = ids.astype(str) if ids.dtype == object else ids
             for row, words in enumerate(batch.column(1).to_pylist()):
-                counts = Counter(words)
+                counts = Counter(words.split(" ")) if words else Counter()
                 norm = math.sqrt(sum((1.0 + math.log(n)) ** 2 for n in counts.values()))
                 score = np.zeros(len(keys))
                 for word in counts.keys() & packed.keys():
@@ -173,4 +173,6 @@ def _score_block(docs, queries, k, id_col, text_col, query_id, query_text) -> Da
             names=[query_id, id_col, "_cost"],
         )
 
-    return docs.select(id_col, terms(text_col).alias("_terms")).mapInArrow(task, schema)
+    # One string per document travels to Python far faster than a list of strings.
+    words = F.array_join(terms(text_col), " ").alias("_terms")
+    return docs.select(id_col, words).mapInArrow(task, schema)

@@ -24,8 +24,8 @@ from pyspark.sql.types import StructType
 from corpusloom import constants as C
 from corpusloom.functions.predicates import apply_filter
 from corpusloom.functions.text import similarity
-from corpusloom.functions.vectors import METRICS, Nearest, distance
-from corpusloom.session import written
+from corpusloom.functions.vectors import METRICS, Nearest
+from corpusloom.session import scratch_path, written
 
 # Bounds on what is sent to every task.
 MAX_BROADCAST_QUERIES = 4096
@@ -187,19 +187,52 @@ def with_content(hits: DataFrame, collection: DataFrame, id_col: str = "id") ->
 
 # --- cells: an index written as a partitioned table ---------------------------------------------
 
+# Rows that the cell centres are fitted on at most. Centres only steer which cells are read:
+# an exact search is exact with any centres.
+TRAIN_ROWS = 2_000_000
+
 
 def build_cells(
-    collection: DataFrame, cells: int, vector_col: str = "embedding", seed: int = 7
+    collection: DataFrame, cells: int, path: str | None = None, id_col: str = "id",
+    vector_col: str = "embedding", seed: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
-    """(cell centres, collection with a ``cell`` column). Write the second one partitioned by
-    ``cell`` and a search reads only the cells that can matter."""
-    featured = collection.withColumn("_v", array_to_vector(F.col(vector_col).cast("array<double>")))
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="_v", predictionCol="cell").fit(featured)
-    centres = collection.sparkSession.createDataFrame(
-        [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())],
-        "cell int, centre array<double>",
+    """(cell, centre, radius) and the collection with its ``cell``, written partitioned by it.
+
+    A search then reads only the cells that can matter. The rebalance hint lets adaptive
+    execution split a cell that holds very many rows over several tasks and files.
+    """
+    spark = collection.sparkSession
+    rows = collection.where(F.col(vector_col).isNotNull())
+    featured = rows.withColumn("_v", array_to_vector(F.col(vector_col).cast("array<double>")))
+    share = min(1.0, TRAIN_ROWS / max(1, rows.count()))
+    train = featured.select("_v") if share == 1.0 else featured.select("_v").sample(share, seed=seed)
+    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="_v", predictionCol="cell").fit(train)
+    middles = np.array([c for c in model.clusterCenters()])
+    target = path or scratch_path(spark, "cells")
+    indexed = model.transform(featured).drop("_v")
+    indexed.hint("rebalance", "cell").write.partitionBy("cell").parquet(target)
+    stored = spark.read.schema(indexed.schema).parquet(target)
+    shared = spark.sparkContext.broadcast(middles)
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = np.full(len(shared.value), -1.0)
+        for batch in batches:
+            if batch.num_rows:
+                cell = batch.column(0).to_numpy()
+                gap = _matrix(batch.column(1)).astype(np.float64) - shared.value[cell]
+                np.maximum.at(far, cell, np.sqrt(np.einsum("ij,ij->i", gap, gap)))
+        seen = np.nonzero(far >= 0)[0]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seen, pa.int32()), pa.array(far[seen])], names=["cell", "radius"]
+        )
+
+    far = stored.select("cell", vector_col).mapInArrow(reach, "cell int, radius double")
+    radius = dict(far.groupBy("cell").agg(F.max("radius")).collect())  # one row per cell
+    centres = spark.createDataFrame(
+        [(i, c.tolist(), radius.get(i, -1.0)) for i, c in enumerate(middles)],
+        "cell int, centre array<double>, radius double",
     )
-    return centres, model.transform(featured).drop("_v")
+    return centres, stored
 
 
 def nearest_in_cells(
@@ -252,11 +285,9 @@ def nearest_in_cells(
             r[0]: np.sqrt(r[2]) if r[1] >= k else np.inf
             for r in first.groupBy(query_id).agg(F.count("*"), F.max("distance")).collect()
         }
-        far = F.max(F.sqrt(distance(F.col(vector_col), F.col("centre"), "l2")))
-        radius = dict(rows.join(F.broadcast(centres), "cell").groupBy("cell").agg(far).collect())
-        radii = np.array([radius.get(int(c), -np.inf) for c in label])
+        radii = np.array([r["radius"] for r in known])
         bound = np.array([reach.get(r[0], np.inf) for r in held])
-        more = ~pairs & (gap <= radii[None, :] + bound[:, None] + 1e-6)
+        more = ~pairs & (radii >= 0) & (gap <= radii + bound[:, None] + 1e-6)
         found = first.unionByName(probed(more)) if more.any() else first
     ranked = best_k(found, query_id, ["distance", id_col], k)
     return ranked.withColumn("score", similarity("distance")).select(

@@ -45,9 +45,14 @@ def rows_written(new: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def write_collection(rows: DataFrame, label: str = "chunks", by: list[str] | None = None) -> str:
-    """Write a chunk table to a fresh path and return it: readers move over when they choose."""
+    """Write a chunk table to a fresh path and return it: readers move over when they choose.
+
+    Partitioned by a column that filters name, a search reads only what its filter allows; a
+    value with very many rows is split over tasks and files.
+    """
     path = scratch_path(rows.sparkSession, label)
-    (rows.write.partitionBy(*by) if by else rows.write).parquet(path)
+    writer = rows.hint("rebalance", *by).write.partitionBy(*by) if by else rows.write
+    writer.parquet(path)
     return path
 
 

@@ -9,7 +9,7 @@ from corpusloom.functions.predicates import cacheable_response
 from corpusloom.functions.text import embedding_key, response_key
 from corpusloom.operators import caches
 from corpusloom.plans.tables import table
-from corpusloom.session import scratch_path
+from corpusloom.session import scratch_path, written
 
 NOW = "2024-01-02 00:00:00"
 TTL = 43200
@@ -73,19 +73,24 @@ def _access_log(spark, sf_dir):
     )
 
 
+def _stored_cache(spark, sf_dir):
+    """A cache is a stored table: eviction reads it several times."""
+    return written(_access_log(spark, sf_dir), "cache")
+
+
 def lru_keep(spark, sf_dir):
-    kept = caches.keep_recent(_access_log(spark, sf_dir), C.RESPONSE_CACHE_SIZE)
+    kept = caches.keep_recent(_stored_cache(spark, sf_dir), C.RESPONSE_CACHE_SIZE)
     return kept.select("key", "value", "accessed_at")
 
 
 def bulk_evict(spark, sf_dir):
-    left = caches.evict_oldest(_access_log(spark, sf_dir), C.RESPONSE_CACHE_SIZE)
+    left = caches.evict_oldest(_stored_cache(spark, sf_dir), C.RESPONSE_CACHE_SIZE)
     return left.select("key", "value", "accessed_at")
 
 
 def cache_store(spark, sf_dir):
     """New entries from the labels, some of them under keys that exist: only new keys evict."""
-    cache = _access_log(spark, sf_dir).select("key", "value", "created_at", "accessed_at")
+    cache = _stored_cache(spark, sf_dir).select("key", "value", "created_at", "accessed_at")
     new = table(spark, sf_dir, "labels").select(
         F.sha2(F.col("doc_id").cast("string"), 256).alias("key"), F.col("quality").cast("double").alias("value"),
         F.expr("timestamp_ntz'2025-01-01 00:00:00'").alias("created_at"),

@@ -58,14 +58,14 @@ def knn_max_k(spark, sf_dir):
 def knn_cells_exact(spark, sf_dir):
     """Search over the cell index, with the cells that cannot hold a nearer row left out."""
     rows = _collection(spark, sf_dir)
-    centres, indexed = search.build_cells(rows, 16)
+    centres, indexed = search.build_cells(rows, 16, id_col="vec_id")
     hits = search.nearest_in_cells(indexed, centres, _questions(rows), K, 4, True, id_col="vec_id")
     return _shown(hits)
 
 
 def knn_cells_approx(spark, sf_dir):
     rows = _collection(spark, sf_dir)
-    centres, indexed = search.build_cells(rows, 16)
+    centres, indexed = search.build_cells(rows, 16, id_col="vec_id")
     return _shown(search.nearest_in_cells(indexed, centres, _questions(rows), K, 8, id_col="vec_id"))
 
 
