@@ -193,7 +193,7 @@ TRAIN_ROWS = 2_000_000
 
 
 def build_cells(
-    collection: DataFrame, cells: int, path: str | None = None, id_col: str = "id",
+    collection: DataFrame, cells: int, path: str | None = None,
     vector_col: str = "embedding", seed: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
     """(cell, centre, radius) and the collection with its ``cell``, written partitioned by it.

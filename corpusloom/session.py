@@ -53,11 +53,12 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; only where none is named, a temporary one is set."""
     named = spark.conf.get(CHECKPOINT_KEY, None)
-    if not named:
-        held = spark.sparkContext.getCheckpointDir()
-        named = held.rsplit("/", 1)[0] if held else tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set(CHECKPOINT_KEY, named)
-    return named
+    if named:
+        return named
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
