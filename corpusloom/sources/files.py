@@ -21,7 +21,8 @@ _PARSED = (
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a path as (path, modificationTime, length, content)."""
+    """Files below a path as (path, modificationTime, length, content). Files of zero length have
+    no content to extract, and the file source makes no row for them."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
 
