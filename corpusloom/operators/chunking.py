@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import constants as C
@@ -91,6 +91,19 @@ def chunk_documents(
     return chunks if keep_errors else chunks.drop("error")
 
 
+def register_sql(spark: SparkSession, name: str = "chunk_text") -> None:
+    """Table function for SQL: ``SELECT d.id, c.* FROM docs d, LATERAL chunk_text(d.content)``,
+    optionally with document type, size and overlap as further arguments."""
+
+    class ChunkText:
+        def eval(self, text: str, kind: str = None, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP):
+            for i, (what, piece) in enumerate(pieces(text, kind, size, overlap) if text else ()):
+                yield i, what, piece.strip()
+
+    made = F.udtf(ChunkText, returnType="chunk_position bigint, chunk_type string, content string")
+    spark.udtf.register(name, made)
+
+
 def fixed_windows(
     docs: DataFrame,
     size: int = C.CHUNK_SIZE,

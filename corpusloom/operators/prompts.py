@@ -150,13 +150,28 @@ def numbered_messages(messages: DataFrame, conversation: str = "conv_id", turn:
     return numbered(messages, conversation, turn, "message_no")
 
 
+def shown_sources(hits: DataFrame, n: int = C.CODE_CONTEXT_HITS) -> DataFrame:
+    """Lines naming the first sources of an answer (rank, title, technology of each hit)."""
+    line = F.concat(
+        F.lit("- **"), F.coalesce("title", F.lit("Untitled")), F.lit("** ("),
+        F.coalesce("technology", F.lit(C.DEFAULT_TECHNOLOGY)), F.lit(")"),
+    )
+    return hits.where(F.col("rank") <= n).withColumn("line", line)
+
+
 def transcripts(
-    messages: DataFrame, conversation: str = "conv_id", turn: str = "turn",
-    role: str = "role", text: str = "text", page_turns: int = 1000,
+    messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role",
+    text: str = "text", sources: str | None = None, page_turns: int = 1000,
 ) -> DataFrame:
     """Conversation text, one row per page of ``page_turns`` turns, so that a row and a group
-    stay bounded however long a conversation gets; all usual ones have a single page."""
+    stay bounded however long a conversation gets; all usual ones have a single page. With
+    ``sources`` (array of titles) every message is followed by the titles it rests on."""
     line = F.concat(F.col(role), F.lit(": "), F.col(text))
+    if sources:
+        titles = F.transform(
+            sources, lambda t: F.concat(F.lit("\n- "), F.coalesce(t, F.lit("Unknown")))
+        )
+        line = F.concat(line, F.coalesce(F.array_join(titles, ""), F.lit("")))
     page = F.floor(F.col(turn) / F.lit(page_turns)).cast("bigint").alias("page")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("_t"), line.alias("_line"))))
     return messages.groupBy(conversation, page).agg(

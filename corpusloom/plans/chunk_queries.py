@@ -91,9 +91,16 @@ def chunk_counts(spark, sf_dir):
     return stats.chunk_counts(corpus_chunks(spark, sf_dir))
 
 
+def sql_chunks(spark, sf_dir):
+    """The chunker as a table function, from SQL."""
+    chunking.register_sql(spark)
+    documents(spark, sf_dir).createOrReplaceTempView("chunk_input")
+    return spark.sql("SELECT doc_id, chunk_position, chunk_type, c.content FROM chunk_input, LATERAL chunk_text(content) c")
+
+
 QUERIES = {f.__name__: f for f in (
     recursive_chunks, mixed_chunks, api_chunks, corpus_chunks, fixed_chunks, capped_chunks,
-    fence_segments, header_sections, chunk_stats, chunk_counts,
+    fence_segments, header_sections, chunk_stats, chunk_counts, sql_chunks,
 )}
 
 
@@ -176,6 +183,7 @@ _FIXED = _WINDOWS.format(o=OVERLAP, step=SIZE - OVERLAP)
 
 ORACLE = {
     "recursive_chunks": RECURSIVE + chunk_select("plain"),
+    "sql_chunks": RECURSIVE + f"SELECT doc_id, chunk_position, chunk_type, content FROM ({chunk_select('plain')})",
     "mixed_chunks": MIXED_SQL + chunk_select("mixed"),
     "api_chunks": API_SQL + chunk_select("api"),
     "corpus_chunks": CORPUS_SQL + chunk_select("everything"),

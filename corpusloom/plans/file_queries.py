@@ -154,9 +154,28 @@ def saved_chunks(spark, sf_dir):
     return files.load_chunks(spark, path, chunks.schema)
 
 
+def scraped_documents(spark, sf_dir):
+    """Documents as JSON array files of a bounded number of documents each, in two folders, one
+    of them by another name in the list of sources, and one source that is not there."""
+    docs = documents(spark, sf_dir, "doc_id", "lang", "source").select(
+        F.floor(F.col("doc_id") / 500).cast("bigint").alias("part"), "lang",
+        F.struct(
+            F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), "content", "source",
+            F.col("doc_id").cast("double").alias("scraped_at"),
+        ).alias("doc"),
+    )
+    paths = []
+    for label, keep in (("first", F.col("lang") == "en"), ("second", F.col("lang") != "en")):
+        arrays = docs.where(keep).groupBy("part").agg(F.to_json(F.collect_list("doc")).alias("value"))
+        paths.append(scratch_path(spark, f"scraped-{label}"))
+        arrays.write.partitionBy("part").text(paths[-1])
+    found = files.read_scraped(spark, [paths[0], scratch_path(spark, "absent"), paths[1]])
+    return found.select("title", "content", "source", "doc_type", "scraped_at")
+
+
 QUERIES = {f.__name__: f for f in (
     extract_text_files, rtf_text, extract_summary, file_gate, supported_formats, extract_office_files,
-    csv_profile, saved_chunks,
+    csv_profile, saved_chunks, scraped_documents,
 )}
 
 _RTF = "replace(regexp_replace(regexp_replace({0}, '\\\\[a-z]+\\d*\\s?', '', 'g'), '[{{}}]', '', 'g'), '\\', '')"
@@ -166,6 +185,7 @@ _LINES = "string_split(text, chr(10))"
 _WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 ORACLE = {
+    "scraped_documents": """SELECT 'doc ' || doc_id AS title, text AS content, source, NULL::VARCHAR AS doc_type, doc_id::DOUBLE AS scraped_at FROM documents""",
     "extract_text_files": f"""SELECT doc_id, 'doc_' || doc_id || {_KIND} AS filename, lower({_KIND}) AS file_type,
   CASE lang WHEN 'en' THEN 'text' WHEN 'fr' THEN 'text' WHEN 'de' THEN 'rtf' END AS format,
   CASE lang WHEN 'en' THEN text WHEN 'fr' THEN text WHEN 'de' THEN {_RTF.format("'{\\rtf1\\ansi\\deff0 ' || text || '\\par \\b0}'")} ELSE '' END AS content,

@@ -13,7 +13,7 @@ from corpusloom.plans.tables import documents, pages, table
 
 # Request parameters spread over valid and invalid values, from columns of the events.
 K_ASKED = "CAST(CAST(floor({v}) AS BIGINT) % 130 AS BIGINT)"
-TEMPERATURE = "round({v} / 100, 2)"
+TEMPERATURE = "{v} / 100"
 TOKENS = "CAST(floor({v} * 20) AS BIGINT)"
 # Questions: benchmark texts, with blank, very long, padded and short ones among them.
 QUESTION = (

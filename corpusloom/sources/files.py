@@ -102,7 +102,7 @@ def supported_formats(spark: SparkSession) -> DataFrame:
 
 def read_scraped(spark: SparkSession, paths: list[str]) -> DataFrame:
     """JSON array files of documents from those paths that exist, concatenated."""
-    reader = spark.read.schema(SCRAPED).option("multiLine", True)
+    reader = spark.read.schema(SCRAPED).option("multiLine", True).option("recursiveFileLookup", True)
     out = spark.createDataFrame([], SCRAPED)
     for path in paths:
         try:

