@@ -21,7 +21,7 @@ from corpusloom import constants as C
 from corpusloom.functions.predicates import cacheable_text
 from corpusloom.functions.text import embedding_key
 from corpusloom.functions.vectors import DECIMALS, TopK
-from corpusloom.operators.joins import latest_per_key, lookup_join
+from corpusloom.operators.joins import SMALL_ROWS, lookup_join
 from corpusloom.operators.search import MAX_BROADCAST_QUERIES, best_k
 
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
@@ -65,12 +65,14 @@ def embed_with_cache(
     """(rows with key and embedding, new cache entries).
 
     Every distinct text is embedded once, and only when the cache (key, embedding) lacks it.
+    ``order_col`` is a unique id; of equal texts the one with the lowest id is embedded.
     Texts too short to be cached are embedded too, but not stored.
     """
     keyed = rows.withColumn("key", embedding_key(text_col, model))
-    wanted = keyed.select("key", text_col, order_col).withColumn("_o", -F.col(order_col))
-    wanted = latest_per_key(wanted, "key", "_o").drop("_o", order_col)
-    misses = wanted.join(cache.select("key"), "key", "left_anti")
+    # Keys are settled on narrow rows first; the texts that miss are then picked by their id.
+    first = keyed.groupBy("key").agg(F.min(order_col).alias(order_col))
+    missing = first.join(cache.select("key"), "key", "left_anti").select(order_col)
+    misses = keyed.join(missing, order_col, "left_semi").select("key", text_col)
     fresh = vectoriser(misses).select("key", text_col, "embedding")
     known = cache.select("key", "embedding").unionByName(fresh.select("key", "embedding"))
     store = fresh.where(cacheable_text(text_col)).select(
@@ -126,8 +128,10 @@ def _score_block(docs, queries, k, id_col, text_col, query_id, query_text) -> Da
     asked = [(key, Counter(ts)) for key, ts in queries.select(query_id, terms(query_text)).collect()]
     size = docs.count()
     # Bounded by the block: the words of at most MAX_BROADCAST_QUERIES questions.
-    words = spark.createDataFrame([(t,) for t in {t for _, c in asked for t in c}], "term string")
-    frequency = dict(document_frequencies(docs, F.broadcast(words), text_col).collect())
+    words = [(t,) for t in {t for _, c in asked for t in c}]
+    listed = spark.createDataFrame(words, "term string")
+    listed = F.broadcast(listed) if len(words) <= SMALL_ROWS else listed
+    frequency = dict(document_frequencies(docs, listed, text_col).collect())
     postings: dict[str, list[tuple[int, float]]] = {}
     for row, (_, counts) in enumerate(asked):
         weight = {

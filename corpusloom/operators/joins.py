@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import written
+
 HOT_SAMPLE = 0.01
 HOT_LIMIT = 1000  # keys that may be treated as hot: bounds what is broadcast
 HOT_ROWS = 1000  # sampled rows that make a key hot, about 100 000 rows in all
+SMALL_ROWS = 1_000_000  # narrow rows that may be broadcast
 CUT_ROWS = 100_000  # rows that may be sorted in one place
 _CUT_BUCKETS = 1000
 
@@ -20,10 +23,32 @@ def hot_keys(rows: DataFrame, key: str) -> list:
     return [r[0] for r in many.orderBy(F.desc("count")).limit(HOT_LIMIT).collect()]
 
 
+def small_side(rows: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """A narrow side of a join, written down and counted: broadcast only when it is small.
+
+    Left to itself a join against a table of any size would start to shuffle that table before
+    the size of this side is known.
+    """
+    kept = written(rows, label)
+    count = kept.count()
+    return (F.broadcast(kept) if count <= SMALL_ROWS else kept), count
+
+
+def _splits_skew(rows: DataFrame) -> bool:
+    conf = rows.sparkSession.conf
+    return all(
+        conf.get(f"spark.sql.adaptive.{name}") == "true" for name in ("enabled", "skewJoin.enabled")
+    )
+
+
 def lookup_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """``rows`` left-joined to a table with unique ``key``. Rows of hot keys meet their at most
-    ``HOT_LIMIT`` table rows by broadcast and stay where they are; the others are shuffled."""
-    hot = hot_keys(rows, key)
+    """``rows`` left-joined to a table with unique ``key``.
+
+    A key with very many rows is split at run time by adaptive execution. Where that is switched
+    off, hot keys are found in a sample: their rows meet their at most ``HOT_LIMIT`` table rows
+    by broadcast and stay where they are, and only the others are shuffled.
+    """
+    hot = [] if _splits_skew(rows) else hot_keys(rows, key)
     if not hot:
         return rows.join(table, key, "left")
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

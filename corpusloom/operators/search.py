@@ -25,6 +25,7 @@ from corpusloom import constants as C
 from corpusloom.functions.predicates import apply_filter
 from corpusloom.functions.text import similarity
 from corpusloom.functions.vectors import METRICS, Nearest
+from corpusloom.operators.joins import small_side
 from corpusloom.session import scratch_path, written
 
 # Bounds on what is sent to every task.
@@ -33,6 +34,8 @@ MAX_BROADCAST_BYTES = 64 << 20
 # Rows of one grid cell held by a task: queries per block, collection rows per shard.
 GRID_BLOCK = 1024
 GRID_SHARD = 200_000
+# Hits that are looked up by a list of ids.
+MAX_LISTED_IDS = 1000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -180,9 +183,13 @@ def label_means(vectors: DataFrame, label: str = "label", vector: str = "embeddi
 
 
 def with_content(hits: DataFrame, collection: DataFrame, id_col: str = "id") -> DataFrame:
-    """Put content and metadata on the hits: joined after the search, so that the search itself
-    reads two columns only."""
-    return hits.join(collection, id_col, "inner")
+    """Put content and metadata on the hits, after the search, so that the search itself reads
+    two columns only. Few hits become a filter on the ids, which lets the scan skip row groups."""
+    found, count = small_side(hits, "hits")
+    if count <= MAX_LISTED_IDS:
+        ids = [r[0] for r in found.select(id_col).distinct().collect()]
+        collection = collection.where(F.col(id_col).isin(ids))
+    return collection.join(found, id_col)
 
 
 # --- cells: an index written as a partitioned table ---------------------------------------------

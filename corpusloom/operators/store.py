@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import constants as C
 from corpusloom.functions.text import clean_metadata, clean_text, preview
-from corpusloom.operators.joins import latest_per_key
+from corpusloom.operators.joins import latest_per_key, small_side
 from corpusloom.session import scratch_path
 
 
@@ -31,9 +31,10 @@ def upsert(
     last = latest_per_key(new, id_col, seq_col).drop(seq_col)
     kept = existing
     if document_col:
-        # Documents of a batch repeat per chunk; one row each is enough for the anti-join.
-        kept = kept.join(last.select(document_col).distinct(), document_col, "left_anti")
-    kept = kept.join(last.select(id_col), id_col, "left_anti")
+        documents, _ = small_side(new.select(document_col).distinct(), "upsert-documents")
+        kept = kept.join(documents, document_col, "left_anti")
+    ids, _ = small_side(new.select(id_col).distinct(), "upsert-ids")
+    kept = kept.join(ids, id_col, "left_anti")
     return kept.unionByName(last, allowMissingColumns=True)
 
 

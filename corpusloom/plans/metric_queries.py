@@ -38,7 +38,7 @@ def token_totals(spark, sf_dir):
 
 
 def gauge_latest(spark, sf_dir):
-    return stats.gauges(requests(spark, sf_dir), ["endpoint"], "value", ["ts", "event_id"])
+    return stats.gauges(requests(spark, sf_dir), ["endpoint"], "value", "ts", "event_id")
 
 
 def rate_limit_breaches(spark, sf_dir):
