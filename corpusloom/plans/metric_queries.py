@@ -46,7 +46,7 @@ def rate_limit_breaches(spark, sf_dir):
 
 
 def rate_limits_by_minute(spark, sf_dir):
-    """The reference limits per minute, all users of an endpoint taken as one client."""
+    """A tenth of the default limits per minute, all users of an endpoint taken as one client."""
     kinds = F.when(F.col("endpoint") == "click", "search").when(F.col("endpoint") == "error", "upload").otherwise("query")
     calls = requests(spark, sf_dir).select(kinds.alias("endpoint"), "ts", F.lit("all").alias("client"))
     low = {k: v // 10 for k, v in C.RATE_LIMITS.items()}

@@ -18,7 +18,7 @@ TOKENS = "CAST(floor({v} * 20) AS BIGINT)"
 # Questions: benchmark texts, with blank, very long, padded and short ones among them.
 QUESTION = (
     "CASE WHEN item_id % 5 = 0 THEN concat('  ', {t}, chr(10), ' ') WHEN item_id % 5 = 1 THEN repeat({t}, 6) "
-    "WHEN item_id % 5 = 2 THEN concat(chr(9), ' ') WHEN item_id % 5 = 3 THEN substring({t}, 1, 8) ELSE {t} END"
+    "WHEN item_id % 5 = 2 THEN concat(chr(9), ' ') WHEN item_id % 5 = 3 THEN split_part({t}, ' ', 1) ELSE {t} END"
 )
 ROUTED = (
     "CASE WHEN doc_id % 4 = 0 THEN concat({t}, ' Python tutorial') WHEN doc_id % 4 = 1 THEN concat({t}, ' Django') ELSE {t} END"

@@ -10,10 +10,10 @@ from corpusloom.plans.tables import documents, pages, table
 from corpusloom.sources.web import ENTITIES, page_documents, web_hits
 
 N = C.WEB_RESULTS_PER_QUESTION
-# Documents as raw web results: the source is the question, the language the provider.
+# Documents as raw web results: ten neighbours answer one question, the language is the provider.
 RAW = {
     "position": "doc_id",
-    "query_id": "CAST(substring(source, 4) AS BIGINT) % 10",
+    "query_id": "CAST(floor(doc_id / 10) AS BIGINT)",
     "provider": "CASE lang WHEN 'en' THEN 'local_firecrawl' WHEN 'fr' THEN 'duckduckgo_web' ELSE 'duckduckgo' END",
     "kind": "CASE lang WHEN 'en' THEN 'page' WHEN 'fr' THEN 'snippet' WHEN 'de' THEN 'abstract' ELSE 'topic' END",
     "markdown": "CASE WHEN n_chars < 1500 THEN '' ELSE {t} END",
@@ -54,9 +54,8 @@ def capped_results(spark, sf_dir):
 
 
 def provider_fallback(spark, sf_dir):
-    """Every third question has no page result, so its next provider answers."""
-    raw = web_hits(_raw(spark, sf_dir)).where("NOT (provider = 'local_firecrawl' AND query_id IN (0, 3, 6, 9))")
-    return hits.first_provider(raw).select("query_id", "provider", "rank", "position")
+    """Questions without a page result are answered by the next provider that has any."""
+    return hits.first_provider(web_hits(_raw(spark, sf_dir))).select("query_id", "provider", "rank", "position")
 
 
 def merged_hits(spark, sf_dir):
@@ -124,7 +123,7 @@ ORACLE = {
     "html_snippets": f"SELECT page_id, left({_BODY}, 2000) AS content, 'web_search' AS source, 'duckduckgo_web' AS provider FROM pages",
     "web_results": f"WITH {_HITS} SELECT * FROM web",
     "capped_results": f"WITH {_HITS}, {_FIRST.format('', N)} SELECT query_id, provider, rank, position, score FROM ranked WHERE rank <= {N}",
-    "provider_fallback": f"""WITH {_HITS}, {_FIRST.format("WHERE NOT (provider = 'local_firecrawl' AND query_id IN (0, 3, 6, 9))", N)}
+    "provider_fallback": f"""WITH {_HITS}, {_FIRST.format('', N)}
 SELECT query_id, provider, rank, position FROM first""",
     "merged_sources": "SELECT 'd' || doc_id AS id, source, lang, NULL::VARCHAR AS url FROM documents UNION ALL SELECT 'p' || page_id, 'web_crawl', NULL, url FROM pages",
 }
@@ -135,7 +134,7 @@ def _merged() -> str:
 
     return f"""WITH vec AS ({_sql('l2', C.DEFAULT_SEARCH_K)}), {_HITS}, {_FIRST.format('', N)}
 SELECT query_id::BIGINT AS query_id, rank, 'v' || vec_id AS item, score FROM vec
-UNION ALL SELECT query_id, {C.DEFAULT_SEARCH_K} + rank, 'w' || position, score FROM first"""
+UNION ALL SELECT query_id, (SELECT count(*) FROM vec v WHERE v.query_id = f.query_id) + rank, 'w' || position, score FROM first f"""
 
 
 ORACLE["merged_hits"] = _merged()
