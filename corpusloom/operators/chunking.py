@@ -100,7 +100,7 @@ def register_sql(spark: SparkSession, name: str = "chunk_text") -> None:
             for i, (what, piece) in enumerate(pieces(text, kind, size, overlap) if text else ()):
                 yield i, what, piece.strip()
 
-    made = F.udtf(ChunkText, returnType="chunk_position bigint, chunk_type string, content string")
+    made = F.udtf(ChunkText, returnType="chunk_position bigint, chunk_type string, content string", useArrow=True)
     spark.udtf.register(name, made)
 
 

@@ -263,7 +263,8 @@ def nearest_in_cells(
     k = min(k, C.MAX_SEARCH_K)
     held = bounded_queries(queries.where(F.col(query_vector).isNotNull()), query_id, query_vector)
     if held is None:
-        raise ValueError(f"at most {MAX_BROADCAST_QUERIES} queries per cell search; use nearest()")
+        # Very many queries touch every cell: the full search takes them in blocks.
+        return nearest(indexed, queries, k, "l2", None, id_col, vector_col, query_id, query_vector)
     rows = indexed.where(F.col(vector_col).isNotNull()).select(id_col, "cell", vector_col)
     if not held:
         return rows.sparkSession.createDataFrame(

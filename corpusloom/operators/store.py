@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import constants as C
 from corpusloom.functions.text import clean_metadata, clean_text, preview
+from corpusloom.operators import joins
 from corpusloom.operators.joins import latest_per_key, small_side
 from corpusloom.session import scratch_path
 
@@ -29,12 +30,12 @@ def upsert(
     id within the batch wins. With ``document_col`` the rows a document had before are dropped
     first, so that a shorter new version leaves none behind."""
     last = latest_per_key(new, id_col, seq_col).drop(seq_col)
+    names = [id_col, document_col] if document_col else [id_col]
+    keys, count = small_side(new.select(*names).distinct(), "upsert-keys")
     kept = existing
-    if document_col:
-        documents, _ = small_side(new.select(document_col).distinct(), "upsert-documents")
-        kept = kept.join(documents, document_col, "left_anti")
-    ids, _ = small_side(new.select(id_col).distinct(), "upsert-ids")
-    kept = kept.join(ids, id_col, "left_anti")
+    for name in reversed(names):
+        side = keys.select(name).distinct()
+        kept = kept.join(F.broadcast(side) if count <= joins.SMALL_ROWS else side, name, "left_anti")
     return kept.unionByName(last, allowMissingColumns=True)
 
 

@@ -9,7 +9,7 @@ DOCUMENT = (
 # The time of scraping is a plain number in the files, not an epoch.
 SCRAPED = "title string, content string, url string, source string, doc_type string, scraped_at double"
 EXTRACTION = (
-    "filename string, file_type string, format string, content string, success boolean, error string, "
+    "filename string, file_type string, format string, content string, processor string, success boolean, error string, "
     "encoding string, stats map<string,bigint>, column_names array<string>, "
     "sheets array<struct<name:string,rows:bigint,columns:bigint>>"
 )

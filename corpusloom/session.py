@@ -62,8 +62,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for a written table, under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path for a written table, under the shared folder. All paths of an application
+    lie in one folder of its own, so that they can be dropped together when it has ended."""
+    own = f"corpusloom-{spark.sparkContext.applicationId}"
+    return f"{shared_dir(spark).rstrip('/')}/{own}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

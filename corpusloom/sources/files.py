@@ -14,6 +14,7 @@ from corpusloom.operators.stats import chunk_stats
 from corpusloom.schemas import SCRAPED
 from corpusloom.sources.office import HANDLERS, table_profile
 
+PROCESSOR = "corpusloom"
 _PARSED = (
     "content string, error string, stats map<string,bigint>, column_names array<string>, "
     "sheets array<struct<name:string,rows:bigint,columns:bigint>>"
@@ -81,6 +82,7 @@ def extract(files: DataFrame, path: str = "path", content: str = "content") -> D
         "file_type",
         F.when(error.isNull(), F.col("format")).alias("format"),
         F.when(error.isNull(), body).otherwise(F.lit("")).alias("content"),
+        F.lit(PROCESSOR).alias("processor"),
         error.isNull().alias("success"),
         error.alias("error"),
         F.when(is_text & ~utf8, "latin-1").alias("encoding"),

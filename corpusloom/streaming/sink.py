@@ -1,7 +1,8 @@
 """A table fed by micro-batches: every batch is one partition, the newest row per key counts.
 
 Writing a partition again after a failure replaces it, so a repeated batch changes nothing, and
-no batch ever rewrites what is already there.
+no batch ever rewrites what is already there. A path belongs to one checkpoint: a stream that is
+started afresh numbers its batches from 0 and needs a path of its own.
 """
 
 from __future__ import annotations

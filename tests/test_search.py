@@ -137,6 +137,24 @@ def test_cells(frames, vectors, sf_dir, spark):
     assert "PartitionFilters: [cell" in search.nearest_in_cells(stored, centres, queries, 10, 1)._jdf.queryExecution().toString()
 
 
+def test_cells_with_many_queries(frames, vectors, monkeypatch):
+    rows, queries, asked = frames
+    centres, stored = search.build_cells(rows, 4)
+    monkeypatch.setattr(search, "MAX_BROADCAST_QUERIES", 2)
+    assert shown(search.nearest_in_cells(stored, centres, queries, 5)) == brute(vectors, asked, 5, "l2")
+
+
+def test_hits_get_their_content(frames, monkeypatch):
+    rows, queries, _ = frames
+    hits = search.nearest(rows, queries, 3)
+    named = rows.withColumn("content", F.concat(F.lit("c"), F.col("id").cast("string"))).select("id", "content")
+    want = sorted((r.query_id, r.id, f"c{r.id}") for r in hits.collect())
+    for bound in (1000, 2):
+        monkeypatch.setattr(search, "MAX_LISTED_IDS", bound)
+        got = search.with_content(hits, named).collect()
+        assert sorted((r.query_id, r.id, r.content) for r in got) == want
+
+
 def test_cell_recall(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumnRenamed("vec_id", "id")
     queries = rows.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
