@@ -6,7 +6,10 @@ import importlib
 
 # query: module that defines it; its SQL twin, where there is one, is named OP<N>_SQL there.
 MODULES = {
+    "op5_packing": "document_queries",
+    "op6_language_id": "document_queries",
     "op7_url_filter": "url_queries",
+    "op8_sharding": "document_queries",
 }
 
 

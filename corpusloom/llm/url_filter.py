@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Two-part suffixes: one of these labels before a two-letter country.
 TWO_PART = "(?:ac|co|com|edu|gov|net|org)"
@@ -60,20 +62,19 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column
     return rule, verdict
 
 
-def _shrunk(groups: DataFrame, key: str, parent: DataFrame, on: list[str]) -> DataFrame:
-    """Counts per ``key`` with ``prior`` (the parent's estimate), ``strength`` and ``rate``."""
-    joined = groups.join(parent, on) if on else groups.crossJoin(F.broadcast(parent))
-    even = F.col("prior") * (1 - F.col("prior"))
-    n, bad = F.col("n"), F.col("bad")
-    spread = joined.agg(
-        F.sum((bad - n * F.col("prior")) ** 2 - n * even).alias("over"),
-        F.sum(n * (n - 1) * even).alias("pairs"),
-    )
-    rho = F.when(F.col("pairs") > 0, F.col("over") / F.col("pairs")).otherwise(MIN_RHO)
-    rho = F.least(F.greatest(rho, F.lit(MIN_RHO)), F.lit(MAX_RHO))
-    strength = spread.select((1 / rho - 1).alias("strength"))
-    rate = (bad + F.col("strength") * F.col("prior")) / (n + F.col("strength"))
-    return joined.crossJoin(F.broadcast(strength)).withColumn("rate", rate)
+def _shrunk(groups: DataFrame) -> DataFrame:
+    """Groups (n, bad, and prior: the parent's estimate) with strength and rate. The strength is
+    one number for the level, from totals over its groups."""
+    n, bad, prior = F.col("n"), F.col("bad"), F.col("prior")
+    even = prior * (1 - prior)
+    spread = groups.agg(
+        F.sum((bad - n * prior) ** 2 - n * even).alias("over"), F.sum(n * (n - 1) * even).alias("pairs")
+    ).first()
+    rho = spread["over"] / spread["pairs"] if spread["pairs"] else MIN_RHO
+    strength = 1 / min(max(rho, MIN_RHO), MAX_RHO) - 1
+    return groups.withColumns({
+        "strength": F.lit(strength), "rate": (bad + F.lit(strength) * prior) / (n + F.lit(strength)),
+    })
 
 
 def host_reputation(outcomes: DataFrame, z: float = LOWER_Z) -> DataFrame:
@@ -81,26 +82,22 @@ def host_reputation(outcomes: DataFrame, z: float = LOWER_Z) -> DataFrame:
     n and bad (labelled and bad pages), bad_rate and bad_lower (posterior mean and lower bound).
 
     Hosts without labels get what their domain says. No labels at all: a rate of one half with a
-    weak prior. The one-row sides that are broadcast are totals.
+    weak prior.
     """
     domain, suffix = domain_parts(F.col("host"))
-    hosts = outcomes.groupBy("host").agg(
-        F.count("bad").alias("n"),
-        F.count(F.when(F.col("bad"), 1)).alias("bad"),
-    ).withColumns({"domain": domain, "suffix": suffix})
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    root = suffixes.agg(
-        ((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("prior")
-    )
-    by_suffix = _shrunk(suffixes, "suffix", root, [])
-    by_suffix = by_suffix.select("suffix", F.col("rate").alias("prior"))
-    by_domain = _shrunk(domains, "domain", by_suffix, ["suffix"])
-    by_domain = by_domain.select("domain", F.col("rate").alias("prior"))
-    by_host = _shrunk(hosts, "host", by_domain, ["domain"])
-    size = F.col("n") + F.col("strength")
-    sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (size + 1))
-    return by_host.select(
+    hosts = written(outcomes.groupBy("host").agg(
+        F.count("bad").alias("n"), F.count(F.when(F.col("bad"), 1)).alias("bad")
+    ).withColumns({"domain": domain, "suffix": suffix}), "hosts")
+    sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
+    seen = hosts.agg(*sums).first()
+    root = ((seen["bad"] or 0) + 1) / ((seen["n"] or 0) + 2)
+    suffixes = _shrunk(hosts.groupBy("suffix").agg(*sums).withColumn("prior", F.lit(root)))
+    prior = suffixes.select("suffix", F.col("rate").alias("prior"))
+    domains = _shrunk(hosts.groupBy("domain", "suffix").agg(*sums).join(prior, "suffix"))
+    prior = domains.select("domain", F.col("rate").alias("prior"))
+    rated = _shrunk(hosts.join(prior, "domain"))
+    sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("strength") + 1))
+    return rated.select(
         "host", "n", "bad", F.col("rate").alias("bad_rate"), (F.col("rate") - z * sd).alias("bad_lower")
     )
 
