@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import langid, packing, sharding
+from corpusloom.llm import langid, lm, packing, sharding
 from corpusloom.plans.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -35,3 +35,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length(content).cast("bigint") + 1).alias("size"), F.crc32(content).alias("text_crc32"),
         F.lit("key").alias("law"), "shard", "slot", "grown_shard",
     )
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 10) == 0)
+    return lm.score(docs)
