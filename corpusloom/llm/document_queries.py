@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import langid, lm, packing, sharding
+from corpusloom.llm import langid, lm, packing, pii, sharding
 from corpusloom.plans.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -40,3 +40,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 10) == 0)
     return lm.score(docs)
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = pii.spans_text(F.col("base"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        F.concat_ws(",", *[F.when(t != "", t) for t in (base, pii.spans_text(F.col("added")))]).alias("spans"),
+    )
