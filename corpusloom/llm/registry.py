@@ -8,10 +8,12 @@ import importlib
 MODULES = {
     "op2_pii": "document_queries",
     "op3_lm_score": "document_queries",
+    "op4_decontamination": "text_queries",
     "op5_packing": "document_queries",
     "op6_language_id": "document_queries",
     "op7_url_filter": "url_queries",
     "op8_sharding": "document_queries",
+    "op9_licenses": "text_queries",
 }
 
 
