@@ -35,8 +35,10 @@ def _masked(number: int, mask: tuple[int, ...]):
 
 def _seeds(rows: DataFrame, masks=MASKS) -> DataFrame:
     """``rows`` (with ``_tokens``) times every position: mask, at and hash."""
-    rows = rows.where(F.size("_tokens") >= SPAN).withColumn("_h", F.transform("_tokens", lambda t: F.xxhash64(t)))
-    places = F.sequence(F.lit(0), F.size("_h") - SPAN)
+    # No filter for short texts: it would be pushed below and cut every text twice.
+    rows = rows.withColumn("_h", F.transform("_tokens", lambda t: F.xxhash64(t)))
+    places = F.when(F.size("_h") >= SPAN, F.sequence(F.lit(0), F.size("_h") - SPAN))
+    places = F.coalesce(places, F.expr("CAST(array() AS array<int>)"))
     hashes = F.concat(*[F.transform(places, _masked(m, mask)) for m, mask in enumerate(masks)])
     rows = rows.select(*[c for c in rows.columns if c not in ("_tokens", "_h")], F.size("_h").alias("_n"), F.posexplode(hashes).alias("_p", "hash"))
     return rows.withColumn("at", F.col("_p") % (F.col("_n") - (SPAN - 1))).drop("_p", "_n")
