@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import langid, lm, packing, pii, sharding
+from corpusloom.llm import langid, lm, near, packing, pii, sharding
 from corpusloom.plans.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +42,10 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     base = pii.spans_text(F.col("base"))

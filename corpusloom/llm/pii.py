@@ -9,23 +9,22 @@ and those that disclose more than a second, larger share are removed, wherever t
 
 Only terms within a few words of an entity can become candidates, and each text counts a pair once,
 so pairs grow with the entities found, not with the square of anything; copies of one text count
-once. Candidates are looked for in all texts through a bit table of fixed size, which is broadcast;
+once. Candidates are looked for in all texts through a bit table of bounded size, which is broadcast;
 what it lets through is then joined with the candidates themselves.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate, islice
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.bits import bit_table, bits_for, has_bits
 from corpusloom.session import spread, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -33,7 +32,6 @@ TERM_KINDS = ("generalise", "remove")
 REACH = 5  # words on either side of an entity
 MIN_TEXTS = 3  # distinct texts with the term close to the entity
 GENERALISE, REMOVE = 0.8, 0.95  # shares of the entity's information
-BITS = 1 << 22  # of the bit table: half a megabyte at any input
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -43,6 +41,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W_]+")
 _STEP = 256
+_KNOWN_WORDS = 400_000  # words looked up by a task; it starts anew beyond
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -149,8 +148,6 @@ def _find(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBa
 
 def _look(batches: Iterator[pa.RecordBatch], table: bytes) -> Iterator[pa.RecordBatch]:
     """Words that the bit table lets through, with all their places in the text."""
-    bits = np.unpackbits(np.frombuffer(table, dtype=np.uint8), bitorder="little")
-    crc, size = zlib.crc32, len(bits)
     known: dict[str, bool] = {}
     for batch in batches:
         rows, terms, starts = [], [], []
@@ -159,15 +156,12 @@ def _look(batches: Iterator[pa.RecordBatch], table: bytes) -> Iterator[pa.Record
             found: dict[str, list] = {}
             # Lower-casing may change the length of a text, so places are those of the text itself.
             words = set(_TERM.findall(text))
-            hits = set()
-            for word in words:
-                hit = known.get(word)
-                if hit is None:
-                    if len(known) >= 500_000:
-                        known.clear()
-                    hit = known[word] = bool(bits[crc(word.lower().encode()) % size])
-                if hit:
-                    hits.add(word)
+            new = [w for w in words if w not in known]
+            if new:
+                known.update(zip(new, has_bits([w.lower().encode() for w in new], table).tolist()))
+            hits = {w for w in words if known[w]}
+            if len(known) >= _KNOWN_WORDS:
+                known.clear()
             if hits:
                 for m in _TERM.finditer(text):
                     if m[0] in hits:
@@ -184,17 +178,6 @@ def _look(batches: Iterator[pa.RecordBatch], table: bytes) -> Iterator[pa.Record
         )
 
 
-def bit_table(terms: DataFrame) -> bytes:
-    """A table of ``BITS`` bits with those of the terms' checksums set; its size is fixed."""
-    bit = F.crc32(F.col("term").cast("binary")) % BITS
-    words = terms.select(F.shiftright(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int")).alias("v"))
-    words = words.groupBy("w").agg(F.bit_or("v").alias("v"))
-    out = np.zeros(BITS // 64, dtype=np.int64)
-    for w, v in words.collect():  # at most BITS / 64 rows
-        out[w] = v
-    return out.tobytes()
-
-
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     content = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col(key).alias("doc_id"), F.xxhash64(content).alias("_digest"), content.alias("_text"))
@@ -239,7 +222,7 @@ def find(
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_texts)
     pairs = written(pairs, "pairs")
     candidates = pairs.select("term").distinct()
-    table = bit_table(candidates)
+    table = bit_table(candidates.withColumnRenamed("term", "key"), bits_for(pairs.count()))
     place = "array<struct<start:int,end:int>>"
     places = rows.mapInArrow(
         lambda batches: _look(batches, table), f"doc_id {kind}, _digest long, term string, places {place}"

@@ -6,6 +6,7 @@ import importlib
 
 # query: module that defines it; its SQL twin, where there is one, is named OP<N>_SQL there.
 MODULES = {
+    "op1_near_duplicates": "document_queries",
     "op2_pii": "document_queries",
     "op3_lm_score": "document_queries",
     "op4_decontamination": "text_queries",
