@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
+
 # query: module that defines it; its SQL twin, where there is one, is named OP<N>_SQL there.
 MODULES = {
     "op1_near_duplicates": "document_queries",
@@ -15,11 +17,13 @@ MODULES = {
     "op7_url_filter": "url_queries",
     "op8_sharding": "document_queries",
     "op9_licenses": "text_queries",
+    "op10_nearest": "vector_queries",
 }
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"corpusloom.llm.{m}"), name) for name, m in MODULES.items()}
+    out = {name: getattr(importlib.import_module(f"corpusloom.llm.{m}"), name) for name, m in MODULES.items()}
+    return out | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict:
@@ -28,4 +32,4 @@ def oracles() -> dict:
         sql = getattr(importlib.import_module(f"corpusloom.llm.{m}"), name.split("_")[0].upper() + "_SQL", None)
         if sql is not None:
             out[name] = sql
-    return out
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
