@@ -17,6 +17,7 @@ N-grams are known by 64-bit hashes.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.wordbytes import chain, mix, texts_of, word_hashes
-from corpusloom.session import written
+from corpusloom.session import spread
 
 ORDER = 2
 PRIOR = 50.0  # weight of the shorter context's distribution, in words
 ADDED = 0.1  # to each count of a single word
-BUCKET_BYTES = 12 << 20
-RANGE_BYTES = 32 << 20  # text whose n-grams meet in a range, about
+BUCKET_BYTES = 5 << 20
+RANGE_BYTES = 16 << 20  # text whose n-grams meet in a range, about
 START, END = mix(np.arange(1, 3, dtype=np.uint64) << np.uint64(60))
 _PLANES = "keys binary, counts binary"
 
@@ -125,15 +126,38 @@ def _add(rows: pa.Table) -> pa.Table:
     for part in keys:
         own.append(_planes(totals[inverse[start : start + len(part)]]))
         start += len(part)
-    once = np.zeros(len(keys), dtype=np.int64)
-    types, tokens = once.copy(), once.copy()
-    types[0], tokens[0] = np.count_nonzero(totals), totals.sum()
-    return pa.table({
-        "g": rows["g"], "k": rows["k"], "r": rows["r"], "totals": pa.array(own, pa.binary()),
-        "types": pa.array(types), "tokens": pa.array(tokens),
+    return pa.table({"g": rows["g"], "k": rows["k"], "r": rows["r"], "totals": pa.array(own, pa.binary())})
+
+
+def _words(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """The distinct training words of a partition by range, and the number of all (at range 0)."""
+    tokens, seen = 0, np.zeros(0, dtype=np.uint64)
+    for batch in batches:
+        hashes, _ = word_hashes(*texts_of(batch.column(0)))
+        tokens += len(hashes) + batch.num_rows
+        seen = np.unique(np.concatenate([seen, hashes, [END]]))
+    cuts = np.searchsorted(seen, _range_ends(ranges), side="right").tolist()
+    out = [(r, _pack_keys(seen[a:b])) for r, (a, b) in enumerate(zip([0, *cuts], cuts)) if b > a]
+    yield pa.RecordBatch.from_pydict({
+        "r": pa.array([0, *[r for r, _ in out]], pa.int32()),
+        "keys": pa.array([b"", *[k for _, k in out]], pa.binary()),
+        "tokens": pa.array([tokens, *[0] * len(out)], pa.int64()),
     })
 
 
+def _types(rows: pa.Table) -> pa.Table:
+    keys = np.concatenate([_unpack_keys(x.as_py()) for x in rows["keys"]])
+    return pa.table({"types": pa.array([len(np.unique(keys))]), "tokens": pa.array([sum(rows["tokens"].to_pylist())])})
+
+
+def vocabulary(texts: DataFrame, ranges: int) -> tuple[int, int]:
+    """Number of words, ends included, and of distinct ones in the column ``text``."""
+    words = texts.select("text").mapInArrow(lambda b: _words(b, ranges), "r int, keys binary, tokens long")
+    counted = words.groupBy("r").applyInArrow(lambda part: _types(part), "types long, tokens long")
+    total = counted.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+    return total["tokens"] or 0, total["types"] or 0
+
+
 class Automaton:
     """The part of the model that a bucket's documents can reach."""
 
@@ -229,28 +253,25 @@ def score(
     A to Z lower-cased; null texts are empty, and an empty text is its end alone. Nothing to learn
     from: every word has the same unknown chance. Rows with one key are scored each.
     """
-    rows = docs.select(
+    rows = spread(docs.select(
         F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"),
         F.coalesce(held, F.lit(False)).alias("held"),
-    )
+    ))
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     buckets, ranges = (max(1, math.ceil(size / part)) for part in (bucket_bytes, range_bytes))
     spot = F.pmod(F.xxhash64(F.lit("bucket"), "doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(buckets))
     rows = rows.withColumn("g", spot)
-    counts = rows.select("text", "held", "g").groupBy("g").applyInArrow(
+    tokens, types = vocabulary(rows.where(~F.col("held")), ranges)
+    # The same columns as below: the shuffle by bucket is then done once for both.
+    counts = rows.groupBy("g").applyInArrow(
         lambda bucket: _count(bucket, order, ranges), f"k int, r int, g long, {_PLANES}"
     )
-    totals = written(counts.groupBy("k", "r").applyInArrow(
-        lambda part: _add(part), "g long, k int, r int, totals binary, types long, tokens long"
-    ), "ngrams")
-    seen = totals.where("k = 1").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()
-    types, tokens = seen["types"] or 0, seen["tokens"] or 0
+    model = counts.groupBy("k", "r").applyInArrow(lambda part: _add(part), "g long, k int, r int, totals binary")
     kind = docs.schema[key].dataType.simpleString()
     schema = (
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double"
     )
-    model = totals.select("g", "k", "r", "totals")
     return rows.groupBy("g").cogroup(model.groupBy("g")).applyInArrow(
         lambda bucket, part: _score(bucket, part, order, prior, tokens, types), schema
     )
