@@ -30,8 +30,8 @@ from corpusloom.session import spread, written
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("generalise", "remove")
 REACH = 5  # words on either side of an entity
-MIN_TEXTS = 3  # distinct texts with the term close to the entity
-GENERALISE, REMOVE = 0.8, 0.95  # shares of the entity's information
+MIN_TEXTS = 2  # distinct texts with the term close to the entity
+GENERALISE, REMOVE = 0.95, 0.99  # shares of the entity's information
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -41,7 +41,8 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W_]+")
 _STEP = 256
-_KNOWN_WORDS = 400_000  # words looked up by a task; it starts anew beyond
+_PLACES = 20_000  # places given out at once
+_KNOWN_WORDS = 200_000  # words looked up by a task; it starts anew beyond
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -149,11 +150,20 @@ def _find(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBa
 def _look(batches: Iterator[pa.RecordBatch], table: bytes) -> Iterator[pa.RecordBatch]:
     """Words that the bit table lets through, with all their places in the text."""
     known: dict[str, bool] = {}
+    place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def out(batch: pa.RecordBatch, found: list[tuple[int, str, list]]) -> pa.RecordBatch:
+        kept = batch.select([0, 1]).take(pa.array([i for i, _, _ in found], pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [*kept.columns, pa.array([t for _, t, _ in found], pa.string()), pa.array([p for _, _, p in found], place)],
+            names=["doc_id", "_digest", "term", "places"],
+        )
+
     for batch in batches:
-        rows, terms, starts = [], [], []
-        for i, value in enumerate(batch.column(batch.num_columns - 1)):
+        found: list[tuple[int, str, list]] = []
+        size = 0
+        for i, value in enumerate(batch.column(2)):
             text = value.as_py()
-            found: dict[str, list] = {}
             # Lower-casing may change the length of a text, so places are those of the text itself.
             words = set(_TERM.findall(text))
             new = [w for w in words if w not in known]
@@ -163,19 +173,16 @@ def _look(batches: Iterator[pa.RecordBatch], table: bytes) -> Iterator[pa.Record
             if len(known) >= _KNOWN_WORDS:
                 known.clear()
             if hits:
+                by_term: dict[str, list] = {}
                 for m in _TERM.finditer(text):
                     if m[0] in hits:
-                        found.setdefault(m[0].lower(), []).append((m.start(), m.end()))
-            for term, places in found.items():
-                rows.append(i)
-                terms.append(term)
-                starts.append([{"start": a, "end": b} for a, b in places])
-        kept = batch.take(pa.array(rows, pa.int64()))
-        place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays(
-            [*kept.columns[:-1], pa.array(terms, pa.string()), pa.array(starts, place)],
-            names=[*batch.schema.names[:-1], "term", "places"],
-        )
+                        by_term.setdefault(m[0].lower(), []).append({"start": m.start(), "end": m.end()})
+                        size += 1
+                found += [(i, term, places) for term, places in by_term.items()]
+            if size >= _PLACES:
+                yield out(batch, found)
+                found, size = [], 0
+        yield out(batch, found)
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -183,22 +190,29 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.xxhash64(content).alias("_digest"), content.alias("_text"))
 
 
-def disclosing_terms(
-    found: DataFrame, places: DataFrame, pairs: DataFrame, generalise: float, remove: float
-) -> DataFrame:
+def entity_counts(found: DataFrame) -> tuple[int, DataFrame]:
+    """The number of distinct texts, and for each entity the number of those it is in."""
+    total = found.select("_digest").distinct().count()
+    named = found.select("_digest", F.explode("names").alias("entity")).distinct()
+    return total, named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+
+
+def disclosed(total: int) -> Column:
+    """The share of an entity's information that a term gives: of n_both, n_term and n_entity. An
+    entity that is in every text has none to give."""
+    gained = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
+    return F.when(F.col("n_entity") < total, gained / F.log2(total / F.col("n_entity"))).otherwise(0.0)
+
+
+def disclosing_terms(places: DataFrame, pairs: DataFrame, total: int, generalise: float, remove: float) -> DataFrame:
     """term and action of the terms that disclose an entity beyond a threshold.
 
-    found: the rows with the entities of each text; places: candidates and the texts they are in;
-    pairs: entity, term and n_both, the number of texts in which they are close.
+    places: candidates and the texts they are in; pairs: entity, term, n_both and n_entity.
     """
-    total = found.select("_digest").distinct().count()
     texts = places.select("term", "_digest").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    named = found.select("_digest", F.explode("names").alias("entity")).distinct()
-    entities = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    share = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity"))) / F.log2(total / F.col("n_entity"))
-    rated = pairs.join(texts, "term").join(entities, "entity").where(F.col("n_entity") < total)
-    worst = rated.groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= generalise)
-    return worst.select("term", F.when(F.col("share") >= remove, F.lit("remove")).otherwise("generalise").alias("action"))
+    worst = pairs.join(texts, "term").groupBy("term").agg(F.max(disclosed(total)).alias("share"))
+    action = F.when(F.col("share") >= remove, F.lit("remove")).otherwise("generalise")
+    return worst.where(F.col("share") >= generalise).select("term", action.alias("action"))
 
 
 def find(
@@ -218,9 +232,14 @@ def find(
         rows.mapInArrow(lambda batches: _find(batches, reach), f"doc_id {kind}, _digest long, {_FOUND}"), "entities"
     )
     near = found.select("_digest", F.explode(F.arrays_zip("entities", "terms")).alias("p"))
-    pairs = near.select("_digest", F.col("p.entities").alias("entity"), F.col("p.terms").alias("term")).distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_texts)
-    pairs = written(pairs, "pairs")
+    near = written(near.select("_digest", F.col("p.entities").alias("entity"), F.col("p.terms").alias("term")).distinct(), "near")
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_texts)
+    # A term is in no fewer texts than it is close to any entity in: what can't reach the threshold
+    # by that number is no candidate.
+    total, entities = entity_counts(found)
+    at_least = near.select("term", "_digest").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    rated = pairs.join(at_least, "term").join(entities, "entity").where(disclosed(total) >= generalise)
+    pairs = written(rated.select("entity", "term", "n_both", "n_entity"), "pairs")
     candidates = pairs.select("term").distinct()
     table = bit_table(candidates.withColumnRenamed("term", "key"), bits_for(pairs.count()))
     place = "array<struct<start:int,end:int>>"
@@ -228,7 +247,7 @@ def find(
         lambda batches: _look(batches, table), f"doc_id {kind}, _digest long, term string, places {place}"
     )
     places = written(places.join(candidates, "term", "left_semi"), "places")
-    chosen = disclosing_terms(found, places, pairs, generalise, remove)
+    chosen = disclosing_terms(places, pairs, total, generalise, remove)
     spans = places.join(chosen, "term").select(
         "doc_id", "_digest", F.explode(F.transform("places", lambda p: F.struct(
             F.col("action").alias("kind"), p["start"].alias("start"), p["end"].alias("end")
