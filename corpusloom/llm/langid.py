@@ -185,8 +185,8 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def _apply(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
-    scorer = Scorer(net)
+def _apply(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
+    scorer = Scorer(net) if net else None
     for batch in batches:
         keep, lettered = batch.columns[:-2], batch.column(batch.num_columns - 1).to_pylist()
         texts = batch.column(batch.num_columns - 2).cast(pa.binary())
