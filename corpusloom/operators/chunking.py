@@ -147,12 +147,21 @@ def cap_chunks(chunks: DataFrame, limit: int = C.MAX_CHUNKS_PER_DOCUMENT) -> Dat
     return chunks.where(F.col("chunk_position") < limit)
 
 
+def _segments(text: Column) -> Column:
+    """Fences and what stands between them, alternating, by matches and not by marks in the text:
+    every character is in one segment. Between two fences there is a segment, if an empty one."""
+    pattern = F.lit(f"({C.FENCE_PATTERN})")
+    fences = F.regexp_extract_all(text, pattern, F.lit(1))
+    between = F.split(text, C.FENCE_PATTERN, -1)
+    count = F.size(fences)
+    mixed = F.zip_with(between, fences, lambda b, f: F.array(b, f))
+    return F.filter(F.flatten(F.when(count > 0, mixed).otherwise(F.array(F.array(text)))), lambda s: s.isNotNull())
+
+
 def fence_segments(docs: DataFrame, text_col: str = "content") -> DataFrame:
     """Code fences and the text around them, as rows in document order, in the JVM."""
-    mark = "\x01"
-    marked = F.regexp_replace(text_col, f"({C.FENCE_PATTERN})", f"{mark}$1{mark}")
     carried = [c for c in docs.columns if c != text_col]
-    out = docs.select(*carried, F.posexplode(F.split(marked, mark)).alias("_at", "segment"))
+    out = docs.select(*carried, F.posexplode(_segments(F.col(text_col))).alias("_at", "segment"))
     kind = F.when(F.startswith("segment", F.lit(C.FENCE)), "code").otherwise("text")
     return out.where(F.col("segment") != "").select(
         *carried, F.col("_at").cast("bigint").alias("segment_no"), kind.alias("kind"), "segment"
@@ -167,10 +176,12 @@ def header_sections(docs: DataFrame, text_col: str = "content") -> DataFrame:
     lines inside code fences are not headers.
     """
     carried = [c for c in docs.columns if c != text_col]
-    mark, hold = "\x01", "\x02"
-    fenced = F.split(F.regexp_replace(text_col, f"({C.FENCE_PATTERN})", f"{mark}$1{mark}"), mark)
+    # Within fences a header sign gets a shield that is taken off at the end. What looks like a
+    # shielded sign in the text itself gets one more.
+    hold = "\x02"
+    own = F.regexp_replace(F.col(text_col), f"(?md)^({hold}+#)", f"{hold}$1")
     shielded = F.transform(
-        fenced,
+        _segments(own),
         lambda s: F.when(
             F.startswith(s, F.lit(C.FENCE)), F.regexp_replace(s, "(?md)^#", f"{hold}#")
         ).otherwise(s),
@@ -195,5 +206,5 @@ def header_sections(docs: DataFrame, text_col: str = "content") -> DataFrame:
             rest.otherwise(F.col("_piece")).alias("_body"),
         )
         keys += [f"no_{level}", f"header_{level}"]
-    body = strip(F.replace(F.col("_body"), F.lit(hold), F.lit("")))
+    body = strip(F.regexp_replace(F.col("_body"), f"(?md)^{hold}({hold}*#)", "$1"))
     return out.select(*carried, *keys, body.alias("section")).where(F.col("section") != "")

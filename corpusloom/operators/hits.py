@@ -23,12 +23,14 @@ def first_provider(
     results: DataFrame, n: int = C.WEB_RESULTS_PER_QUESTION, query_id: str = "query_id",
     order: str = "position", providers: tuple[str, ...] = C.WEB_PROVIDERS,
 ) -> DataFrame:
-    """Per question the results of the first provider that has any.
+    """Per question the results of the first provider that has any; results of providers that are
+    not listed count only where no listed one has any.
 
     The cap per provider comes first and runs before the shuffle, so the window over a question
     sees no more than n rows per provider.
     """
-    tried = F.array_position(F.array(*[F.lit(p) for p in providers]), F.col("provider"))
+    place = F.array_position(F.array(*[F.lit(p) for p in providers]), F.col("provider"))
+    tried = F.when(place > 0, place).otherwise(F.lit(len(providers) + 1))
     capped = cap_results(results, n, query_id, order).withColumn("_try", tried)
     best = F.min("_try").over(Window.partitionBy(query_id))
     return capped.withColumn("_best", best).where(F.col("_try") == F.col("_best")).drop("_try", "_best")

@@ -57,10 +57,11 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return rows.where(is_hot).join(few, key, "left").unionByName(rest)
 
 
-def latest_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Last row per key. The window limit runs before the shuffle too, so a hot key sends one
-    row per task."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
+def latest_per_key(rows: DataFrame, key: str, order: str, *ties: str) -> DataFrame:
+    """Last row per key; ``ties`` decide between equal ``order``, and then a hash of the row. The
+    window limit runs before the shuffle too, so a hot key sends one row per task."""
+    whole = F.xxhash64(*[F.to_json(F.struct(F.col(c))) if "map" in t else F.col(c) for c, t in rows.dtypes])
+    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in (order, *ties)], F.desc(whole))
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
 
 
@@ -92,7 +93,8 @@ def split_at(rows: DataFrame, n: int, time_col: str, key_col: str) -> tuple[Data
     Keys are fixed-length lower-case hex digests, so their first 15 digits order as numbers;
     that is how a single moment shared by very many rows is cut as well.
     """
-    moment = F.unix_micros(F.col(time_col).cast("timestamp"))
+    # Rows without a time come before all others.
+    moment = F.coalesce(F.unix_micros(F.col(time_col).cast("timestamp")), F.lit(-(1 << 60)))
     digest = F.conv(F.substring(key_col, 1, 15), 16, 10).cast("bigint")
     cut = _cut_point(rows, moment, n)
     if cut is None:
@@ -116,7 +118,8 @@ def split_at(rows: DataFrame, n: int, time_col: str, key_col: str) -> tuple[Data
 
 
 def numbered(rows: DataFrame, group: str, order: str, out: str, block: int = 100_000) -> DataFrame:
-    """Running number from 1 within each group, by an integer column that is unique in it.
+    """Running number from 1 within each group (null is one), by an integer column that is unique
+    in it.
 
     A group is ranked in blocks of its order values, and each block adds the number of rows in
     the blocks before it: no task holds more than one block, however large the group is.
@@ -125,10 +128,12 @@ def numbered(rows: DataFrame, group: str, order: str, out: str, block: int = 100
     sizes = cut.groupBy(group, "_block").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
-        group, "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
+        F.col(group).alias("_group"), F.col("_block").alias("_of"),
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
     )
     inside = F.row_number().over(Window.partitionBy(group, "_block").orderBy(order))
-    ranked = cut.withColumn("_in", inside).join(starts, [group, "_block"])
+    same = F.col(group).eqNullSafe(F.col("_group")) & F.col("_block").eqNullSafe(F.col("_of"))
+    ranked = cut.withColumn("_in", inside).join(starts, same)
     return ranked.withColumn(out, (F.col("_start") + F.col("_in")).cast("bigint")).drop(
-        "_block", "_in", "_start"
+        "_block", "_in", "_start", "_group", "_of"
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusloom import constants as C
 from corpusloom.functions.text import batch_tier
-from corpusloom.operators.joins import small_side
 
 
 def chunk_stats(chunks: DataFrame, text_col: str = "content") -> DataFrame:
@@ -73,13 +72,9 @@ def latency_histogram(
 
 
 def gauges(events: DataFrame, labels: list[str], value: str, ts: str, tie: str) -> DataFrame:
-    """Latest value per label; of several at the same moment the one with the highest ``tie``.
-
-    Two hash aggregations, the second over the rows of the latest moments only: one by the pair
-    of moment and tie would have to sort all events.
-    """
-    latest, _ = small_side(events.groupBy(*labels).agg(F.max(ts).alias(ts)), "gauges")
-    return events.join(latest, [*labels, ts]).groupBy(*labels).agg(F.max_by(value, tie).alias("value"))
+    """Latest value per label, null labels included; of several at the same moment the one with
+    the highest ``tie``. One aggregation with map-side partials."""
+    return events.groupBy(*labels).agg(F.max_by(value, F.struct(ts, tie)).alias("value"))
 
 
 def batch_sizes(docs: DataFrame, source_col: str, id_col: str, text_col: str, first: int = 100) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -51,21 +52,35 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; only where none is named, a temporary one is set."""
+    """The shared folder named by the cluster. Only a local session may do without: there a
+    temporary folder is set. Elsewhere executors would write to their own disks."""
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
     return context.getCheckpointDir()
 
 
+def own_scratch(spark: SparkSession) -> str:
+    """The folder of this application below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/corpusloom-{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this application has written to the shared folder. For the end of a
+    run: frames that read them can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for a written table, under the shared folder. All paths of an application
     lie in one folder of its own, so that they can be dropped together when it has ended."""
-    own = f"corpusloom-{spark.sparkContext.applicationId}"
-    return f"{shared_dir(spark).rstrip('/')}/{own}/{label}-{uuid.uuid4().hex}"
+    return f"{own_scratch(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

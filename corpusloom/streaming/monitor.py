@@ -9,9 +9,12 @@ from corpusloom import constants as C
 from corpusloom.operators.stats import allowed_calls
 
 
-def timed(events: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Events with a watermark; a watermark needs a zoned time."""
-    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+def timed(events: DataFrame, late: str | None, ts: str = "ts") -> DataFrame:
+    """Events with a zoned time. ``late`` is how far a row may lie behind the newest one: later
+    ones are dropped, and the state of older windows is freed. With None no row is ever dropped
+    and all windows stay in the state: for stored tables, whose files come in any order."""
+    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    return events if late is None else events.withWatermark(ts, late)
 
 
 def windowed_counts(events: DataFrame, labels: list[str], width: str = "1 hour", ts: str = "ts") -> DataFrame:
