@@ -18,6 +18,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def finite(vector: Column | str) -> Column:
+    """Whether a vector is there and all its components are numbers."""
+    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(~odd, F.lit(False))
+
+
 def distance(a: Column, b: Column, metric: str = "l2") -> Column:
     """Distance of two vector columns of one row: squared L2, cosine, or inner product."""
     if metric == "l2":

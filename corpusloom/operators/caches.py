@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import constants as C
 from corpusloom.operators.joins import lookup_join, split_at
+from corpusloom.session import written
 
 
 def lookup(
@@ -46,13 +47,36 @@ def evict_oldest(cache: DataFrame, limit: int = C.EMBEDDING_CACHE_SIZE) -> DataF
     return split_at(cache, max(1, entries // 10), "accessed_at", "key")[1]
 
 
-def store(
-    cache: DataFrame, new: DataFrame, limit: int, evict=evict_oldest
-) -> DataFrame:
-    """Cache with entries added or overwritten; only new keys can make it evict."""
-    added = new.join(cache.select("key"), "key", "left_anti")
-    base = evict(cache, limit) if not added.isEmpty() else cache
-    return base.join(new.select("key"), "key", "left_anti").unionByName(new)
+def size_after(entries: int, added: int, limit: int, drop: int) -> int:
+    """Entries after new keys were added one by one to a cache that drops ``drop`` entries
+    whenever it is full. A cache above its limit is cut to it first."""
+    room = max(0, limit - entries)
+    if added <= room:
+        return entries + added
+    return limit - drop + 1 + (added - room - 1) % drop
+
+
+def store(cache: DataFrame, new: DataFrame, limit: int, drop: int | None = None) -> DataFrame:
+    """Cache with entries (unique by key) added or overwritten, as if one by one: overwriting
+    never evicts, a new key in a full cache drops the ``drop`` least recently used entries (a
+    tenth of the limit unless given; the answer cache drops one). Only the newest are ever kept,
+    so the result is the newest of all, as many as are left in the end. Entries without a time
+    of access count as oldest."""
+    drop = max(1, limit // 10 if drop is None else drop)
+    old = written(cache.join(new.select("key"), "key", "left_anti"), "cache")
+    both = written(old.unionByName(new), "cache")
+    total, entries = both.count(), cache.count()
+    added = total - entries
+    surplus = total - (size_after(entries, added, limit, drop) if added else total)
+    return both if surplus <= 0 else split_at(both, surplus, "accessed_at", "key")[1]
+
+
+def touch(cache: DataFrame, lookups: DataFrame, at: str = "at") -> DataFrame:
+    """The cache after lookups (key, at): an entry that was asked for counts as used at the time
+    of its last lookup."""
+    last = lookups.groupBy("key").agg(F.max(at).alias("_at"))
+    used = F.greatest("accessed_at", "_at")  # the one that is there, if one is null
+    return lookup_join(cache, last, "key").withColumn("accessed_at", used).select(cache.columns)
 
 
 def cache_stats(cache: DataFrame, max_size: int, value: str | None = None) -> DataFrame:

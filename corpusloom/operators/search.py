@@ -1,8 +1,8 @@
 """Exact and cell-pruned nearest-neighbour search over a vector table.
 
 The collection is only ever scanned: each task holds the query block, keeps its own k best
-rows per query, and only those are shuffled. Query sets above the broadcast bound are split
-into blocks on a grid with collection shards, so that neither side has to fit anywhere.
+rows per query, and only those are shuffled. Query sets above the broadcast bound are taken in
+blocks, one scan each; the collection is never copied or shuffled.
 """
 
 from __future__ import annotations
@@ -24,18 +24,13 @@ from pyspark.sql.types import StructType
 from corpusloom import constants as C
 from corpusloom.functions.predicates import apply_filter
 from corpusloom.functions.text import similarity
-from corpusloom.functions.vectors import METRICS, Nearest
+from corpusloom.functions.vectors import METRICS, Nearest, finite
 from corpusloom.operators.joins import small_side
 from corpusloom.session import scratch_path, written
 
 # Bounds on what is sent to every task.
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 << 20
-# Rows of one grid cell held by a task: queries per block, collection rows per shard.
-GRID_BLOCK = 1024
-GRID_SHARD = 200_000
-# Hits that are looked up by a list of ids.
-MAX_LISTED_IDS = 1000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -49,14 +44,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), width)
 
 
-def bounded_queries(queries: DataFrame, query_id: str, vector: str) -> list | None:
-    """Query rows when they are within the broadcast bound, else None."""
-    rows = queries.select(query_id, vector).limit(MAX_BROADCAST_QUERIES + 1).collect()
-    if len(rows) > MAX_BROADCAST_QUERIES:
-        return None
-    if rows and len(rows) * len(rows[0][1]) * 8 > MAX_BROADCAST_BYTES:
-        return None
-    return rows
+def query_blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[list]:
+    """The query rows in blocks within the broadcast bounds, cut by a hash of the id. One block at
+    a time is on the driver."""
+    rows = queries.select(query_id, vector)
+    count, width = rows.agg(F.count("*"), F.max(F.size(vector))).first()
+    most = max(1, min(MAX_BROADCAST_QUERIES, MAX_BROADCAST_BYTES // (8 * max(1, width or 1))))
+    blocks = -(-count // most)
+    for block in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block) if blocks > 1 else rows
+        held = part.collect()
+        if held:
+            yield held
+
+
+def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
+    """The results of all blocks. Each of several is written, so that the plan stays small and no
+    more than one block has to be held for repeats."""
+    if not parts:
+        return empty
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def best_k(found: DataFrame, query_id: str, order: list[str], k: int) -> DataFrame:
@@ -85,25 +95,31 @@ def nearest(
 ) -> DataFrame:
     """The k nearest rows of every query: query id, rank, id, distance, score, best first.
 
-    The filter runs below the search and reaches the scan for top-level columns.
+    The filter runs below the search and reaches the scan for top-level columns. Rows and queries
+    whose vector is null or not finite take no part (:func:`unsearchable` counts them). Queries
+    above the broadcast bound are searched in blocks, each by a scan of its own.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     k = min(k, C.MAX_SEARCH_K)
-    rows = apply_filter(collection, where).where(F.col(vector_col).isNotNull())
-    rows = rows.select(F.col(id_col), F.col(vector_col))
-    queries = queries.where(F.col(query_vector).isNotNull())
-    held = bounded_queries(queries, query_id, query_vector)
-    if held is None:
-        found = _grid(rows, queries, k, metric, id_col, vector_col, query_id, query_vector)
-    else:
-        found = _scan(rows, queries, held, k, metric, id_col, query_id)
+    rows = apply_filter(collection, where).where(finite(vector_col)).select(F.col(id_col), F.col(vector_col))
+    queries = queries.where(finite(query_vector))
+    parts = []
+    for held in query_blocks(queries, query_id, query_vector):
+        part = _scan(rows, queries, held, k, metric, id_col, query_id)
+        parts.append(written(part, "block") if len(held) >= MAX_BROADCAST_QUERIES // 2 else part)
+    found = _union(parts, rows.sparkSession.createDataFrame([], _schema(rows, queries, id_col, query_id)))
     ranked = best_k(found, query_id, ["distance", id_col], k)
     return ranked.withColumn("score", similarity("distance")).select(
         query_id, "rank", id_col, "distance", "score"
     )
 
 
+def unsearchable(rows: DataFrame, vector_col: str = "embedding") -> DataFrame:
+    """One row: rows in all, and those whose vector is null or not finite."""
+    return rows.agg(F.count("*").alias("rows"), F.count_if(~finite(vector_col)).alias("unsearchable"))
+
+
 def _schema(rows: DataFrame, queries: DataFrame, id_col: str, query_id: str) -> str:
     kinds = dict(rows.dtypes) | {query_id: dict(queries.dtypes)[query_id]}
     return f"`{query_id}` {kinds[query_id]}, `{id_col}` {kinds[id_col]}, distance double"
@@ -114,8 +130,6 @@ def _scan(rows, queries, held, k, metric, id_col, query_id, probe=None) -> DataF
     and then the rows carry their cell between id and vector."""
     spark = rows.sparkSession
     schema = _schema(rows, queries, id_col, query_id)
-    if not held:
-        return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(
         ([r[0] for r in held], np.array([r[1] for r in held], dtype=np.float64), probe)
     )
@@ -142,40 +156,6 @@ def _scan(rows, queries, held, k, metric, id_col, query_id, probe=None) -> DataF
     return rows.mapInArrow(task, schema)
 
 
-def _grid(rows, queries, k, metric, id_col, vector_col, query_id, query_vector) -> DataFrame:
-    """Query blocks by collection shards. Both are cut by a hash of a unique id, so a grid cell
-    is bounded however ids, labels or copies are distributed."""
-    blocks = max(1, -(-queries.count() // GRID_BLOCK))
-    shards = max(1, -(-rows.count() // GRID_SHARD))
-    left = queries.select(
-        F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-        F.col(query_id),
-        F.col(query_vector),
-    ).withColumn("shard", F.col("shard").cast("bigint"))
-    right = rows.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.pmod(F.xxhash64(id_col), F.lit(shards)).alias("shard"),
-        F.col(id_col),
-        F.col(vector_col),
-    ).withColumn("block", F.col("block").cast("bigint"))
-
-    def cell(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({query_id: [], id_col: [], "distance": []})
-        best = Nearest(np.stack(q[query_vector].to_numpy()), k, metric)
-        ids = r[id_col].to_numpy()
-        best.add(ids.astype(str) if ids.dtype == object else ids, np.stack(r[vector_col].to_numpy()))
-        columns = best.columns(q[query_id].tolist())
-        return pd.DataFrame(dict(zip((query_id, id_col, "distance"), columns)))
-
-    return (
-        left.groupBy("block", "shard")
-        .cogroup(right.groupBy("block", "shard"))
-        .applyInPandas(cell, _schema(rows, queries, id_col, query_id))
-    )
-
-
 def label_means(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
     """Mean vector per label, aggregated in the JVM with map-side partial sums."""
     mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
@@ -184,39 +164,51 @@ def label_means(vectors: DataFrame, label: str = "label", vector: str = "embeddi
 
 def with_content(hits: DataFrame, collection: DataFrame, id_col: str = "id") -> DataFrame:
     """Put content and metadata on the hits, after the search, so that the search itself reads
-    two columns only. Few hits become a filter on the ids, which lets the scan skip row groups."""
-    found, count = small_side(hits, "hits")
-    if count <= MAX_LISTED_IDS:
-        ids = [r[0] for r in found.select(id_col).distinct().collect()]
-        collection = collection.where(F.col(id_col).isin(ids))
+    two columns only."""
+    found, _ = small_side(hits, "hits")
     return collection.join(found, id_col)
 
 
 # --- cells: an index written as a partitioned table ---------------------------------------------
 
-# Rows that the cell centres are fitted on at most. Centres only steer which cells are read:
-# an exact search is exact with any centres.
-TRAIN_ROWS = 2_000_000
+def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of one matrix to all of another, by products."""
+    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2.0 * (a @ b.T)
+    return np.sqrt(np.maximum(squares, 0.0))
+
+
+def _cell_of(middles: np.ndarray):
+    def cells(vectors: pd.Series) -> pd.Series:
+        return pd.Series(_gaps(np.stack(vectors.to_numpy()).astype(np.float64), middles).argmin(1).astype(np.int32))
+
+    return cells
 
 
 def build_cells(
-    collection: DataFrame, cells: int, path: str | None = None,
-    vector_col: str = "embedding", seed: int = 7,
+    collection: DataFrame, cells: int | None = None, path: str | None = None,
+    vector_col: str = "embedding", seed: int = 7, centres: list[list[float]] | None = None, share: float = 1.0,
 ) -> tuple[DataFrame, DataFrame]:
     """(cell, centre, radius) and the collection with its ``cell``, written partitioned by it.
 
+    Centres are fitted by k-means on all rows, or on a ``share`` of them that the caller names, or
+    are given. Rows without a finite vector are left out.
+
     A search then reads only the cells that can matter. The rebalance hint lets adaptive
     execution split a cell that holds very many rows over several tasks and files.
     """
     spark = collection.sparkSession
-    rows = collection.where(F.col(vector_col).isNotNull())
-    featured = rows.withColumn("_v", array_to_vector(F.col(vector_col).cast("array<double>")))
-    share = min(1.0, TRAIN_ROWS / max(1, rows.count()))
-    train = featured.select("_v") if share == 1.0 else featured.select("_v").sample(share, seed=seed)
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="_v", predictionCol="cell").fit(train)
-    middles = np.array([c for c in model.clusterCenters()])
+    rows = collection.where(finite(vector_col))
+    if centres is None:
+        featured = rows.withColumn("_v", array_to_vector(F.col(vector_col).cast("array<double>")))
+        train = featured.select("_v") if share >= 1.0 else featured.select("_v").sample(share, seed=seed)
+        model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="_v", predictionCol="cell").fit(train)
+        middles = np.array([c for c in model.clusterCenters()])
+        indexed = model.transform(featured).drop("_v")
+    else:
+        middles = np.array(centres, dtype=np.float64)
+        nearest_centre = F.pandas_udf(_cell_of(middles), "int")
+        indexed = rows.withColumn("cell", nearest_centre(vector_col))
     target = path or scratch_path(spark, "cells")
-    indexed = model.transform(featured).drop("_v")
     indexed.hint("rebalance", "cell").write.partitionBy("cell").parquet(target)
     stored = spark.read.schema(indexed.schema).parquet(target)
     shared = spark.sparkContext.broadcast(middles)
@@ -261,42 +253,40 @@ def nearest_in_cells(
     farther than r + t from its centre. The result then equals a full search.
     """
     k = min(k, C.MAX_SEARCH_K)
-    held = bounded_queries(queries.where(F.col(query_vector).isNotNull()), query_id, query_vector)
-    if held is None:
-        # Very many queries touch every cell: the full search takes them in blocks.
-        return nearest(indexed, queries, k, "l2", None, id_col, vector_col, query_id, query_vector)
-    rows = indexed.where(F.col(vector_col).isNotNull()).select(id_col, "cell", vector_col)
-    if not held:
-        return rows.sparkSession.createDataFrame(
-            [], _schema(rows, queries, id_col, query_id) + ", rank bigint, score double"
-        )
-    q = np.array([r[1] for r in held], dtype=np.float64)
-    known = centres.orderBy("cell").collect()  # one row per cell, bounded by the index
+    queries = queries.where(finite(query_vector))
+    rows = indexed.where(finite(vector_col)).select(id_col, "cell", vector_col)
+    known = centres.orderBy("cell").collect()  # one row per cell, as many as the caller asked for
     label = np.array([r["cell"] for r in known])
     middle = np.array([r["centre"] for r in known], dtype=np.float64)
-    gap = np.sqrt(((q[:, None, :] - middle[None, :, :]) ** 2).sum(axis=2))
-    near = np.argsort(gap, axis=1, kind="stable")[:, : min(nprobe, len(label))]
-    pairs = np.zeros(gap.shape, dtype=bool)
-    np.put_along_axis(pairs, near, True, axis=1)
-
-    def probed(mask: np.ndarray) -> DataFrame:
-        """Scan of the cells that any query probes: the cell filter prunes the index."""
-        wanted = [int(c) for c in label[mask.any(axis=0)]]
-        part = rows.where(F.col("cell").isin(wanted))
-        return _scan(part, queries, held, k, "l2", id_col, query_id, (label, mask))
-
-    found = probed(pairs)
-    if exact:
-        first = written(best_k(found, query_id, ["distance", id_col], k).drop("rank"), "cells")
-        # At most k rows per query: bounded by the query bound and the cap on k.
-        reach = {
-            r[0]: np.sqrt(r[2]) if r[1] >= k else np.inf
-            for r in first.groupBy(query_id).agg(F.count("*"), F.max("distance")).collect()
-        }
-        radii = np.array([r["radius"] for r in known])
-        bound = np.array([reach.get(r[0], np.inf) for r in held])
-        more = ~pairs & (radii >= 0) & (gap <= radii + bound[:, None] + 1e-6)
-        found = first.unionByName(probed(more)) if more.any() else first
+    radii = np.array([r["radius"] for r in known])
+    parts = []
+    for held in query_blocks(queries, query_id, query_vector):
+        # Distances of one block of queries to the cells: bounded by the block.
+        gap = _gaps(np.array([r[1] for r in held], dtype=np.float64), middle)
+        near = np.argsort(gap, axis=1, kind="stable")[:, : min(nprobe, len(label))]
+        pairs = np.zeros(gap.shape, dtype=bool)
+        np.put_along_axis(pairs, near, True, axis=1)
+
+        def probed(mask: np.ndarray) -> DataFrame:
+            """Scan of the cells that any query probes: the cell filter prunes the index."""
+            wanted = [int(c) for c in label[mask.any(axis=0)]]
+            part = rows.where(F.col("cell").isin(wanted))
+            return _scan(part, queries, held, k, "l2", id_col, query_id, (label, mask))
+
+        found = probed(pairs)
+        if exact:
+            first = written(best_k(found, query_id, ["distance", id_col], k).drop("rank"), "cells")
+            # At most k rows per query: bounded by the block and the cap on k.
+            reach = {
+                r[0]: np.sqrt(r[2]) if r[1] >= k else np.inf
+                for r in first.groupBy(query_id).agg(F.count("*"), F.max("distance")).collect()
+            }
+            bound = np.array([reach.get(r[0], np.inf) for r in held])
+            slack = 1e-6 * (1.0 + np.abs(gap))
+            more = ~pairs & (radii >= 0) & (gap <= radii + bound[:, None] + slack)
+            found = first.unionByName(probed(more)) if more.any() else first
+        parts.append(written(found, "block") if len(held) >= MAX_BROADCAST_QUERIES // 2 else found)
+    found = _union(parts, rows.sparkSession.createDataFrame([], _schema(rows, queries, id_col, query_id)))
     ranked = best_k(found, query_id, ["distance", id_col], k)
     return ranked.withColumn("score", similarity("distance")).select(
         query_id, "rank", id_col, "distance", "score"

@@ -89,7 +89,7 @@ def bulk_evict(spark, sf_dir):
 
 
 def cache_store(spark, sf_dir):
-    """New entries from the labels, some of them under keys that exist: only new keys evict."""
+    """New entries from the labels: the cache keeps its limit, however many keys are new."""
     cache = _stored_cache(spark, sf_dir).select("key", "value", "created_at", "accessed_at")
     new = table(spark, sf_dir, "labels").select(
         F.sha2(F.col("doc_id").cast("string"), 256).alias("key"), F.col("quality").cast("double").alias("value"),
@@ -99,6 +99,15 @@ def cache_store(spark, sf_dir):
     return caches.store(cache, new, C.RESPONSE_CACHE_SIZE).select("key", "value", "accessed_at")
 
 
+def cache_touch(spark, sf_dir):
+    """Entries as old as their making, refreshed by the clicks among the events."""
+    cache = _stored_cache(spark, sf_dir).withColumn("accessed_at", F.col("created_at"))
+    clicks = table(spark, sf_dir, "events").where("event_id % 2 = 0")
+    key = F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type", "props"), 256)
+    out = caches.touch(cache, clicks.select(key.alias("key"), F.col("ts").alias("at")))
+    return out.select("key", "created_at", "accessed_at")
+
+
 def cache_stats(spark, sf_dir):
     out = caches.cache_stats(_access_log(spark, sf_dir), C.EMBEDDING_CACHE_SIZE, "key")
     return out.withColumns({c: F.round(c, 6) for c in ("avg_text_length", "cache_size_mb")})
@@ -121,7 +130,7 @@ def cache_clear(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     embedding_cache_lookup, cache_lookup_ttl, hit_rate, response_cache_lookup, lru_keep, bulk_evict,
-    cache_store, cache_stats, cache_roundtrip, cache_clear,
+    cache_store, cache_touch, cache_stats, cache_roundtrip, cache_clear,
 )}
 
 _WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -152,11 +161,16 @@ FROM (SELECT conv_id, turn, {_RESPONSE.format(f"translate(question, '{LOWER}', '
   SELECT *, row_number() OVER (ORDER BY accessed_at, key) AS n, count(*) OVER () AS entries FROM log)
 WHERE entries < {C.RESPONSE_CACHE_SIZE} OR n > greatest(1, entries // 10)""",
     "cache_store": f"""WITH {_LOG}, new AS (SELECT sha256(doc_id::VARCHAR) AS key, quality::DOUBLE AS value, TIMESTAMP '2025-01-01' AS accessed_at FROM labels),
-added AS (SELECT count(*) AS n FROM new WHERE key NOT IN (SELECT key FROM log)),
-ranked AS (SELECT *, row_number() OVER (ORDER BY accessed_at, key) AS n, count(*) OVER () AS entries FROM log),
-base AS (SELECT key, value, accessed_at FROM ranked
-  WHERE (SELECT n FROM added) = 0 OR entries < {C.RESPONSE_CACHE_SIZE} OR n > greatest(1, entries // 10))
-SELECT * FROM base WHERE key NOT IN (SELECT key FROM new) UNION ALL SELECT * FROM new""",
+sizes AS (SELECT (SELECT count(*) FROM log) AS old, (SELECT count(*) FROM new WHERE key NOT IN (SELECT key FROM log)) AS added),
+left_over AS (SELECT CASE WHEN added <= greatest(0, {C.RESPONSE_CACHE_SIZE} - old) THEN old + added
+  ELSE {C.RESPONSE_CACHE_SIZE} - {C.RESPONSE_CACHE_SIZE // 10} + 1
+    + (added - greatest(0, {C.RESPONSE_CACHE_SIZE} - old) - 1) % {C.RESPONSE_CACHE_SIZE // 10} END AS n FROM sizes),
+both_parts AS (SELECT key, value, accessed_at FROM log WHERE key NOT IN (SELECT key FROM new) UNION ALL SELECT * FROM new)
+SELECT key, value, accessed_at FROM (SELECT *, row_number() OVER (ORDER BY accessed_at DESC, key DESC) AS place FROM both_parts)
+WHERE place <= (SELECT n FROM left_over)""",
+    "cache_touch": f"""WITH {_LOG}, used AS (SELECT sha256(user_id || '|' || event_type || '|' || props) AS key, max(ts) AS last
+  FROM events WHERE event_id % 2 = 0 GROUP BY ALL)
+SELECT l.key, created_at, greatest(created_at, coalesce(last, created_at)) AS accessed_at FROM log l LEFT JOIN used u ON l.key = u.key""",
     "cache_stats": f"""WITH {_LOG} SELECT count(*) AS total_entries, {C.EMBEDDING_CACHE_SIZE}::BIGINT AS max_size, min(created_at) AS oldest_entry,
   max(created_at) AS newest_entry, round(avg(text_length), 6) AS avg_text_length, round(sum(64) / 1048576.0::DOUBLE, 6) AS cache_size_mb FROM log""",
     "cache_roundtrip": f"WITH {_LOG} SELECT * FROM log",

@@ -64,9 +64,33 @@ def knn_cells_exact(spark, sf_dir):
 
 
 def knn_cells_approx(spark, sf_dir):
+    """Three cells for each question, around the label means."""
     rows = _collection(spark, sf_dir)
-    centres, indexed = search.build_cells(rows, 16)
-    return _shown(search.nearest_in_cells(indexed, centres, _questions(rows), K, 8, id_col="vec_id"))
+    means = [r.query_vector for r in _questions(rows).orderBy("query_id").collect()]  # one a label
+    centres, indexed = search.build_cells(rows, centres=means)
+    return _shown(search.nearest_in_cells(indexed, centres, _questions(rows), K, 3, id_col="vec_id"))
+
+
+def knn_every_vector(spark, sf_dir):
+    """Every vector as a question."""
+    rows = _collection(spark, sf_dir)
+    asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return _shown(search.nearest(rows, asked, 3, id_col="vec_id"))
+
+
+def _with_gaps(rows):
+    """Every seventh vector has a component that is no number."""
+    broken = F.transform("embedding", lambda x, i: F.when(i == 3, F.lit(float("nan"))).otherwise(x))
+    return rows.withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, broken).otherwise(F.col("embedding")))
+
+
+def knn_finite_topk(spark, sf_dir):
+    rows = _collection(spark, sf_dir)
+    return _shown(search.nearest(_with_gaps(rows), _questions(rows), K, id_col="vec_id"))
+
+
+def unsearchable_vectors(spark, sf_dir):
+    return search.unsearchable(_with_gaps(_collection(spark, sf_dir)))
 
 
 def hits_with_labels(spark, sf_dir):
@@ -79,7 +103,7 @@ def hits_with_labels(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     knn_l2_topk, knn_cosine_topk, knn_inner_topk, knn_filtered_topk, knn_max_k,
-    knn_cells_exact, knn_cells_approx, hits_with_labels,
+    knn_cells_exact, knn_cells_approx, knn_every_vector, knn_finite_topk, unsearchable_vectors, hits_with_labels,
 )}
 
 _DISTANCE = {
@@ -109,6 +133,17 @@ ORACLE = {
     "knn_filtered_topk": _sql("l2", K + C.DEFAULT_K_OVERLAP, "label IN (1, 3, 5, 7)"),
     "knn_max_k": _sql("l2", C.MAX_SEARCH_K),
     "knn_cells_exact": _sql("l2", K),
+    "knn_finite_topk": _sql("l2", K, "vec_id % 7 <> 0"),
+    "unsearchable_vectors": "SELECT count(*) AS rows, count(*) FILTER (vec_id % 7 = 0) AS unsearchable FROM embeddings",
+    "knn_every_vector": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+found AS (SELECT a.vec_id AS query_id, b.vec_id, round(pow(list_distance(a.v, b.v), 2), 9) AS d FROM e a, e b),
+hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank, vec_id, round(1 - d, 9) AS score FROM found)
+SELECT * FROM hits WHERE rank <= 3""",
+    "knn_cells_approx": _sql("l2", K).replace("found AS (", """celled AS (SELECT vec_id, label, v,
+  (SELECT arg_min(query_id, list_distance(e.v, q)) FROM means) AS cell FROM e),
+probed AS (SELECT query_id, cell FROM (SELECT a.query_id, b.query_id AS cell,
+  row_number() OVER (PARTITION BY a.query_id ORDER BY list_distance(a.q, b.q)) AS n FROM means a, means b) WHERE n <= 3),
+found AS (""").replace("FROM means, e WHERE true", "FROM means JOIN probed USING (query_id) JOIN celled USING (cell)"),
     "hits_with_labels": _sql("l2", C.CONTEXT_HITS).replace(
         "SELECT query_id, rank, vec_id, score FROM", "SELECT query_id, rank, vec_id, label, score FROM"
     ),

@@ -53,12 +53,10 @@ def test_exact(frames, vectors, metric):
     assert shown(search.nearest(rows.coalesce(1), queries, 10, metric)) == want
 
 
-def test_grid_and_two_step_merge(frames, vectors, spark, monkeypatch):
+def test_query_blocks_and_two_step_merge(frames, vectors, spark, monkeypatch):
     rows, queries, asked = frames
     want = brute(vectors, asked, 10, "l2")
     monkeypatch.setattr(search, "MAX_BROADCAST_QUERIES", 3)
-    monkeypatch.setattr(search, "GRID_BLOCK", 2)
-    monkeypatch.setattr(search, "GRID_SHARD", 100)
     assert shown(search.nearest(rows, queries, 10)) == want
     spark.conf.set("spark.sql.shuffle.partitions", "96")
     try:
@@ -140,19 +138,40 @@ def test_cells(frames, vectors, sf_dir, spark):
 def test_cells_with_many_queries(frames, vectors, monkeypatch):
     rows, queries, asked = frames
     centres, stored = search.build_cells(rows, 4)
-    monkeypatch.setattr(search, "MAX_BROADCAST_QUERIES", 2)
-    assert shown(search.nearest_in_cells(stored, centres, queries, 5)) == brute(vectors, asked, 5, "l2")
+    for options in ({"nprobe": 1}, {"nprobe": 2}, {"nprobe": 1, "exact": True}):
+        monkeypatch.setattr(search, "MAX_BROADCAST_QUERIES", 4096)
+        want = shown(search.nearest_in_cells(stored, centres, queries, 5, **options))
+        for bound in (100, 2):
+            monkeypatch.setattr(search, "MAX_BROADCAST_QUERIES", bound)
+            assert shown(search.nearest_in_cells(stored, centres, queries, 5, **options)) == want
+        if "exact" in options:
+            assert want == brute(vectors, asked, 5, "l2")
 
 
-def test_hits_get_their_content(frames, monkeypatch):
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_odd_vectors_change_no_other_hit(frames, vectors, spark, metric, monkeypatch):
+    rows, queries, asked = frames
+    odd = [[float("nan")] * 8, [1.0] * 7 + [float("inf")], None]
+    more = spark.createDataFrame([(5000 + i, v) for i, v in enumerate(odd)], rows.schema)
+    also = spark.createDataFrame([(5000 + i, v) for i, v in enumerate(odd)], queries.schema)
+    rows, queries = rows.unionByName(more).coalesce(1), queries.unionByName(also)
+    want = brute(vectors, asked, 10, metric)
+    assert shown(search.nearest(rows, queries, 10, metric)) == want
+    if metric == "l2":
+        centres, stored = search.build_cells(rows, 6)
+        assert shown(search.nearest_in_cells(stored, centres, queries, 10, 1, exact=True)) == want
+    monkeypatch.setattr(search, "MAX_BROADCAST_QUERIES", 3)
+    assert shown(search.nearest(rows, queries, 10, metric)) == want
+    assert search.unsearchable(rows).first() == (453, 3)
+
+
+def test_hits_get_their_content(frames):
     rows, queries, _ = frames
     hits = search.nearest(rows, queries, 3)
     named = rows.withColumn("content", F.concat(F.lit("c"), F.col("id").cast("string"))).select("id", "content")
     want = sorted((r.query_id, r.id, f"c{r.id}") for r in hits.collect())
-    for bound in (1000, 2):
-        monkeypatch.setattr(search, "MAX_LISTED_IDS", bound)
-        got = search.with_content(hits, named).collect()
-        assert sorted((r.query_id, r.id, r.content) for r in got) == want
+    got = search.with_content(hits, named).collect()
+    assert sorted((r.query_id, r.id, r.content) for r in got) == want
 
 
 def test_cell_recall(spark, sf_dir):
@@ -192,6 +211,13 @@ def test_terms_against_brute_force(spark, monkeypatch):
         assert sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in got) == sorted(want)
 
 
+def test_unknown_provider_comes_last(spark):
+    raw = spark.createDataFrame(
+        [(1, "newsite", 1), (1, "local_firecrawl", 2), (2, "newsite", 1)], "query_id int, provider string, position int"
+    )
+    assert sorted((r.query_id, r.provider) for r in first_provider(raw).collect()) == [(1, "local_firecrawl"), (2, "newsite")]
+
+
 def test_first_provider_and_append(spark):
     raw = spark.createDataFrame(
         [(1, "duckduckgo", 1), (1, "firecrawl", 5), (1, "firecrawl", 4), (2, "fallback", 1), (2, "duckduckgo", 2)],

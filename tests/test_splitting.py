@@ -202,3 +202,13 @@ def test_empty_corpus(spark):
 def test_cap(docs):
     chunks = chunking.fixed_windows(docs.where("doc_id = 1"), 100, 0)
     assert chunking.cap_chunks(chunks, 3).count() == 3
+
+
+def test_control_characters_stay_in_segments_and_sections(spark):
+    text = "a\x01b\x02# c\n\x02# d\n```\n# x\x01\n\x02# y\n```\n# H\x02\n\x01z"
+    docs = spark.createDataFrame([(text,)], "content string")
+    rows = chunking.fence_segments(docs).orderBy("segment_no").collect()
+    assert "".join(r.segment for r in rows) == text and [r.kind for r in rows] == ["text", "code", "text"]
+    sections = chunking.header_sections(docs).orderBy("no_1").collect()
+    assert [r.section for r in sections] == ["a\x01b\x02# c\n\x02# d\n```\n# x\x01\n\x02# y\n```", "\x01z"]
+    assert sections[1].header_1 == "H\x02"

@@ -59,6 +59,60 @@ def test_store_evicts_only_for_new_keys(spark):
     assert keys(grown) == sorted(digest(i) for i in [*range(1, 10), 50])
 
 
+def test_store_keeps_the_limit(spark):
+    """As many new keys as you like: the result is that of adding them one by one."""
+    for size, added, limit, drop in [(10, 1, 10, 1), (10, 50, 10, 1), (0, 11, 10, 1), (20, 7, 20, None), (35, 13, 40, 4), (44, 30, 40, 4)]:
+        entries = [(i, i) for i in range(size)]
+        new = [(100 + i, 1000 + i) for i in range(added)]
+        held = [k for k, _ in entries][-limit:]
+        for k, _ in new:
+            if len(held) >= limit:
+                held = held[max(1, limit // 10 if drop is None else drop):]
+            held.append(k)
+        got = caches.store(cache_of(spark, entries), cache_of(spark, new), limit, drop)
+        assert keys(got) == sorted(map(digest, held)), (size, added, limit, drop)
+
+
+def test_entries_without_a_time_are_oldest(spark):
+    timed = cache_of(spark, [(i, i) for i in range(20)])
+    cache = timed.withColumn("accessed_at", F.when(~F.col("key").isin([digest(i) for i in (5, 6, 7, 8)]), F.col("accessed_at")))
+    assert keys(caches.keep_recent(cache, 18)) == sorted(set(map(digest, range(20))) - set(sorted(map(digest, (5, 6, 7, 8)))[:2]))
+    assert caches.keep_recent(cache, 3).count() == 3
+
+
+def test_lookups_refresh_entries(spark):
+    cache = cache_of(spark, [(i, i) for i in range(4)])
+    asked = cache_of(spark, [(0, 50), (0, 60), (9, 70)]).select("key", F.col("accessed_at").alias("at"))
+    touched = caches.touch(cache, asked)
+    assert touched.columns == cache.columns
+    assert keys(caches.keep_recent(touched, 1)) == [digest(0)]
+
+
+def test_scratch_only_in_a_shared_folder(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from corpusloom import session
+
+    named = spark.conf.get(session.CHECKPOINT_KEY, None)
+    away = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: None),
+        sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None),
+    )
+    with pytest.raises(RuntimeError, match="share"):
+        session.shared_dir(away)
+    kept = session.written(spark.range(3), "mine")
+    assert kept.count() == 3 and session.own_scratch(spark) in kept.inputFiles()[0]
+    assert named is None or session.own_scratch(spark).startswith(named)
+
+
+def test_numbering_and_ties_with_nulls(spark):
+    rows = spark.createDataFrame([(None, 2), (None, 1), ("a", 5)], "g string, t int")
+    assert sorted((str(r.g), r.t, r.n) for r in joins.numbered(rows, "g", "t", "n").collect()) == [("None", 1, 1), ("None", 2, 2), ("a", 5, 1)]
+    same = spark.createDataFrame([(1, 0, x) for x in "abcdefgh"], "id int, seq int, v string")
+    assert len({joins.latest_per_key(same.repartition(n), "id", "seq").first().v for n in (1, 3, 8)}) == 1
+    assert joins.latest_per_key(same, "id", "seq", "v").first().v == "h"
+
+
 def test_lookup_hot_key(spark, monkeypatch):
     """A third of the rows ask for one key: they are joined apart, with the same result."""
     rows = spark.range(600).select(
