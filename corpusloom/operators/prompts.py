@@ -63,6 +63,13 @@ def fill(template: str, **values: Column | str) -> Column:
     return F.concat(*parts)
 
 
+def _block(rank: Column, title: Column, content: Column, provider: str) -> Column:
+    return F.concat(
+        F.lit("\n"), rank.cast("string"), F.lit(". From '"), F.coalesce(title, F.lit("Unknown")), F.lit("':\n"),
+        preview(F.coalesce(content, F.lit("")), CONTEXT_CHARS[provider]), F.lit("...\n"),
+    )
+
+
 def context_blocks(
     hits: DataFrame, provider: str = "ollama", query_id: str = "query_id", limit: int = C.CONTEXT_HITS
 ) -> DataFrame:
@@ -70,11 +77,7 @@ def context_blocks(
     few = hits.where(F.col("rank") <= limit).select(
         query_id,
         F.col("rank"),
-        F.concat(
-            F.lit("\n"), F.col("rank").cast("string"), F.lit(". From '"),
-            F.coalesce("title", F.lit("Unknown")), F.lit("':\n"),
-            preview(F.coalesce("content", F.lit("")), CONTEXT_CHARS[provider]), F.lit("...\n"),
-        ).alias("_block"),
+        _block(F.col("rank"), F.col("title"), F.col("content"), provider).alias("_block"),
     )
     # At most ``limit`` short blocks per question are collected.
     ordered = F.array_sort(F.collect_list(F.struct("rank", "_block")))
@@ -82,6 +85,25 @@ def context_blocks(
     return few.groupBy(query_id).agg(F.concat(F.lit(CONTEXT_HEAD[provider]), joined).alias("context"))
 
 
+def provider_prompts(questions: DataFrame, hits: DataFrame, providers: list[str] | None = None,
+                     query_id: str = "query_id", limit: int = C.CONTEXT_HITS) -> DataFrame:
+    """query id, provider and prompt for several kinds of model: one aggregation of the hits
+    serves all of them."""
+    names = list(providers or PROMPTS)
+    few = hits.where(F.col("rank") <= limit).select(query_id, F.struct("rank", "title", "content").alias("_hit"))
+    best = few.groupBy(query_id).agg(F.array_sort(F.collect_list("_hit")).alias("_hits"))  # at most ``limit``
+
+    def context(name: str) -> Column:
+        blocks = F.transform("_hits", lambda h: _block(h["rank"], h["title"], h["content"], name))
+        return F.coalesce(F.concat(F.lit(CONTEXT_HEAD[name]), F.array_join(blocks, "")), F.lit(""))
+
+    made = [
+        F.struct(F.lit(n).alias("provider"), fill(PROMPTS[n], context=context(n), question="question").alias("prompt"))
+        for n in names
+    ]
+    return questions.join(best, query_id, "left").select(query_id, F.inline(F.array(*made)))
+
+
 def prompts(questions: DataFrame, contexts: DataFrame, provider: str = "ollama",
             query_id: str = "query_id", question: str = "question") -> DataFrame:
     """Full prompt per question; without hits the context is empty."""
@@ -132,9 +154,12 @@ def styled_request(style: Column | str, language: Column | str, prompt: Column |
 
 
 def answer_records(
-    questions: DataFrame, hits: DataFrame, answers: DataFrame, query_id: str = "query_id"
+    questions: DataFrame, hits: DataFrame, answers: DataFrame, query_id: str = "query_id",
+    limit: int = C.MAX_SEARCH_K,
 ) -> DataFrame:
-    """Question, its answer and its sources. Hits per question are bounded by the cap on k."""
+    """Question, its answer and its sources: the first ``limit`` hits, as a search returns no
+    more. That bounds what is collected for a question."""
+    hits = hits.where(F.col("rank") <= limit)
     sources = F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "id", "title", "score"))), lambda s: s
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import constants as C
 from corpusloom.operators import chunking, stats
+from corpusloom.plans.flows import upload_chunks
 from corpusloom.plans.tables import documents
 from corpusloom.session import scratch_path
 from corpusloom.sources import files
@@ -161,7 +162,8 @@ def scraped_documents(spark, sf_dir):
         F.floor(F.col("doc_id") / 500).cast("bigint").alias("part"), "lang",
         F.struct(
             F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), "content", "source",
-            F.col("doc_id").cast("double").alias("scraped_at"),
+            F.col("doc_id").cast("double").alias("scraped_at"), F.col("lang").alias("language"),
+            F.struct(F.col("doc_id").alias("id")).alias("about"),
         ).alias("doc"),
     )
     paths = []
@@ -170,12 +172,39 @@ def scraped_documents(spark, sf_dir):
         paths.append(scratch_path(spark, f"scraped-{label}"))
         arrays.write.partitionBy("part").text(paths[-1])
     found = files.read_scraped(spark, [paths[0], scratch_path(spark, "absent"), paths[1]])
-    return found.select("title", "content", "source", "doc_type", "scraped_at")
+    return found.select(
+        "title", "content", "source", "doc_type", "scraped_at", "read_error",
+        F.get_json_object(F.try_element_at("extra", F.lit("about")), "$.id").alias("about_id"),
+        F.replace(F.try_element_at("extra", F.lit("language")), F.lit('"'), F.lit("")).alias("language"),
+        F.size("extra").cast("bigint").alias("other_keys"),
+    )
+
+
+def saved_counts(spark, sf_dir):
+    """Chunks by type and by source, from what is saved beside them."""
+    docs = documents(spark, sf_dir, "doc_id", "source")
+    chunks = chunking.fixed_windows(docs).withColumn("chunk_type", F.concat(F.lit("part "), F.least("chunk_position", F.lit(2)).cast("string")))
+    path = scratch_path(spark, "saved")
+    files.save_chunks(chunks.select("doc_id", "source", "chunk_type", "content", "word_count"), path)
+    return files.load_counts(spark, path)
+
+
+def same_named_files(spark, sf_dir):
+    """Pairs of documents as files of one name in two folders: the one changed last is stored."""
+    docs = documents(spark, sf_dir, "doc_id", "lang")
+    name = F.concat(F.lit("/doc_"), F.floor(F.col("doc_id") / 2).cast("string"), F.lit(".txt"))
+    made = F.timestamp_seconds(F.when(F.col("doc_id") % 6 < 2, F.lit(0)).otherwise(F.col("doc_id") % 5))
+    raw = docs.select(
+        "doc_id", F.concat(F.lit("/in/"), (F.col("doc_id") % 2).cast("string"), name).alias("path"),
+        made.alias("modificationTime"), F.encode("content", "UTF-8").alias("content"),
+    )
+    _, report = upload_chunks(raw)
+    return report.select("doc_id", "filename", "success", "superseded")
 
 
 QUERIES = {f.__name__: f for f in (
     extract_text_files, rtf_text, extract_summary, file_gate, supported_formats, extract_office_files,
-    csv_profile, saved_chunks, scraped_documents,
+    csv_profile, saved_chunks, saved_counts, scraped_documents, same_named_files,
 )}
 
 _RTF = "replace(regexp_replace(regexp_replace({0}, '\\\\[a-z]+\\d*\\s?', '', 'g'), '[{{}}]', '', 'g'), '\\', '')"
@@ -185,7 +214,14 @@ _LINES = "string_split(text, chr(10))"
 _WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 ORACLE = {
-    "scraped_documents": """SELECT 'doc ' || doc_id AS title, text AS content, source, NULL::VARCHAR AS doc_type, doc_id::DOUBLE AS scraped_at FROM documents""",
+    "scraped_documents": """SELECT 'doc ' || doc_id AS title, text AS content, source, NULL::VARCHAR AS doc_type, doc_id::DOUBLE AS scraped_at,
+  NULL::VARCHAR AS read_error, doc_id::VARCHAR AS about_id, lang AS language, 2::BIGINT AS other_keys FROM documents""",
+    "saved_counts": """WITH w AS (SELECT source, unnest(range(greatest(0, length(text) - 201) // 800 + 1)) AS i FROM documents WHERE text <> ''),
+k AS (SELECT 'part ' || least(i, 2) AS chunk_type, source FROM w)
+SELECT chunk_type, NULL::VARCHAR AS source, count(*) AS chunks, 1::BIGINT AS grouping FROM k GROUP BY chunk_type
+UNION ALL SELECT NULL, source, count(*), 2 FROM k GROUP BY source UNION ALL SELECT NULL, NULL, count(*), 3 FROM k""",
+    "same_named_files": """WITH f AS (SELECT doc_id, 'doc_' || doc_id // 2 || '.txt' AS filename, CASE WHEN doc_id % 6 < 2 THEN 0 ELSE doc_id % 5 END AS made FROM documents)
+SELECT doc_id, filename, true AS success, row_number() OVER (PARTITION BY filename ORDER BY made DESC, doc_id % 2 DESC) > 1 AS superseded FROM f""",
     "extract_text_files": f"""SELECT doc_id, 'doc_' || doc_id || {_KIND} AS filename, lower({_KIND}) AS file_type,
   CASE lang WHEN 'en' THEN 'text' WHEN 'fr' THEN 'text' WHEN 'de' THEN 'rtf' END AS format,
   CASE lang WHEN 'en' THEN text WHEN 'fr' THEN text WHEN 'de' THEN {_RTF.format("'{\\rtf1\\ansi\\deff0 ' || text || '\\par \\b0}'")} ELSE '' END AS content,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import constants as C
@@ -35,12 +35,16 @@ def ask(
     ``collection`` has id, title, content, embedding and the columns that filters name; ``web``
     holds raw web results, taken from the first provider that has any.
     """
-    spec = P.request_filter(technology, sources)
-    found = search_texts(collection, questions, model, k + overlap, spec)
     shown = collection.select("id", "title", "content")
-    found = search.with_content(found.select("query_id", "rank", "id", "score"), shown)
     if mode == "web_only":
-        found = found.limit(0)
+        kind = questions.schema["query_id"].dataType.simpleString()
+        found = shown.sparkSession.createDataFrame(
+            [], f"id string, title string, content string, query_id {kind}, rank bigint, score double"
+        )
+    else:
+        spec = P.request_filter(technology, sources)
+        found = search_texts(collection, questions, model, k + overlap, spec)
+        found = search.with_content(found.select("query_id", "rank", "id", "score"), shown)
     if web is not None:
         from corpusloom.sources.web import web_hits
 
@@ -56,19 +60,32 @@ def ask(
 
 def ingest(
     raw_files: DataFrame, existing: DataFrame, model: PipelineModel, source: str = "api_upload",
-    replace_document: bool = False,
+    replace_document: bool = True, at: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(new collection, extraction report) after a batch of files."""
-    report = files.extract(files.gate(raw_files).where("problem IS NULL").drop("problem"))
-    docs = report.where("success").select(
-        F.col("filename").alias("title"), "content", "file_type", F.lit(source).alias("source")
-    )
-    rows = chunking.chunk_documents(docs)
-    rows = rows.withColumn("id", T.upload_id("title", "chunk_position")).withColumn("seq", F.lit(0))
+    """(new collection, extraction report) after a batch of files.
+
+    A document is known by its file name, as its ids are made of it. Of several files of one name
+    the one changed last is stored (then the one whose path comes last); the report has
+    ``superseded`` for the others. All files of the batch get one ``upload_timestamp``, the
+    current time unless ``at`` is given. What a document had before is replaced.
+    """
+    rows, report = upload_chunks(raw_files, source, at)
     rows = embedding.vectorise(rows.withColumn("text", F.col("content")), model).drop("text")
     return store.upsert(existing, store.cleaned(rows), document_col="title" if replace_document else None), report
 
 
+def upload_chunks(raw_files: DataFrame, source: str = "api_upload", at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks with their ids, extraction report) of a batch of files."""
+    accepted = files.gate(raw_files).where("problem IS NULL").drop("problem")
+    report = files.extract(files.latest_named(accepted))
+    docs = report.where("success AND NOT superseded").select(
+        F.col("filename").alias("title"), "content", "file_type", F.lit(source).alias("source"),
+        (F.current_timestamp() if at is None else at).cast("timestamp").alias("upload_timestamp"),
+    )
+    rows = chunking.chunk_documents(docs)
+    return rows.withColumn("id", T.upload_id("title", "chunk_position")).withColumn("seq", F.lit(0)), report
+
+
 def chunk_corpus(paths: list[str], spark, out: str | None = None) -> DataFrame:
     """Scraped document files to chunks, saved with their statistics when a path is given."""
     chunks = chunking.chunk_documents(files.read_scraped(spark, paths))

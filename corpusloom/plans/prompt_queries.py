@@ -1,34 +1,41 @@
-"""Registered queries over prompts, answers and conversations. The first user message of a
-conversation is its question, the assistant's messages are its hits in order of turn."""
+"""Registered queries over prompts, answers and conversations. Every user message is a question;
+the assistant's messages in the six turns after it are its hits, in order of turn."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom import constants as C
 from corpusloom.functions.text import technology_name
 from corpusloom.operators import prompts
-from corpusloom.operators.joins import numbered
 from corpusloom.plans.tables import documents, table
 
 TECH = "CASE conv_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'django' WHEN 2 THEN 'unknown' END"
 MODE = "CASE conv_id % 3 WHEN 0 THEN 'code' WHEN 1 THEN 'detailed' ELSE 'smart' END"
+QUERY_ID = "conv_id * 100000 + turn"
+REACH = 6  # turns
 ANSWER_MODE = "CASE conv_id % 2 WHEN 0 THEN 'code_generation' ELSE 'smart_answer' END"
 
 
 def _questions(spark, sf_dir):
-    """Conversation, question, technology: conversations start at their lowest user turn."""
+    """One question for each user turn, with technology and modes."""
     talk = table(spark, sf_dir, "conversations").where("role = 'user'")
-    first = talk.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
-    return first.select(F.col("conv_id").alias("query_id"), "question", F.expr(TECH).alias("technology"),
-                        F.expr(MODE).alias("mode"), F.expr(ANSWER_MODE).alias("response_mode"))
+    return talk.select(F.expr(QUERY_ID).alias("query_id"), F.col("text").alias("question"), F.expr(TECH).alias("technology"),
+                       F.expr(MODE).alias("mode"), F.expr(ANSWER_MODE).alias("response_mode"))
 
 
 def _hits(spark, sf_dir):
-    talk = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    ranked = numbered(talk, "conv_id", "turn", "rank")
+    """A message is a hit of the questions at most six turns before it."""
+    talk = table(spark, sf_dir, "conversations")
+    near = F.transform(F.sequence(F.lit(1), F.lit(REACH)), lambda n: F.col("turn") - n)
+    replies = talk.where("role = 'assistant'").select("conv_id", "turn", "text", F.explode(near).alias("asked"))
+    questions = talk.where("role = 'user'").select("conv_id", F.col("turn").alias("asked"))
+    found = replies.join(questions, ["conv_id", "asked"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("conv_id", "asked").orderBy("turn"))
+    ranked = found.withColumn("rank", rank.cast("bigint"))
     return ranked.select(
-        F.col("conv_id").alias("query_id"), "rank", F.col("turn").cast("string").alias("id"),
+        (F.col("conv_id") * 100000 + F.col("asked")).alias("query_id"), "rank", F.col("turn").cast("string").alias("id"),
         F.when(F.col("turn") % 3 > 0, F.concat(F.lit("turn "), F.col("turn").cast("string"))).alias("title"),
         F.col("text").alias("content"), F.round(F.lit(1.0) / F.col("rank"), 6).alias("score"),
     )
@@ -36,14 +43,7 @@ def _hits(spark, sf_dir):
 
 def provider_prompts(spark, sf_dir):
     """Full prompts for each kind of model; questions without hits have no context."""
-    asked, found = _questions(spark, sf_dir).select("query_id", "question"), _hits(spark, sf_dir)
-    out = None
-    for name in prompts.PROMPTS:
-        made = prompts.prompts(asked, prompts.context_blocks(found, name), name).select(
-            "query_id", F.lit(name).alias("provider"), "prompt"
-        )
-        out = made if out is None else out.unionByName(made)
-    return out
+    return prompts.provider_prompts(_questions(spark, sf_dir).select("query_id", "question"), _hits(spark, sf_dir))
 
 
 def chat_messages(spark, sf_dir):
@@ -77,7 +77,7 @@ def answer_records(spark, sf_dir):
     """The second assistant message stands for the generated answer."""
     asked, found = _questions(spark, sf_dir), _hits(spark, sf_dir)
     answers = found.where("rank = 2").select("query_id", F.col("content").alias("answer"))
-    out = prompts.answer_records(asked, found.where(F.col("rank") <= C.MAX_SEARCH_K), answers)
+    out = prompts.answer_records(asked, found, answers)
     return out.select(
         "query_id", "answer", "source_count", "technology_context", "response_mode",
         F.array_join(F.transform("sources", lambda s: s["id"]), ",").alias("source_ids"),
@@ -114,10 +114,12 @@ def _text(template: str, **values: str) -> str:
     return "(" + " || ".join(p if i % 2 else quoted(p) for i, p in enumerate(parts) if i % 2 or p) + ")"
 
 
-_Q = f"""asked AS (SELECT conv_id AS query_id, arg_min(text, turn) AS question, {TECH} AS technology, {MODE} AS mode,
-  {ANSWER_MODE} AS response_mode FROM conversations WHERE role = 'user' GROUP BY conv_id),
-hits AS (SELECT conv_id AS query_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, turn::VARCHAR AS id,
-  CASE WHEN turn % 3 > 0 THEN 'turn ' || turn END AS title, text AS content FROM conversations WHERE role = 'assistant')"""
+_Q = f"""asked AS (SELECT {QUERY_ID} AS query_id, text AS question, {TECH} AS technology, {MODE} AS mode,
+  {ANSWER_MODE} AS response_mode FROM conversations WHERE role = 'user'),
+hits AS (SELECT q.conv_id * 100000 + q.turn AS query_id, a.turn, row_number() OVER (PARTITION BY q.conv_id, q.turn ORDER BY a.turn) AS rank,
+  a.turn::VARCHAR AS id, CASE WHEN a.turn % 3 > 0 THEN 'turn ' || a.turn END AS title, a.text AS content
+  FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn BETWEEN q.turn + 1 AND q.turn + {REACH}
+  WHERE q.role = 'user' AND a.role = 'assistant')"""
 
 
 def _context(name: str) -> str:

@@ -14,8 +14,8 @@ N = C.WEB_RESULTS_PER_QUESTION
 RAW = {
     "position": "doc_id",
     "query_id": "CAST(floor(doc_id / 10) AS BIGINT)",
-    "provider": "CASE lang WHEN 'en' THEN 'local_firecrawl' WHEN 'fr' THEN 'duckduckgo_web' ELSE 'duckduckgo' END",
-    "kind": "CASE lang WHEN 'en' THEN 'page' WHEN 'fr' THEN 'snippet' WHEN 'de' THEN 'abstract' ELSE 'topic' END",
+    "provider": "CASE WHEN doc_id % 13 = 7 THEN 'fallback' ELSE CASE lang WHEN 'en' THEN 'local_firecrawl' WHEN 'fr' THEN 'duckduckgo_web' ELSE 'duckduckgo' END END",
+    "kind": "CASE WHEN doc_id % 13 = 7 THEN CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'web' ELSE 'general' END ELSE CASE lang WHEN 'en' THEN 'page' WHEN 'fr' THEN 'snippet' WHEN 'de' THEN 'abstract' ELSE 'topic' END END",
     "markdown": "CASE WHEN n_chars < 1500 THEN '' ELSE {t} END",
     "content": "CASE WHEN n_chars < 500 THEN NULL WHEN lang = 'fr' THEN split_part({t}, '. ', 1) ELSE {t} END",
     "text": "CASE WHEN lang = 'fr' THEN '' ELSE {t} END",
@@ -106,15 +106,15 @@ _RAW = ", ".join(f"{e.format(t='text')} AS {n}" for n, e in RAW.items())
 _HITS = f"""raw AS (SELECT {_RAW} FROM documents),
 body AS (SELECT *, coalesce(nullif(markdown, ''), nullif(content, ''), nullif(text, '')) AS b FROM raw),
 web AS (SELECT query_id, position,
-    CASE kind WHEN 'topic' THEN string_split(b, '.')[1] WHEN 'page' THEN coalesce(title, 'Local Firecrawl Result')
-      WHEN 'snippet' THEN coalesce(title, 'Search Result') ELSE coalesce(title, 'DuckDuckGo Result') END AS title,
+    CASE WHEN provider = 'fallback' THEN title WHEN kind = 'topic' THEN string_split(b, '.')[1] WHEN kind = 'page' THEN coalesce(title, 'Local Firecrawl Result')
+      WHEN kind = 'snippet' THEN coalesce(title, 'Search Result') ELSE coalesce(title, 'DuckDuckGo Result') END AS title,
     coalesce(url, '') AS url,
-    CASE kind WHEN 'page' THEN left(b, 2000) WHEN 'abstract' THEN left(b, 1000) WHEN 'topic' THEN left(b, 800) ELSE trim(b, {_WS}) END AS content,
+    CASE WHEN provider = 'fallback' THEN b ELSE CASE kind WHEN 'page' THEN left(b, 2000) WHEN 'abstract' THEN left(b, 1000) WHEN 'topic' THEN left(b, 800) ELSE trim(b, {_WS}) END END AS content,
     'web_search' AS source, provider,
-    CASE kind WHEN 'page' THEN 0.95 WHEN 'snippet' THEN 0.8 WHEN 'abstract' THEN 0.8 ELSE 0.7 END::DOUBLE AS score
+    CASE kind WHEN 'page' THEN 0.95 WHEN 'snippet' THEN 0.8 WHEN 'abstract' THEN 0.8 WHEN 'topic' THEN 0.7 WHEN 'python' THEN 0.6 WHEN 'web' THEN 0.6 ELSE 0.5 END::DOUBLE AS score
   FROM body WHERE b IS NOT NULL AND (kind <> 'snippet' OR length(trim(b, {_WS})) > 20))"""
 _FIRST = """ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, provider ORDER BY position) AS rank,
-  CASE provider WHEN 'local_firecrawl' THEN 1 WHEN 'duckduckgo_web' THEN 3 ELSE 4 END AS try FROM web {0}),
+  CASE provider WHEN 'local_firecrawl' THEN 1 WHEN 'duckduckgo_web' THEN 3 WHEN 'duckduckgo' THEN 4 ELSE 5 END AS try FROM web {0}),
 first AS (SELECT * FROM ranked r WHERE rank <= {1} AND try = (SELECT min(try) FROM ranked s WHERE s.query_id = r.query_id))"""
 
 ORACLE = {

@@ -1,34 +1,11 @@
-"""Schemas of the data model."""
+"""Schemas of files that are read without looking at them first."""
 
 from __future__ import annotations
 
-DOCUMENT = (
-    "doc_id bigint, title string, content string, source string, doc_type string, file_type string, "
-    "url string, ingested_at timestamp, extra map<string,string>"
-)
-# The time of scraping is a plain number in the files, not an epoch.
-SCRAPED = "title string, content string, url string, source string, doc_type string, scraped_at double"
-EXTRACTION = (
-    "filename string, file_type string, format string, content string, processor string, success boolean, error string, "
-    "encoding string, stats map<string,bigint>, column_names array<string>, "
-    "sheets array<struct<name:string,rows:bigint,columns:bigint>>"
-)
-CHUNK = (
-    "id string, content string, chunk_type string, chunk_id string, chunk_size bigint, word_count bigint, "
-    "chunk_position bigint, total_chunks bigint, metadata map<string,string>"
-)
-COLLECTION = CHUNK + ", embedding array<float>"
-QUERY = (
-    "query_id bigint, question string, search_k int, enable_web_search boolean, response_mode string, "
-    "technology_filter string, source_filter array<string>, temperature double, max_tokens int, chunk_overlap int"
-)
-HIT = (
-    "query_id bigint, rank bigint, id string, content string, metadata map<string,string>, score double, "
-    "provider string"
-)
-EMBEDDING_CACHE = (
-    "key string, embedding array<float>, created_at timestamp, accessed_at timestamp, text_length bigint"
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+# Usual keys of a scraped document. The time of scraping is a plain number, not an epoch.
+SCRAPED = StructType(
+    [StructField(n, StringType()) for n in ("title", "content", "url", "source", "doc_type")]
+    + [StructField("scraped_at", DoubleType())]
 )
-RESPONSE_CACHE = "key string, response string, created_at timestamp, accessed_at timestamp"
-EVENT = "event_id bigint, ts timestamp, client string, endpoint string, method string, status string, seconds double"
-MESSAGE = "conv_id bigint, turn bigint, role string, text string"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom import constants as C
 from corpusloom.functions.predicates import file_problem
 from corpusloom.functions.text import base_name, file_extension
-from corpusloom.operators.stats import chunk_stats
+from corpusloom.operators.stats import chunk_counts, chunk_stats
 from corpusloom.schemas import SCRAPED
 from corpusloom.sources.office import HANDLERS, table_profile
 
@@ -92,6 +92,16 @@ def extract(files: DataFrame, path: str = "path", content: str = "content") -> D
     )
 
 
+def latest_named(files: DataFrame, path: str = "path") -> DataFrame:
+    """Files with ``superseded``: whether another one of the same base name is newer (or as new and
+    its path comes later). Only names, times and paths are shuffled."""
+    when = F.struct(F.col("modificationTime").alias("made"), F.col(path).alias("at"))
+    named = files.withColumn("_name", base_name(F.col(path)))
+    last = named.groupBy("_name").agg(F.max(when)["at"].alias("_last"))
+    out = named.join(last, "_name", "left").withColumn("superseded", F.col(path) != F.col("_last"))
+    return out.drop("_name", "_last")
+
+
 def gate(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Files with the reason why they are not accepted, null for those that are."""
     suffix = file_extension(base_name(F.col(path)))
@@ -103,16 +113,30 @@ def supported_formats(spark: SparkSession) -> DataFrame:
 
 
 def read_scraped(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """JSON array files of documents from those paths that exist, concatenated."""
-    reader = spark.read.schema(SCRAPED).option("multiLine", True).option("recursiveFileLookup", True)
-    out = spark.createDataFrame([], SCRAPED)
+    """JSON array files of documents from those paths that exist, concatenated: the usual columns,
+    ``extra`` (a map of all other keys to their JSON text, null if none), and ``read_error`` (null
+    for documents; what is no document, and a file that is no JSON array, gives one row with it)."""
+    whole = spark.createDataFrame([], "value string, path string")
     for path in paths:
         try:
-            out = out.unionByName(reader.json(path))
+            found = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+            whole = whole.unionByName(found.select("value", F.col("_metadata.file_path").alias("path")))
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-    return out
+    # Kept as variants, every key of a document survives whatever its type.
+    document = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
+    parsed = whole.select("path", document.alias("_docs"))
+    bad = F.when(F.col("_docs").isNull(), F.concat(F.lit("not a JSON array of documents: "), "path"))
+    rows = parsed.select(bad.alias("_bad"), "path", F.explode_outer("_docs").alias("_doc"))
+    rows = rows.where("_doc IS NOT NULL OR _bad IS NOT NULL")
+    known = [F.try_variant_get("_doc", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in SCRAPED.fields]
+    every = F.try_variant_get("_doc", "$", "map<string,variant>")
+    names = F.array(*[F.lit(f.name) for f in SCRAPED.fields])
+    extra = F.map_filter(every, lambda k, v: ~F.array_contains(names, k))
+    extra = F.when(F.size(extra) > 0, F.transform_values(extra, lambda k, v: F.to_json(v)))
+    odd = F.when(every.isNull(), F.concat(F.lit("not a document: "), "path"))
+    return rows.select(*known, extra.alias("extra"), F.coalesce("_bad", odd).alias("read_error"))
 
 
 def large_csv_profile(spark: SparkSession, path: str) -> DataFrame:
@@ -128,10 +152,20 @@ def large_csv_profile(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks as JSON, with their statistics in a folder beside them."""
+    """Chunks as JSON, with their statistics and their numbers by type and by source in folders
+    beside them."""
     chunks.write.mode("overwrite").json(f"{path}/chunks")
     saved = chunks.sparkSession.read.schema(chunks.schema).json(f"{path}/chunks")
     chunk_stats(saved).coalesce(1).write.mode("overwrite").json(f"{path}/chunk_stats")
+    for name in {"chunk_type", "source"} - set(saved.columns):
+        saved = saved.withColumn(name, F.lit(None).cast("string"))
+    chunk_counts(saved).coalesce(1).write.mode("overwrite").json(f"{path}/chunk_counts")
+
+
+def load_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Numbers of saved chunks by type (grouping 1), by source (2), and in all (3)."""
+    schema = "chunk_type string, source string, chunks bigint, grouping bigint"
+    return spark.read.schema(schema).json(f"{path}/chunk_counts")
 
 
 def load_chunks(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -49,7 +49,8 @@ def page_documents(
 def web_hits(raw: DataFrame) -> DataFrame:
     """Raw results of any provider as scored hits.
 
-    Input columns: query_id, position, provider, kind (page, snippet, abstract, topic),
+    Input columns: query_id, position, provider, kind (page, snippet, abstract, topic; for the
+    fallback the topic of the question: python, web, general),
     markdown, content, text, title, url. Results without content are dropped, and snippets have
     to be longer than twenty characters.
     """
@@ -64,6 +65,8 @@ def web_hits(raw: DataFrame) -> DataFrame:
     for (provider, kind), value in C.WEB_TITLES.items():
         here = (F.col("provider") == provider) & (F.col("kind") == kind)
         title = F.when(here, F.coalesce(title, F.lit(value))).otherwise(title)
+    for topic, value in C.TOPIC_SCORES.items():
+        score = F.when((F.col("provider") == "fallback") & (F.col("kind") == topic), F.lit(value)).otherwise(score)
     title = F.when(F.col("kind") == "topic", F.substring_index(body, ".", 1)).otherwise(title)
     long_enough = (F.col("kind") != "snippet") | (F.length(cut) > C.MIN_SNIPPET_LENGTH)
     return raw.where(body.isNotNull() & long_enough).select(

@@ -108,6 +108,34 @@ def test_scraped_json(spark, tmp_path):
     assert files.read_scraped(spark, [str(tmp_path / "none.json")]).count() == 0
 
 
+def test_scraped_json_keeps_other_keys_and_reports_bad_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"content": "x", "tags": ["p", 1], "version": 2}, {"content": "y"}, 7]))
+    (tmp_path / "b.json").write_text("[{broken")
+    (tmp_path / "c.json").write_text("[]")
+    rows = files.read_scraped(spark, [str(tmp_path)]).collect()
+    good = sorted((r.content, r.extra) for r in rows if r.read_error is None)
+    assert good == [("x", {"tags": '["p",1]', "version": "2"}), ("y", None)]
+    bad = sorted(r.read_error.rsplit("/", 1)[1] for r in rows if r.read_error)
+    assert bad == ["a.json", "b.json"] and all(r.content is None for r in rows if r.read_error)
+    chunks = chunking.chunk_documents(files.read_scraped(spark, [str(tmp_path)])).collect()
+    assert sorted((c.content, c.extra) for c in chunks) == good
+
+
+def test_files_of_one_name(spark, tmp_path):
+    from corpusloom.plans import flows
+
+    for folder, text, time in (("a", "the old text", 1000), ("b", "the new text", 2000)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "readme.md").write_text(text)
+        import os
+
+        os.utime(tmp_path / folder / "readme.md", (time, time))
+    chunks, report = flows.upload_chunks(files.read_files(spark, str(tmp_path)), at=F.timestamp_seconds(F.lit(5)))
+    assert [(r.id, r.content) for r in chunks.collect()] == [("upload_readme.md_0", "the new text")]
+    assert sorted((r.content, r.superseded) for r in report.collect()) == [("the new text", False), ("the old text", True)]
+    assert {r.upload_timestamp.timestamp() for r in chunks.select(F.col("upload_timestamp").cast("timestamp")).collect()} == {5.0}
+
+
 def test_save_chunks(spark, tmp_path):
     docs = spark.createDataFrame([(1, "alpha beta")], "doc_id int, content string")
     chunks = chunking.chunk_documents(docs)
