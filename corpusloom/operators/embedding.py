@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -21,27 +20,76 @@ from corpusloom import constants as C
 from corpusloom.functions.predicates import cacheable_text
 from corpusloom.functions.text import embedding_key
 from corpusloom.functions.vectors import DECIMALS, TopK
-from corpusloom.operators.joins import SMALL_ROWS, lookup_join
+from corpusloom.operators.joins import SMALL_ROWS, lookup_join, small_side
 from corpusloom.operators.search import MAX_BROADCAST_QUERIES, best_k
+from corpusloom.session import written
 
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 
 
-def fit_vectoriser(corpus: DataFrame, text_col: str = "text", dim: int = C.EMBEDDING_DIM) -> PipelineModel:
-    """Default vectoriser: hashed term counts, weighted by rarity, unit length."""
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_PATTERN, gaps=False),
-            HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=dim),
-            IDF(inputCol="_counts", outputCol="_weights"),
-            Normalizer(inputCol="_weights", outputCol="_unit"),
-        ]
-    ).fit(corpus.select(text_col))
+class _Slots(dict):
+    """Slot of a term: the first 32 bits of its md5, modulo the dimension. Filled as terms come,
+    and started anew when it holds very many."""
 
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
 
-def vectorise(docs: DataFrame, model: PipelineModel, out: str = "embedding") -> DataFrame:
-    made = model.transform(docs).withColumn(out, vector_to_array("_unit", "float32"))
-    return made.drop("_tokens", "_counts", "_weights", "_unit")
+    def __missing__(self, term: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        slot = self[term] = int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % self.dim
+        return slot
+
+    def counts(self, words: str | None) -> np.ndarray:
+        found = np.fromiter(map(self.__getitem__, words.split(" ") if words else ()), dtype=np.int64)
+        return np.bincount(found, minlength=self.dim)
+
+
+@dataclass(frozen=True)
+class TermModel:
+    """Weight of each slot, and the column that is read."""
+
+    weights: np.ndarray
+    text_col: str = "text"
+
+
+def _words(text_col: str) -> Column:
+    """The terms of a text as one string, which travels to Python far faster than a list."""
+    return F.array_join(terms(F.coalesce(F.col(text_col), F.lit(""))), " ")
+
+
+def fit_vectoriser(corpus: DataFrame, text_col: str = "text", dim: int = C.EMBEDDING_DIM) -> TermModel:
+    """Default vectoriser: hashed term counts, weighted by rarity, unit length. A slot weighs
+    ln((N + 1) / (documents with it + 1)). Null texts count as empty."""
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, seen = _Slots(dim), np.zeros(dim + 1, dtype=np.int64)
+        for batch in batches:
+            for words in batch.column(0).to_pylist():
+                seen[:dim] += slots.counts(words) > 0
+            seen[dim] += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim + 1)), pa.array(seen)], names=["slot", "n"])
+
+    parts = corpus.select(_words(text_col)).mapInArrow(frequencies, "slot long, n long")
+    seen = np.zeros(dim + 1)
+    for slot, n in parts.groupBy("slot").agg(F.sum("n")).collect():  # dim + 1 rows
+        seen[slot] = n
+    return TermModel(np.log((seen[dim] + 1.0) / (seen[:dim] + 1.0)), text_col)
+
+
+def vectorise(docs: DataFrame, model: TermModel, out: str = "embedding") -> DataFrame:
+    dim = len(model.weights)
+
+    def vectors(words: pd.Series) -> pd.Series:
+        slots, made = _Slots(dim), []
+        for text in words:
+            weighted = slots.counts(text) * model.weights
+            norm = math.sqrt(float(weighted @ weighted))
+            made.append((weighted / norm if norm else weighted).astype(np.float32))
+        return pd.Series(made)
+
+    return docs.withColumn(out, F.pandas_udf(vectors, "array<float>")(_words(model.text_col)))
 
 
 def model_hook(embed: Callable[[list[str]], list[list[float]]], text_col: str = "text", out: str = "embedding"):
@@ -64,28 +112,31 @@ def embed_with_cache(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows with key and embedding, new cache entries).
 
-    Every distinct text is embedded once, and only when the cache (key, embedding) lacks it.
+    Every distinct text is embedded once, and only when the cache (key, embedding) lacks it: what
+    was embedded is written, and both results read it.
     ``order_col`` is a unique id; of equal texts the one with the lowest id is embedded.
     Texts too short to be cached are embedded too, but not stored.
     """
     keyed = rows.withColumn("key", embedding_key(text_col, model))
     # Keys are settled on narrow rows first; the texts that miss are then picked by their id.
     first = keyed.groupBy("key").agg(F.min(order_col).alias(order_col))
-    missing = first.join(cache.select("key"), "key", "left_anti").select(order_col)
+    missing, _ = small_side(first.join(cache.select("key"), "key", "left_anti").select(order_col), "missing")
     misses = keyed.join(missing, order_col, "left_semi").select("key", text_col)
-    fresh = vectoriser(misses).select("key", text_col, "embedding")
+    fresh = written(vectoriser(misses).select(
+        "key", "embedding", F.length(text_col).cast("bigint").alias("text_length"),
+        cacheable_text(text_col).alias("_cacheable"),
+    ), "fresh")
     known = cache.select("key", "embedding").unionByName(fresh.select("key", "embedding"))
-    store = fresh.where(cacheable_text(text_col)).select(
-        "key", "embedding", F.length(text_col).cast("bigint").alias("text_length")
-    )
+    store = fresh.where("_cacheable").select("key", "embedding", "text_length")
     return lookup_join(keyed, known, "key"), store
 
 
 # --- ranking by weighted terms -------------------------------------------------------------------
 
 
-def terms(text_col: str = "text"):
-    return F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), F.lit(0))
+def terms(text: Column | str = "text") -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
 def term_search(
@@ -105,12 +156,20 @@ def term_search(
     k rows per question and task are shuffled. Questions above the broadcast bound are scored in
     bounded blocks.
     """
-    total = queries.count()
+    total, size = queries.count(), docs.count()
     blocks = max(1, -(-total // MAX_BROADCAST_QUERIES))
+    # Frequencies of the words of all questions, in one pass over the documents.
+    words = queries.select(F.explode(terms(query_text)).alias("term")).distinct()
+    words, _ = small_side(words, "question-terms")
+    frequency = written(document_frequencies(docs, words, text_col), "frequencies")
+    asked = queries.select(F.col(query_id).alias("_query"), F.explode(terms(query_text)).alias("term"))
+    asked = asked.groupBy("_query", "term").agg(F.count("*").alias("_tf")).join(frequency, "term")
+    weight = (1.0 + F.log("_tf")) * F.log(F.lit(float(size)) / F.col("df"))
+    asked = written(asked.select("_query", "term", weight.alias("_weight")), "questions")
     found: DataFrame | None = None
     for block in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block) if blocks > 1 else queries
-        part = _score_block(docs, mine, k, id_col, text_col, query_id, query_text)
+        mine = asked.where(F.pmod(F.xxhash64("_query"), F.lit(blocks)) == block) if blocks > 1 else asked
+        part = _score_block(docs, mine, k, id_col, text_col, query_id)
         found = part if found is None else found.unionByName(part)
     return best_k(found, query_id, ["_cost", id_col], k).select(
         query_id, "rank", id_col, (-F.col("_cost")).alias("score")
@@ -123,30 +182,22 @@ def document_frequencies(docs: DataFrame, words: DataFrame, text_col: str = "tex
     return seen.join(words, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _score_block(docs, queries, k, id_col, text_col, query_id, query_text) -> DataFrame:
+def _score_block(docs, asked, k, id_col, text_col, query_id) -> DataFrame:
+    """``asked``: _query, term and _weight of one block of questions."""
     spark = docs.sparkSession
-    asked = [(key, Counter(ts)) for key, ts in queries.select(query_id, terms(query_text)).collect()]
-    size = docs.count()
     # Bounded by the block: the words of at most MAX_BROADCAST_QUERIES questions.
-    words = [(t,) for t in {t for _, c in asked for t in c}]
-    listed = spark.createDataFrame(words, "term string")
-    listed = F.broadcast(listed) if len(words) <= SMALL_ROWS else listed
-    frequency = dict(document_frequencies(docs, listed, text_col).collect())
+    by_query: dict = {}
+    for query, term, value in asked.orderBy("_query", "term").collect():
+        by_query.setdefault(query, []).append((term, value))
     postings: dict[str, list[tuple[int, float]]] = {}
-    for row, (_, counts) in enumerate(asked):
-        weight = {
-            t: (1.0 + math.log(n)) * math.log(size / frequency[t])
-            for t, n in sorted(counts.items())
-            if t in frequency
-        }
-        norm = math.sqrt(sum(w * w for w in weight.values()))
-        for t, w in weight.items():
+    for row, weights in enumerate(by_query.values()):
+        norm = math.sqrt(sum(w * w for _, w in weights))
+        for t, w in weights:
             if w:
                 postings.setdefault(t, []).append((row, w / norm))
     packed = {t: (np.array([r for r, _ in p]), np.array([w for _, w in p])) for t, p in postings.items()}
-    shared = spark.sparkContext.broadcast(([key for key, _ in asked], packed))
-    kinds = dict(docs.dtypes) | {query_id: dict(queries.dtypes)[query_id]}
-    schema = f"`{query_id}` {kinds[query_id]}, `{id_col}` {kinds[id_col]}, `_cost` double"
+    shared = spark.sparkContext.broadcast((list(by_query), packed))
+    schema = f"`{query_id}` {dict(asked.dtypes)['_query']}, `{id_col}` {dict(docs.dtypes)[id_col]}, `_cost` double"
     types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,13 +45,28 @@ def _embedded(spark, sf_dir):
 
 
 def hashed_embed(spark, sf_dir):
+    """Vectors, each told by its size, its components that are not zero, its length, and a sum in
+    which every component has a weight of its own."""
     rows, _ = _embedded(spark, sf_dir)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    zero, add = F.lit(0.0), lambda a, x: a + x
+    squares = F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))
+    placed = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
     return rows.select(
-        "doc_id", F.size("embedding").cast("bigint").alias("dims"), F.round(norm, 4).alias("norm")
+        "doc_id", F.size("embedding").cast("bigint").alias("dims"),
+        F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("slots"),
+        F.round(F.sqrt(F.aggregate(squares, zero, add)), 4).alias("norm"),
+        F.round(F.aggregate(placed, zero, add), 3).alias("checksum"),
     )
 
 
+def model_hook(spark, sf_dir):
+    """A function of the caller's as the model: length and number of words of each text."""
+    embed = embedding.model_hook(lambda texts: [[float(len(t)), float(len(t.split(" ")))] for t in texts])
+    cache = spark.createDataFrame([], "key string, embedding array<float>")
+    rows, _ = embedding.embed_with_cache(_docs(spark, sf_dir), cache, embed)
+    return rows.select("doc_id", *[F.element_at("embedding", i + 1).cast("double").alias(n) for i, n in enumerate(("chars", "words"))])
+
+
 def embed_new_entries(spark, sf_dir):
     """What the cache gains: one entry for every distinct text it did not know."""
     _, new = _embedded(spark, sf_dir)
@@ -71,11 +86,17 @@ def text_search(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    term_topk, document_frequencies, hashed_embed, embed_new_entries, text_search,
+    term_topk, document_frequencies, hashed_embed, model_hook, embed_new_entries, text_search,
 )}
 
 _TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 _WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_SLOT = f"('0x' || substr(md5(term), 1, 8))::BIGINT % {C.EMBEDDING_DIM}"
+_VECTORS = f"""counts AS (SELECT doc_id, slot, count(*) AS tf
+  FROM (SELECT doc_id, {_SLOT} AS slot FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents)) GROUP BY ALL),
+weights AS (SELECT slot, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (count(*) + 1)) AS w FROM counts GROUP BY slot),
+weighted AS (SELECT doc_id, slot, tf * w AS x FROM counts JOIN weights USING (slot)),
+vectors AS (SELECT doc_id, slot, (x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)))::FLOAT AS value FROM weighted)"""
 _KEY = f"sha256('default:' || lower(trim(text, {_WS})))"
 
 ORACLE = {
@@ -95,7 +116,27 @@ SELECT query_id, rank, doc_id, score FROM (
 WHERE rank <= 5""",
     "document_frequencies": f"""SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents)
 WHERE term IN (SELECT unnest({_TERMS}) FROM benchmark) GROUP BY term""",
-    "hashed_embed": f"SELECT doc_id, {C.EMBEDDING_DIM}::BIGINT AS dims, 1.0::DOUBLE AS norm FROM documents",
+    "hashed_embed": f"""WITH {_VECTORS} SELECT d.doc_id, {C.EMBEDDING_DIM}::BIGINT AS dims, count(value) AS slots,
+  coalesce(round(sqrt(sum(value::DOUBLE * value::DOUBLE)), 4), 0) AS norm, coalesce(round(sum(value::DOUBLE * (slot + 1)), 3), 0) AS checksum
+FROM documents d LEFT JOIN (SELECT * FROM vectors WHERE value <> 0) v ON v.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "model_hook": f"""WITH k AS (SELECT doc_id, {_KEY} AS key, text FROM documents),
+f AS (SELECT key, arg_min(text, doc_id) AS text FROM k GROUP BY key)
+SELECT doc_id, length(f.text)::DOUBLE AS chars, len(string_split(f.text, ' '))::DOUBLE AS words FROM k JOIN f USING (key)""",
+    "text_search": f"""WITH {_VECTORS}, asked AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), {_WS}) AS q FROM benchmark
+  WHERE length(trim(text, {_WS})) >= 1 AND length(text) <= 1000),
+expanded AS (SELECT item_id, CASE WHEN len(list_filter(string_split_regex(q, '\\s+'), lambda w: w <> '')) < 3
+  THEN q || ' documentation reference' ELSE q END AS text FROM asked),
+qc AS (SELECT item_id, slot, count(*) AS tf FROM (SELECT item_id, {_SLOT} AS slot FROM (SELECT item_id, unnest({_TERMS}) AS term FROM expanded)) GROUP BY ALL),
+qw AS (SELECT item_id, slot, tf * coalesce(w, (SELECT ln(count(*) + 1.0::DOUBLE) FROM documents)) AS x FROM qc LEFT JOIN weights USING (slot)),
+qv AS (SELECT item_id, slot, (x / sqrt(sum(x * x) OVER (PARTITION BY item_id)))::FLOAT::DOUBLE AS q FROM qw),
+pairs AS (SELECT item_id, doc_id, sum(q * value::DOUBLE) AS common FROM qv JOIN vectors USING (slot) GROUP BY ALL),
+qn AS (SELECT item_id, sum(q * q) AS qq FROM qv GROUP BY item_id),
+dn AS (SELECT doc_id, sum(value::DOUBLE * value::DOUBLE) AS dd FROM vectors GROUP BY doc_id),
+found AS (SELECT qn.item_id AS query_id, d.doc_id, round(qq + coalesce(dd, 0) - 2 * coalesce(common, 0), 9) AS d
+  FROM qn CROSS JOIN (SELECT doc_id FROM documents) d LEFT JOIN dn ON dn.doc_id = d.doc_id
+  LEFT JOIN pairs p ON p.item_id = qn.item_id AND p.doc_id = d.doc_id)
+SELECT query_id, rank, doc_id, round(1 - d, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS rank FROM found) WHERE rank <= {C.DEFAULT_SEARCH_K}""",
     "embed_new_entries": f"""WITH k AS (SELECT doc_id, {_KEY} AS key, text FROM documents)
 SELECT key, arg_min(length(text), doc_id)::BIGINT AS text_length FROM k
 WHERE key NOT IN (SELECT key FROM k WHERE doc_id IN (SELECT doc_id FROM labels))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from corpusloom.sources import files
 
 
 def search_texts(
-    collection: DataFrame, questions: DataFrame, model: PipelineModel, k: int = C.DEFAULT_SEARCH_K,
+    collection: DataFrame, questions: DataFrame, model: embedding.TermModel, k: int = C.DEFAULT_SEARCH_K,
     where: dict | None = None, id_col: str = "id", metric: str = "l2",
 ) -> DataFrame:
     """Hits for question texts (query_id, question) over embedded rows (id, embedding)."""
@@ -26,7 +25,7 @@ def search_texts(
 
 
 def ask(
-    collection: DataFrame, questions: DataFrame, model: PipelineModel, provider: str = "ollama",
+    collection: DataFrame, questions: DataFrame, model: embedding.TermModel, provider: str = "ollama",
     k: int = C.DEFAULT_SEARCH_K, technology: str | None = None, sources: list[str] | None = None,
     mode: str = "smart_answer", web: DataFrame | None = None, overlap: int = C.DEFAULT_K_OVERLAP,
 ) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +58,7 @@ def ask(
 
 
 def ingest(
-    raw_files: DataFrame, existing: DataFrame, model: PipelineModel, source: str = "api_upload",
+    raw_files: DataFrame, existing: DataFrame, model: embedding.TermModel, source: str = "api_upload",
     replace_document: bool = True, at: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(new collection, extraction report) after a batch of files.

@@ -204,8 +204,16 @@ def test_embedding_cache_order_and_misses(spark):
     rows, new = embedding.embed_with_cache(docs, known, embedding.model_hook(embed))
     got = {r.doc_id: list(r.embedding) for r in rows.collect()}
     assert got == {0: [0.5], 1: [0.5], 2: [0.5], 3: [8.0, 1.0], 4: [8.0, 1.0], 5: [3.0, 1.0]}
-    assert seen.value == 2
     assert sorted(r.text_length for r in new.collect()) == [8]
+    assert rows.count() == 6 and seen.value == 2  # once, however often the results are used
+
+
+def test_null_texts_are_vectors_of_zeros(spark):
+    docs = spark.createDataFrame([(1, None), (2, "red fox"), (3, "red dog")], "doc_id int, text string")
+    model = embedding.fit_vectoriser(docs)
+    got = {r.doc_id: r.embedding for r in embedding.vectorise(docs, model).collect()}
+    assert not any(got[1]) and sum(x * x for x in got[2]) == pytest.approx(1, abs=1e-6)
+    assert got[2] != got[3]
 
 
 def test_transcript_with_sources(spark):
