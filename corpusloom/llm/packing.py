@@ -27,7 +27,7 @@ from corpusloom.session import spread, written
 
 CAPACITY = 4096
 GROUP_TOKENS = 8 << 20
-_KNOWN_WORDS = 400_000  # table entries per worker; the table starts anew when it is full
+_KNOWN_WORDS = 600_000  # table entries per worker; the table starts anew when it is full
 # The words of the pre-tokenizer, which applies them to lower-cased text.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # Outside Latin-1 normal forms and case depend on context; the separators are space to some
@@ -35,15 +35,28 @@ _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 _UNSURE = regex.compile(r"[^\x00-\xff]|[\x1c-\x1f]|<\|")
 
 
+def _byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in the vocabulary: itself where it is printable, else
+    the next one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
+
+
+_SIGNS = _byte_signs()
+
+
 class _Words(dict):
-    """Token ids of words as little-endian bytes."""
+    """Token ids of words as little-endian bytes. A word goes straight to the merges: it is lower
+    case already, and one word to the pre-tokenizer."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        signs = word.encode().decode("latin-1").translate(_SIGNS)
+        ids = np.array([t.id for t in self.tokenizer.model.tokenize(signs)], dtype="<u4").tobytes()
         if len(self) >= _KNOWN_WORDS:
             self.clear()
         self[word] = ids
