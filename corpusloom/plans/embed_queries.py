@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom import constants as C
 from corpusloom.functions.text import embedding_key
 from corpusloom.operators import embedding
+from corpusloom.plans import flows
 from corpusloom.plans.flows import search_texts
 from corpusloom.plans.tables import documents, table
 from corpusloom.session import written
@@ -85,8 +86,24 @@ def text_search(spark, sf_dir):
     return hits.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+def ask_prompts(spark, sf_dir):
+    """Questions to prompts, end to end: validate, embed, search, put the context together."""
+    docs = _docs(spark, sf_dir)
+    model = embedding.fit_vectoriser(docs)
+    rows = embedding.vectorise(docs, model)
+    stored = written(rows.select("doc_id", "source", "text", "embedding"), "collection")
+    collection = stored.select(
+        F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("content"), "embedding"
+    )
+    asked = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("question")
+    )
+    made, _ = flows.ask(collection, asked, model, "openai")
+    return made.select("query_id", "prompt")
+
+
 QUERIES = {f.__name__: f for f in (
-    term_topk, document_frequencies, hashed_embed, model_hook, embed_new_entries, text_search,
+    term_topk, document_frequencies, hashed_embed, model_hook, embed_new_entries, text_search, ask_prompts,
 )}
 
 _TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
@@ -142,3 +159,19 @@ SELECT key, arg_min(length(text), doc_id)::BIGINT AS text_length FROM k
 WHERE key NOT IN (SELECT key FROM k WHERE doc_id IN (SELECT doc_id FROM labels))
 GROUP BY key HAVING arg_min(length(text), doc_id) >= 5""",
 }
+
+
+def _ask_sql() -> str:
+    from corpusloom.operators import prompts
+    from corpusloom.plans.prompt_queries import _text
+    from corpusloom.plans.split_sql import quoted
+
+    return f"""WITH hits AS ({ORACLE["text_search"]}),
+context AS (SELECT query_id, {quoted(prompts.CONTEXT_HEAD["openai"])} || string_agg(chr(10) || rank || '. From ''' || coalesce(source, 'Unknown') || ''':'
+  || chr(10) || left(text, {prompts.CONTEXT_CHARS["openai"]}) || '...' || chr(10), '' ORDER BY rank) AS context
+  FROM hits JOIN documents USING (doc_id) WHERE rank <= {C.CONTEXT_HITS} GROUP BY query_id)
+SELECT item_id AS query_id, {_text(prompts.PROMPTS["openai"], context="coalesce(context, '')", question="('Question: ' || text)")} AS prompt
+FROM benchmark LEFT JOIN context ON query_id = item_id"""
+
+
+ORACLE["ask_prompts"] = _ask_sql()
