@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -182,6 +182,48 @@ def document_frequencies(docs: DataFrame, words: DataFrame, text_col: str = "tex
     return seen.join(words, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
 
 
+class Postings:
+    """Questions and weights by term, as arrays."""
+
+    CELLS = 1 << 20  # documents times questions scored at a time
+
+    def __init__(self, terms: dict[str, list[tuple[int, float]]]):
+        self.number = {t: i for i, t in enumerate(terms)}
+        self.size = np.array([len(p) for p in terms.values()], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.rows = np.array([r for p in terms.values() for r, _ in p], dtype=np.int64)
+        self.weights = np.array([w for p in terms.values() for _, w in p])
+
+    def scores(self, words: pa.Array, questions: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(first document, scores of documents by questions) for texts given as words with single
+        blanks between them. Weights of a document's terms: 1 + ln of their number, at unit length."""
+        lists = pc.split_pattern(words.fill_null(""), " ")
+        parent = pc.list_parent_indices(lists).to_numpy()
+        coded = pc.list_flatten(lists).dictionary_encode()
+        vocabulary = coded.dictionary.to_pylist()
+        width = max(1, len(vocabulary))
+        pair, count = np.unique(parent * width + coded.indices.to_numpy(), return_counts=True)
+        doc, code = pair // width, pair % width
+        weight = 1.0 + np.log(count)
+        norm = np.sqrt(np.bincount(doc, weights=weight * weight, minlength=len(words)))
+        term = np.array([self.number.get(w, -1) for w in vocabulary], dtype=np.int64)[code]
+        known = term >= 0
+        doc, term, weight = doc[known], term[known], (weight / norm[doc])[known]
+        step = max(1, self.CELLS // max(1, questions))
+        for at in range(0, len(words), step):
+            low, high = np.searchsorted(doc, [at, at + step])
+            some, size = term[low:high], self.size[term[low:high]]
+            if not len(some):
+                continue
+            # All postings of all terms, one behind the other.
+            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            entry = np.repeat(self.start[some], size) + inside
+            cell = (np.repeat(doc[low:high], size) - at) * questions + self.rows[entry]
+            count_docs = min(step, len(words) - at)
+            total = np.bincount(cell, np.repeat(weight[low:high], size) * self.weights[entry], count_docs * questions)
+            yield at, total.reshape(count_docs, questions)
+
+
 def _score_block(docs, asked, k, id_col, text_col, query_id) -> DataFrame:
     """``asked``: _query, term and _weight of one block of questions."""
     spark = docs.sparkSession
@@ -195,34 +237,20 @@ def _score_block(docs, asked, k, id_col, text_col, query_id) -> DataFrame:
         for t, w in weights:
             if w:
                 postings.setdefault(t, []).append((row, w / norm))
-    packed = {t: (np.array([r for r, _ in p]), np.array([w for _, w in p])) for t, p in postings.items()}
-    shared = spark.sparkContext.broadcast((list(by_query), packed))
+    shared = spark.sparkContext.broadcast((list(by_query), Postings(postings)))
     schema = f"`{query_id}` {dict(asked.dtypes)['_query']}, `{id_col}` {dict(docs.dtypes)[id_col]}, `_cost` double"
     types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, packed = shared.value
+        keys, postings = shared.value
         best = TopK(len(keys), k)
         for batch in batches:
-            held, waiting = [], 0
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             ids = ids.astype(str) if ids.dtype == object else ids
-            for row, words in enumerate(batch.column(1).to_pylist()):
-                counts = Counter(words.split(" ")) if words else Counter()
-                norm = math.sqrt(sum((1.0 + math.log(n)) ** 2 for n in counts.values()))
-                score = np.zeros(len(keys))
-                for word in counts.keys() & packed.keys():
-                    at, weight = packed[word]
-                    score[at] += weight * ((1.0 + math.log(counts[word])) / norm)
-                cost = -np.round(score, DECIMALS)
-                hit = np.nonzero((cost < 0) & (cost <= best.limit))[0]
-                held.append((hit, cost[hit], np.repeat(ids[row : row + 1], len(hit))))
-                waiting += len(hit)
-                if waiting > 100_000:
-                    best.push(*(np.concatenate(c) for c in zip(*held)))
-                    held, waiting = [], 0
-            if held:
-                best.push(*(np.concatenate(c) for c in zip(*held)))
+            for at, scores in postings.scores(batch.column(1), len(keys)):
+                cost = -np.round(scores, DECIMALS)
+                docs_hit, rows_hit = np.nonzero((cost < 0) & (cost <= best.limit[None]))
+                best.push(rows_hit, cost[docs_hit, rows_hit], ids[at + docs_hit])
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, type=t) for c, t in zip(best.columns(keys), types)],
             names=[query_id, id_col, "_cost"],
