@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, langid, near, packing, pii
-from corpusloom.llm.document_queries import TOKENIZER
+from corpusloom.llm.document_queries import TOKENIZER, remainder
 from corpusloom.plans.tables import table
 from corpusloom.session import written
 
@@ -18,10 +18,15 @@ MIN_SCORE = 0.4  # documents of less certain language go, and those without lett
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is recognised. The network learns from the labelled ones."""
-    found = langid.predict(docs, langid.fit(docs), keep=tuple(docs.columns))
+    """Keep documents whose language is recognised. The network learns from labelled documents
+    that are not held out."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # own names can't clash
+    rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    key, text, lang = (names[c] for c in ("doc_id", "text", "lang"))
+    net = langid.fit(rows.where(remainder(key, 5) != 0), key, text, lang)
+    found = langid.predict(rows, net, text, keep=tuple(names.values()))
     sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)
-    return found.where(sure).select(*docs.columns)
+    return found.where(sure).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline as a whole and its stages one by one."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from corpusloom.llm import registry
 
@@ -29,8 +31,13 @@ def test_odd_documents(spark):
         "doc_id long, text string, lang string, source string, n_chars long",
     )
     sf_dir = "/root/testdata/sf0.001"
+    for name in ("score", "_id", "_digest", "_kept", "node", "_text", "spans", "lang_pred"):
+        docs = docs.withColumn(name, F.lit(name))
+    columns = docs.columns
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
+        assert docs.columns == columns
+    assert {tuple(r) for r in docs.select(*columns[5:]).collect()} == {tuple(columns[5:])}
     got = sorted((str(r.doc_id), r.text) for r in docs.collect())
     assert got == [("2", "a text of some words here"), ("4", "write to [EMAIL] now please"), ("None", "a text of some words here")]
     for _, stage in corpus_pipeline.STAGES:
