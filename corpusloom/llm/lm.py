@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.wordbytes import chain, mix, texts_of, word_hashes
+from corpusloom.llm.wordbytes import chain, mix, slices, texts_of, word_hashes
 from corpusloom.session import spread
 
 ORDER = 2
@@ -133,9 +133,10 @@ def _words(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Record
     """The distinct training words of a partition by range, and the number of all (at range 0)."""
     tokens, seen = 0, np.zeros(0, dtype=np.uint64)
     for batch in batches:
-        hashes, _ = word_hashes(*texts_of(batch.column(0)))
-        tokens += len(hashes) + batch.num_rows
-        seen = np.unique(np.concatenate([seen, hashes, [END]]))
+        for part in slices(batch.column(0)):
+            hashes, _ = word_hashes(*texts_of(batch.column(0).slice(*part)))
+            tokens += len(hashes) + part[1]
+            seen = np.unique(np.concatenate([seen, hashes, [END]]))
     cuts = np.searchsorted(seen, _range_ends(ranges), side="right").tolist()
     out = [(r, _pack_keys(seen[a:b])) for r, (a, b) in enumerate(zip([0, *cuts], cuts)) if b > a]
     yield pa.RecordBatch.from_pydict({

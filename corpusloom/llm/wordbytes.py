@@ -5,10 +5,12 @@ Nothing here makes a Python object per word or per text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BLOCK = 1 << 19
@@ -44,6 +46,14 @@ def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+def slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """(start, rows) of parts with about ``most`` bytes, so that arrays over the bytes stay small
+    however many rows a batch has. A longer text is a part of its own."""
+    part = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
+    return ((a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, lower-cased from A to Z, and the end of each text in them.
     Null texts are empty. Bytes of neighbouring texts touch."""
