@@ -7,6 +7,12 @@ numbers of distinct texts with the entity, with the term, and with the term clos
 Terms that disclose more than one share of the entity's information are generalised to their kind,
 and those that disclose more than a second, larger share are removed, wherever they occur.
 
+Most values are in one text only, so evidence is also taken where a corpus has more of it: for the
+group of a value (mail domain, network, card issuer, all but the last digits of a phone number) and
+for its kind. Each is an entity of its own, and the most disclosed one counts. Small counts of a term
+close to an entity are smoothed, so there is no least number of texts: how far few texts suffice
+depends on the information of the entity, that is on the size of the corpus.
+
 Only terms within a few words of an entity can become candidates, and each text counts a pair once,
 so pairs grow with the entities found, not with the square of anything; copies of one text count
 once. Candidates are looked for in all texts through a bit table of bounded size, which is broadcast;
@@ -25,12 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bits import bit_table, bits_for, has_bits
+from corpusloom.operators.joins import lookup_join
 from corpusloom.session import spread, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("generalise", "remove")
 REACH = 5  # words on either side of an entity
-MIN_TEXTS = 2  # distinct texts with the term close to the entity
+TAIL = 4  # last digits of a phone number that its group leaves out
+ISSUER = 6  # first digits of a card number
 GENERALISE, REMOVE = 0.95, 0.99  # shares of the entity's information
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -190,17 +198,36 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.xxhash64(content).alias("_digest"), content.alias("_text"))
 
 
+def levels(entity: Column) -> Column:
+    """An entity's value, its group and its kind. No value is named as a group or a kind is."""
+    kind = F.substring_index(entity, ":", 1)
+    group = (
+        F.when(kind == "email", F.regexp_replace(entity, ":.*@", ":@"))
+        .when(kind == "ip", F.regexp_replace(entity, r"[^.]*$", ""))
+        .when(kind == "card", F.concat(F.substring(entity, 1, len("card:") + ISSUER), F.lit("*")))
+        .otherwise(F.concat(F.left(entity, F.length(entity) - TAIL), F.lit("*")))
+    )
+    return F.array(entity, group, kind)
+
+
 def entity_counts(found: DataFrame) -> tuple[int, DataFrame]:
-    """The number of distinct texts, and for each entity the number of those it is in."""
+    """The number of distinct texts, and for each entity of any level the number of those it is in."""
     total = found.select("_digest").distinct().count()
-    named = found.select("_digest", F.explode("names").alias("entity")).distinct()
+    named = found.select("_digest", F.explode("names").alias("name"))
+    named = named.select("_digest", F.explode(levels(F.col("name"))).alias("entity")).distinct()
     return total, named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
 
 
+def smoothed(n: Column) -> Column:
+    """What a count of texts stands for. One text may as well be chance, so it counts half; each
+    further text halves the doubt."""
+    return n - F.pow(F.lit(2.0), -n)
+
+
 def disclosed(total: int) -> Column:
     """The share of an entity's information that a term gives: of n_both, n_term and n_entity. An
     entity that is in every text has none to give."""
-    gained = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
+    gained = F.log2(smoothed(F.col("n_both")) * total / (F.col("n_term") * F.col("n_entity")))
     return F.when(F.col("n_entity") < total, gained / F.log2(total / F.col("n_entity"))).otherwise(0.0)
 
 
@@ -216,8 +243,8 @@ def disclosing_terms(places: DataFrame, pairs: DataFrame, total: int, generalise
 
 
 def find(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH, min_texts: int = MIN_TEXTS,
-    generalise: float = GENERALISE, remove: float = REMOVE,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH, generalise: float = GENERALISE,
+    remove: float = REMOVE,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, _digest (a hash of its text), base and added, both
     arrays of (kind, start, end), sorted, in code points with the end exclusive. Added spans are of
@@ -233,12 +260,16 @@ def find(
     )
     near = found.select("_digest", F.explode(F.arrays_zip("entities", "terms")).alias("p"))
     near = written(near.select("_digest", F.col("p.entities").alias("entity"), F.col("p.terms").alias("term")).distinct(), "near")
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_texts)
-    # A term is in no fewer texts than it is close to any entity in: what can't reach the threshold
-    # by that number is no candidate.
     total, entities = entity_counts(found)
+    raised = near.select("_digest", F.explode(levels(F.col("entity"))).alias("entity"), "term").distinct()
+    pairs = raised.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    # A term is in no fewer texts than it is close to any entity in: what can't reach the threshold
+    # by that number is no candidate. No entity has more information than one that is in one text.
     at_least = near.select("term", "_digest").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    rated = pairs.join(at_least, "term").join(entities, "entity").where(disclosed(total) >= generalise)
+    least = 0.999999 * max(1, total) ** (generalise - 1)  # of the smoothed count in n_term
+    enough = lambda n: smoothed(F.col("n_both")) >= least * F.col(n)
+    rated = lookup_join(pairs.where(enough("n_both")), at_least, "term").where(enough("n_term"))
+    rated = lookup_join(rated, entities, "entity").where(disclosed(total) >= generalise)
     pairs = written(rated.select("entity", "term", "n_both", "n_entity"), "pairs")
     candidates = pairs.select("term").distinct()
     table = bit_table(candidates.withColumnRenamed("term", "key"), bits_for(pairs.count()))

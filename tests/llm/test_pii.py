@@ -1,7 +1,9 @@
 """Spans of personal data against the plain patterns, and terms that disclose an entity."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -108,3 +110,78 @@ def test_query_on_the_table(spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in want) for x in PATTERNS]
         assert r.spans.startswith(text)
+
+
+def group_of(name):
+    kind, value = name.split(":")
+    cut = {"email": lambda: value[value.index("@"):], "ip": lambda: value[: value.rindex(".") + 1],
+           "card": lambda: value[:6] + "*", "phone": lambda: value[:-4] + "*"}[kind]()
+    return f"{kind}:{cut}"
+
+
+def plain_added(texts, generalise, remove):
+    """Spans added in each text, from counts over all pairs of an entity and a term."""
+    texts = sorted(set(texts))
+    near, having, words = Counter(), Counter(), Counter()
+    for text in texts:
+        spans = pii.base_spans(text)
+        words.update({w.lower() for w in re.findall(r"[^\W_]+", text)})
+        raised = lambda name: (name, group_of(name), name.split(":")[0])
+        having.update({e for k, a, b in spans for e in raised(pii._entity(k, text[a:b]))})
+        near.update({(e, t) for name, t in pii._near_terms(text, spans, pii.REACH) for e in raised(name)})
+    share = Counter()
+    for (entity, term), n in near.items():
+        if words[term] and having[entity] < len(texts):
+            information = math.log2(len(texts) / having[entity])
+            gained = math.log2((n - 2.0**-n) * len(texts) / (words[term] * having[entity]))
+            share[term] = max(share[term], gained / information)
+    out = {}
+    for text in texts:
+        base = pii.base_spans(text)
+        out[text] = sorted(
+            ("remove" if share[m[0].lower()] >= remove else "generalise", *m.span())
+            for m in re.finditer(r"[^\W_]+", text) if share[m[0].lower()] >= generalise
+            and not any(a < m.end() and m.start() < b for _, a, b in base)
+        )
+    return out
+
+
+@pytest.mark.parametrize("thresholds", [(pii.GENERALISE, pii.REMOVE), (0.7, 0.8)])
+def test_added_spans_equal_all_pairs_counted(spark, sf_dir, thresholds):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(9_000_000 + i, t) for i, t in enumerate(once())], docs.schema))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = plain_added(texts.values(), *thresholds)
+    got = pii.find(docs, generalise=thresholds[0], remove=thresholds[1]).collect()
+    assert all(sorted(map(tuple, r.added)) == want[texts[r.doc_id]] for r in got)
+    assert sum(len(r.added) for r in got) == sum(len(want[t]) for t in texts.values()) > 0
+
+
+def once():
+    """Every value stands in one text only."""
+    rows = [f"our plain text is at number {i} of the corpus" for i in range(200)]
+    rows += [f"the Quuxcorp of u{i}@quux.org was number {i}" for i in range(6)]
+    rows += [f"our Netzwort at 10.7.3.{i} was number {i}" for i in range(6)]
+    rows += [f"our Rufwort is +49 30 1234 {5600 + i} of number {i}" for i in range(6)]
+    rows += [f"the Twice of v{i}@w{i}.org was number {i}" for i in range(2)] + ["the Single of s@single.org was number 3"]
+    return rows + ["Quuxcorp at last, netzwort and Rufwort, Twice, Single"]
+
+
+def test_defaults_find_terms_by_group_and_kind(spark):
+    docs = spark.createDataFrame(list(enumerate(once())), "doc_id long, text string")
+
+    def found(docs):
+        return Counter(once()[r.doc_id][s["start"] : s["end"]].lower() for r in pii.find(docs).collect() for s in r.added)
+
+    often = ["quuxcorp", "netzwort", "rufwort"]
+    assert found(docs) == Counter(dict.fromkeys(often, 7))  # also where they stand alone
+    # Two texts suffice at the kind's information where the term is nowhere else; one is not enough here.
+    assert found(docs.where("text NOT LIKE '%last%'")) == Counter(dict.fromkeys(often, 6), twice=2)
+
+
+def test_number_of_added_spans_on_the_given_table(spark, sf_dir):
+    """No term of the given tables stands often enough beside entities of any level (README)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = [r.text or "" for r in docs.collect()]
+    want = sum(len(plain_added(texts, pii.GENERALISE, pii.REMOVE)[t]) for t in set(texts))
+    assert sum(len(r.added) for r in pii.find(docs).dropDuplicates(["_digest"]).collect()) == want
