@@ -2,7 +2,9 @@
 
 Texts are cut into sentences, sentences normalised and looked up among known licence sentences;
 the identifiers in order are then matched with ordered rules, the more specific first. A rule takes
-the sentences it matched, so that later rules do not count them again.
+the sentences it matched, so that later rules do not count them again. Listed sentences are cut as
+texts are; where one falls into parts, it is known where all its parts follow each other, and a part
+alone is not.
 
 Only built-in column functions are used, on one row at a time: nothing is shuffled. The lists are
 parameters and become part of the expression.
@@ -53,6 +55,33 @@ SENTENCES = {
     "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.": "bsd-binary",
     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-name",
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl2-tag",
+    "SPDX-License-Identifier: MPL-2.0": "mpl2-tag",
+    "SPDX-License-Identifier: GPL-2.0-or-later": "gpl2-later-tag",
+    "SPDX-License-Identifier: BSD-2-Clause": "bsd2-tag",
+    "SPDX-License-Identifier: BSD-3-Clause": "bsd3-tag",
+    "SPDX-License-Identifier: CC-BY-4.0": "ccby-tag",
+    "SPDX-License-Identifier: CC-BY-SA-4.0": "ccbysa-tag",
+    "SPDX-License-Identifier: CC-BY-NC-4.0": "ccbync-tag",
+    "SPDX-License-Identifier: CC0-1.0": "cc0-tag",
+    "Licensed under CC0 1.0.": "cc0-tag",
+    "SPDX-License-Identifier: LGPL-2.1-only": "lgpl21-tag",
+    "SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl21-later",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "lgpl21-later",
+    "SPDX-License-Identifier: LGPL-3.0-only": "lgpl3-tag",
+    "SPDX-License-Identifier: LGPL-3.0-or-later": "lgpl3-later",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "lgpl3-later",
+    "SPDX-License-Identifier: AGPL-3.0-only": "agpl3-tag",
+    "SPDX-License-Identifier: AGPL-3.0-or-later": "agpl3-later",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "agpl3-later",
+    "SPDX-License-Identifier: ISC": "isc",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+    "SPDX-License-Identifier: Unlicense": "unlicense",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "SPDX-License-Identifier: BSL-1.0": "boost",
+    "Distributed under the Boost Software License, Version 1.0.": "boost",
+    "SPDX-License-Identifier: Zlib": "zlib",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:": "zlib",
+    "SPDX-License-Identifier: EPL-2.0": "epl2",
     "All rights reserved.": "reserved",
     "copyright notice": "copyright",
 }
@@ -74,6 +103,21 @@ RULES = (
     ("CC-BY-SA-4.0", ("ccbysa-tag",)),
     ("CC-BY-4.0", ("ccby-tag",)),
     ("MPL-2.0", ("mpl2-tag",)),
+    ("GPL-2.0-or-later", ("gpl2-later-tag",)),
+    ("BSD-2-Clause", ("bsd2-tag",)),
+    ("BSD-3-Clause", ("bsd3-tag",)),
+    ("CC0-1.0", ("cc0-tag",)),
+    ("LGPL-2.1-only", ("lgpl21-tag",)),
+    ("LGPL-2.1-or-later", ("lgpl21-later",)),
+    ("LGPL-3.0-only", ("lgpl3-tag",)),
+    ("LGPL-3.0-or-later", ("lgpl3-later",)),
+    ("AGPL-3.0-only", ("agpl3-tag",)),
+    ("AGPL-3.0-or-later", ("agpl3-later",)),
+    ("ISC", ("isc",)),
+    ("Unlicense", ("unlicense",)),
+    ("BSL-1.0", ("boost",)),
+    ("Zlib", ("zlib",)),
+    ("EPL-2.0", ("epl2",)),
     ("MIT", ("mit-title",)),
     ("Proprietary", ("copyright", "reserved")),
 )
@@ -105,6 +149,12 @@ def sentences_of(text: Column) -> Column:
     return F.split(F.regexp_replace(cut, LINE_END, "\x01$1"), "\x01")
 
 
+def parts_of(sentence: str) -> list[str]:
+    """The same as :func:`sentences_of`, normalised, for the sentences of a list."""
+    cut = re.sub(LINE_END, "\x01\\1", re.sub(MARK_END, "\\1\x01", sentence))
+    return [normal(part) for part in cut.split("\x01")]
+
+
 def numbered(sentences: dict[str, str], rules) -> tuple[dict[str, int], list[tuple[str, str]]]:
     """Numbers for the identifiers: sentence to number, and rules as strings of them."""
     names = {name: i for i, name in enumerate(dict.fromkeys(sentences.values()), 1)}
@@ -112,11 +162,24 @@ def numbered(sentences: dict[str, str], rules) -> tuple[dict[str, int], list[tup
     return known, [(licence, "".join(f"{names[n]}," for n in sequence)) for licence, sequence in rules]
 
 
+def with_parts(sentences: dict[str, str], known: dict[str, int]) -> tuple[dict[str, int], list[tuple[list[int], int]]]:
+    """``known`` with further numbers for parts of sentences that the cut takes apart, and the
+    sequences of numbers that make a whole sentence, the longer first."""
+    parts, wholes = dict(known), []
+    for sentence in sentences:
+        cut = re.sub(LINE_END, "\x01\\1", re.sub(MARK_END, "\\1\x01", sentence)).split("\x01")
+        if len(cut) > 1:
+            for part in map(normal, cut):
+                parts.setdefault(part, max(known.values()) + len(parts))
+            wholes.append(([parts[normal(part)] for part in cut], known[normal(sentence)]))
+    return parts, sorted(wholes, key=lambda w: -len(w[0]))
+
+
 def scan(
     docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None, rules=RULES,
     gap: int = GAP,
 ) -> DataFrame:
-    """One row per row of ``docs`` that has a known licence sentence: doc_id, n_sentences,
+    """One row per row of ``docs`` that has a known licence sentence: doc_id, n_sentences (as cut),
     n_known, first_known (position of the first, from 0), licences (recognised, in the order of
     the rules, each once, comma-joined; empty where no rule fits).
 
@@ -124,12 +187,23 @@ def scan(
     rows, further columns are ignored.
     """
     known, wanted = numbered(SENTENCES if sentences is None else sentences, rules)
-    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    parts, wholes = with_parts(SENTENCES if sentences is None else sentences, known)
+    table = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
     number = lambda s: F.coalesce(F.element_at(table, normalised(s)), F.lit(0))
     rows = docs.select(F.col(key).alias("doc_id"), F.transform(sentences_of(F.col(text)), number).alias("ids"))
     rows = rows.where(F.exists("ids", lambda x: x > 0))
+    # "<3><0><7>": parts in sequence become the number of the sentence, followed by -1; others go.
+    marked = F.concat(F.lit("<"), F.array_join("ids", "><"), F.lit(">"))
+    for sequence, whole in wholes:
+        one = f"<{whole}>" + "<-1>" * (len(sequence) - 1)
+        marked = F.replace(marked, F.lit("".join(f"<{n}>" for n in sequence)), F.lit(one))
+    ids = F.split(F.expr("substring(marked, 2, length(marked) - 2)"), "><").cast("array<int>")
+    top = max(known.values(), default=0)
+    rows = rows.select("doc_id", marked.alias("marked")).select("doc_id", ids.alias("ids"))
+    rows = rows.select("doc_id", F.transform("ids", lambda x: F.when(x <= top, x).otherwise(0)).alias("ids"))
+    rows = rows.where(F.exists("ids", lambda x: x > 0))
     # "3,x,7,": the known ones in order, x where too many unknown ones lie between.
-    line = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
+    line = F.concat(F.lit(","), F.array_join(F.filter("ids", lambda x: x >= 0), ","), F.lit(","))
     line = F.regexp_replace(line, rf"(,0){{{gap + 1},}},", ",x,")
     line = F.regexp_replace(line, r"(,0)+,", ",")
     rows = rows.select(

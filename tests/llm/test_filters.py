@@ -110,3 +110,31 @@ def test_licences(spark):
     assert {k: r.licences for k, r in got.items()} == {1: "MIT", 2: "MIT", 3: "MIT", 7: "Apache-2.0,CC-BY-NC-4.0", None: "", 8: "MIT"}
     assert got[1].first_known == 1 and got[2].n_known == 4 and got[7].n_known == 2
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_every_listed_sentence_and_rule_is_recognised(spark):
+    texts = {}
+    for sentence in licenses.SENTENCES:
+        texts[sentence] = (f"Unknown words.\n{sentence}\nUnknown words.", None)
+    for licence, sequence in licenses.RULES:
+        spelled = [[s for s, n in licenses.SENTENCES.items() if n == name] for name in sequence]
+        for i in range(max(map(len, spelled))):
+            text = "\n\n".join(s[min(i, len(s) - 1)] for s in spelled)
+            texts[f"{licence} {sequence} {i}"] = (f"Unknown words.\n{text}\nUnknown words.", licence)
+    df = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id string, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert set(got) == set(texts)
+    assert all(got[s].n_known == 1 and got[s].first_known == 1 for s in licenses.SENTENCES)
+    assert {k: got[k].licences for k, (_, licence) in texts.items() if licence} == {k: v for k, (_, v) in texts.items() if v}
+
+
+def test_cut_sentences(spark):
+    rows = [
+        ("mit", "// SPDX-License-Identifier: MIT"), ("gpl", "SPDX-License-Identifier: GPL-3.0-or-later\n\nSome text."),
+        ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy"),
+        ("none", "SPDX-License-Identifier: Other-1.0"), ("part", "It has version: 2.0."), ("alone", "Choose: MIT"),
+        ("apart", "SPDX-License-Identifier: Other-1.0\nMIT\n"),
+        ("two", "SPDX-License-Identifier: BSD-3-Clause\nMIT\n"),
+    ]
+    got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"mit": "MIT", "gpl": "GPL-3.0-or-later", "mpl": "MPL-2.0", "two": "BSD-3-Clause"}
