@@ -22,9 +22,9 @@ what it lets through is then joined with the candidates themselves.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import accumulate, islice
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -106,27 +106,33 @@ def _entity(kind: str, text: str) -> str:
     return f"{kind}:{text.lower() if kind in ('email', 'ip') else _digits(text)}"
 
 
-def _near_terms(text: str, spans: list[tuple[str, int, int]], reach: int) -> set[tuple[str, str]]:
-    """Pairs of an entity and a term close to it. Entities themselves are no terms."""
-    inside = sorted((a, b) for _, a, b in spans)
-    starts = [a for a, _ in inside]
-    ends = list(accumulate((b for _, b in inside), max))
+def _outer_words(text: str, low: int, high: int, reach: int) -> list[tuple[int, int, str]]:
+    """The first and the last ``reach`` words between two places."""
+    words = list(islice(_TERM.finditer(text, low, high), 2 * reach + 1))
+    if len(words) > 2 * reach:
+        first, last = words[:reach], []
+        low, at, step = words[reach - 1].end(), high, _STEP
+        while at > low and len(last) <= reach:  # one word more: the first may be cut
+            at, step = max(low, at - step), 2 * step
+            last = list(_TERM.finditer(text, at, high))
+        words = first + last[len(last) - reach :]
+    return [(*m.span(), m[0].lower()) for m in words]
 
-    def free(m: re.Match) -> bool:
-        before = bisect_left(starts, m.end())
-        return not before or ends[before - 1] <= m.start()
 
+def _near_terms(text: str, spans: list[tuple[str, int, int]], reach: int) -> set[tuple[str, str]]:
+    """Pairs of an entity and a term close to it: ``reach`` words on either side that lie outside
+    all entities, which are stepped over whole."""
+    words, end = [], 0
+    for a, b in [*sorted((a, b) for _, a, b in spans), (len(text), len(text))]:
+        if a > end:
+            words += _outer_words(text, end, a, reach)
+        end = max(end, b)
+    starts, ends = [a for a, _, _ in words], [b for _, b, _ in words]
     pairs = set()
     for kind, a, b in spans:
-        name = _entity(kind, text[a:b])
-        right = islice(filter(free, islice(_TERM.finditer(text, b), 4 * reach)), reach)
-        low, step, left = a, _STEP, []
-        while low > 0 and len(left) <= 4 * reach:  # one word more: the first may be cut
-            low, step = max(0, a - step), 2 * step
-            left = list(_TERM.finditer(text, low, a))
-        left = left[1:] if low and left else left
-        near = islice(filter(free, left[: -4 * reach - 1 : -1]), reach)
-        pairs.update((name, m[0].lower()) for side in (near, right) for m in side)
+        name, before, after = _entity(kind, text[a:b]), bisect_right(ends, a), bisect_left(starts, b)
+        near = words[max(0, before - reach) : before] + words[after : after + reach]
+        pairs.update((name, term) for _, _, term in near)
     return pairs
 
 

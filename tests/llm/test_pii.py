@@ -185,3 +185,26 @@ def test_number_of_added_spans_on_the_given_table(spark, sf_dir):
     texts = [r.text or "" for r in docs.collect()]
     want = sum(len(plain_added(texts, pii.GENERALISE, pii.REMOVE)[t]) for t in set(texts))
     assert sum(len(r.added) for r in pii.find(docs).dropDuplicates(["_digest"]).collect()) == want
+
+
+def test_words_beyond_a_list_of_entities_are_close():
+    many = ", ".join(f"10.20.30.{i}" for i in range(40))
+    text = f"Before one two three four five {many}, six seven eight nine ten Zorblax"
+    pairs = pii._near_terms(text, pii.base_spans(text), 5)
+    for i in (0, 20, 39):
+        near = {t for e, t in pairs if e == f"ip:10.20.30.{i}"}
+        assert near == set("one two three four five six seven eight nine ten".split())
+
+
+def test_close_words_equal_all_free_words():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = " ".join(rng.choice(["a@b.org", "1.2.3.4", "4111111111111111", "+1 (974) 555-3436", "w" * rng.randrange(1, 400), "x", "y", "z", "-"])
+                        for _ in range(rng.randrange(60)))
+        spans = pii.base_spans(text)
+        free = [m for m in re.finditer(r"[^\W_]+", text) if not any(a < m.end() and m.start() < b for _, a, b in spans)]
+        want = set()
+        for k, a, b in spans:
+            near = [m for m in free if m.end() <= a][-3:] + [m for m in free if m.start() >= b][:3]
+            want.update((pii._entity(k, text[a:b]), m[0]) for m in near)
+        assert pii._near_terms(text, spans, 3) == want
