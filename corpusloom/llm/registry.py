@@ -18,6 +18,7 @@ MODULES = {
     "op8_sharding": "document_queries",
     "op9_licenses": "text_queries",
     "op10_nearest": "vector_queries",
+    "op11_resampling": "resampling_queries",
 }
 
 
