@@ -19,6 +19,7 @@ MODULES = {
     "op9_licenses": "text_queries",
     "op10_nearest": "vector_queries",
     "op11_resampling": "resampling_queries",
+    "op12_quality": "quality_queries",
 }
 
 
