@@ -20,6 +20,7 @@ MODULES = {
     "op10_nearest": "vector_queries",
     "op11_resampling": "resampling_queries",
     "op12_quality": "quality_queries",
+    "op13_alignment": "token_queries",
 }
 
 
