@@ -6,6 +6,7 @@ import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,12 @@ class _Slots(dict):
         return np.bincount(found, minlength=self.dim)
 
 
+@lru_cache(maxsize=4)
+def _slots(dim: int) -> _Slots:
+    """One table for a worker, whatever the number of batches."""
+    return _Slots(dim)
+
+
 @dataclass(frozen=True)
 class TermModel:
     """Weight of each slot, and the column that is read."""
@@ -64,7 +71,7 @@ def fit_vectoriser(corpus: DataFrame, text_col: str = "text", dim: int = C.EMBED
     ln((N + 1) / (documents with it + 1)). Null texts count as empty."""
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, seen = _Slots(dim), np.zeros(dim + 1, dtype=np.int64)
+        slots, seen = _slots(dim), np.zeros(dim + 1, dtype=np.int64)
         for batch in batches:
             for words in batch.column(0).to_pylist():
                 seen[:dim] += slots.counts(words) > 0
@@ -82,7 +89,7 @@ def vectorise(docs: DataFrame, model: TermModel, out: str = "embedding") -> Data
     dim = len(model.weights)
 
     def vectors(words: pd.Series) -> pd.Series:
-        slots, made = _Slots(dim), []
+        slots, made = _slots(dim), []
         for text in words:
             weighted = slots.counts(text) * model.weights
             norm = math.sqrt(float(weighted @ weighted))

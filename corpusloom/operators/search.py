@@ -44,6 +44,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), width)
 
 
+def _searchable(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The rows of a batch whose vector, the last column, is there and finite, and their matrix. Tested
+    here and not by a filter: above a vectorising function a filter would make it run twice."""
+    batch = batch.filter(batch.column(batch.num_columns - 1).is_valid())
+    if not batch.num_rows:
+        return batch, np.zeros((0, 0))
+    matrix = _matrix(batch.column(batch.num_columns - 1))  # null components are NaN
+    good = np.isfinite(matrix).all(axis=1)
+    return (batch, matrix) if good.all() else (batch.filter(pa.array(good)), matrix[good])
+
+
 def query_blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[list]:
     """The query rows in blocks within the broadcast bounds, cut by a hash of the id. One block at
     a time is on the driver."""
@@ -102,7 +113,7 @@ def nearest(
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     k = min(k, C.MAX_SEARCH_K)
-    rows = apply_filter(collection, where).where(finite(vector_col)).select(F.col(id_col), F.col(vector_col))
+    rows = apply_filter(collection, where).select(F.col(id_col), F.col(vector_col))
     queries = queries.where(finite(query_vector))
     parts = []
     for held in query_blocks(queries, query_id, query_vector):
@@ -140,6 +151,7 @@ def _scan(rows, queries, held, k, metric, id_col, query_id, probe=None) -> DataF
         keys, matrix, probe = shared.value
         best = Nearest(matrix, k, metric)
         for batch in batches:
+            batch, vectors = _searchable(batch)
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -148,7 +160,7 @@ def _scan(rows, queries, held, k, metric, id_col, query_id, probe=None) -> DataF
             if probe is not None:
                 cells, pairs = probe
                 allowed = pairs[:, np.searchsorted(cells, batch.column(1).to_numpy())]
-            best.add(ids, _matrix(batch.column(batch.num_columns - 1)), allowed)
+            best.add(ids, vectors, allowed)
         if best.ids is not None:
             arrays = [pa.array(c, type=t) for c, t in zip(best.columns(keys), types)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
@@ -254,7 +266,7 @@ def nearest_in_cells(
     """
     k = min(k, C.MAX_SEARCH_K)
     queries = queries.where(finite(query_vector))
-    rows = indexed.where(finite(vector_col)).select(id_col, "cell", vector_col)
+    rows = indexed.select(id_col, "cell", vector_col)
     known = centres.orderBy("cell").collect()  # one row per cell, as many as the caller asked for
     label = np.array([r["cell"] for r in known])
     middle = np.array([r["centre"] for r in known], dtype=np.float64)

@@ -9,6 +9,7 @@ from corpusloom import constants as C
 from corpusloom.functions import predicates as P
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking, embedding, hits, prompts, search, store
+from corpusloom.session import written
 from corpusloom.sources import files
 
 
@@ -20,7 +21,8 @@ def search_texts(
     asked = questions.where(P.query_problem("question").isNull()).select(
         "query_id", T.expand_query(T.normalise_query("question")).alias("text")
     )
-    vectors = embedding.vectorise(asked, model, "query_vector").select("query_id", "query_vector")
+    # Written: the search looks at the questions more than once, and each look would embed them.
+    vectors = written(embedding.vectorise(asked, model, "query_vector").select("query_id", "query_vector"), "questions")
     return search.nearest(collection, vectors, k, metric, where, id_col)
 
 

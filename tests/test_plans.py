@@ -72,3 +72,16 @@ def test_upsert_broadcasts_a_small_batch(spark):
     new = old.limit(3).withColumn("seq", F.lit(1))
     text = plan(store.upsert(old, new))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_texts_are_embedded_once(spark, sf_dir):
+    """Whether a vector can be searched is tested behind the function that makes it."""
+    from corpusloom.operators import embedding
+    from corpusloom.plans import flows
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = embedding.fit_vectoriser(docs)
+    asked = docs.limit(5).select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("question"))
+    vectors = embedding.vectorise(docs, model).select("doc_id", "embedding")
+    text = plan(flows.search_texts(vectors, asked, model, id_col="doc_id"))
+    assert text.count("ArrowEvalPython") == 1 and text.count("MapInArrow") == 1
