@@ -9,7 +9,7 @@ from corpusloom import constants as C
 from corpusloom.functions.text import clean_metadata, clean_text, preview
 from corpusloom.operators import joins
 from corpusloom.operators.joins import latest_per_key, small_side
-from corpusloom.session import scratch_path
+from corpusloom.session import scratch_path, written
 
 
 def cleaned(rows: DataFrame, text_col: str = "content", metadata: str = "metadata") -> DataFrame:
@@ -39,6 +39,11 @@ def upsert(
     return kept.unionByName(last, allowMissingColumns=True)
 
 
+def written_batch(new: DataFrame) -> DataFrame:
+    """A batch of writes, kept so that deciding on it and applying it see the same rows."""
+    return written(new, "batch")
+
+
 def rows_written(new: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows offered and rows that end up in the table."""
     return new.agg(

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from corpusloom import constants as C
 from corpusloom.functions.text import upload_id
-from corpusloom.operators import chunking, store
+from corpusloom.operators import chunking, collection, store
 from corpusloom.plans.tables import documents, table
+from corpusloom.session import scratch_path
 
 TECHNOLOGY = "CASE lang WHEN 'en' THEN 'python' WHEN 'fr' THEN 'nodejs' WHEN 'de' THEN 'mongodb' END"
 
@@ -41,8 +42,8 @@ def upsert_counts(spark, sf_dir):
     return store.rows_written(_batch(spark, sf_dir))
 
 
-def upsert_replacing(spark, sf_dir):
-    """New versions of labelled documents are shorter; their surplus old chunks go."""
+def _windows(spark, sf_dir):
+    """(chunks of all documents, chunks of new and shorter versions of the labelled ones)."""
     docs = documents(spark, sf_dir, "doc_id")
     fresh = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").withColumn(
         "content", F.replace("content", F.lit(" "), F.lit(""))
@@ -54,8 +55,67 @@ def upsert_replacing(spark, sf_dir):
             upload_id(F.col("doc_id").cast("string"), "chunk_position").alias("id"), "doc_id", "chunk_id"
         )
 
-    new = rows(fresh).withColumn("seq", F.lit(1))
-    return store.upsert(rows(docs), new, document_col="doc_id").select("id", "doc_id", "chunk_id")
+    return rows(docs), rows(fresh).withColumn("seq", F.lit(1))
+
+
+def upsert_replacing(spark, sf_dir):
+    """New versions of labelled documents are shorter; their surplus old chunks go."""
+    rows, new = _windows(spark, sf_dir)
+    return store.upsert(rows, new, document_col="doc_id").select("id", "doc_id", "chunk_id")
+
+
+def _stored(spark, sf_dir, **options):
+    """A stored collection of all documents."""
+    path = scratch_path(spark, "collection")
+    old = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", "lang")
+    collection.create(old, path, **options)
+    return path
+
+
+def stored_upsert(spark, sf_dir):
+    """The same writes as in ``upsert_latest``, to a stored collection in place."""
+    path = _stored(spark, sf_dir)
+    collection.upsert(store.cleaned(_batch(spark, sf_dir)), path)
+    return collection.read(spark, path).select("id", F.md5("content").alias("digest"), "source")
+
+
+def stored_versions(spark, sf_dir):
+    """A collection as it was before a write and after it: a reader may be at either."""
+    path = _stored(spark, sf_dir)
+    collection.upsert(_batch(spark, sf_dir), path)
+    both = [collection.read(spark, path, v).withColumn("version", F.lit(v)) for v in collection.versions(spark, path)]
+    rows = both[0].unionByName(both[1])
+    return rows.groupBy("version", "source").agg(F.count("*").alias("rows"), F.sum(F.length("content")).alias("chars"))
+
+
+def stored_layout(spark, sf_dir):
+    """Buckets after toxic documents were written anew: those that hold none keep their files."""
+    path = _stored(spark, sf_dir, buckets=256)
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    new = collection.read(spark, path).join(toxic, "id", "left_semi").withColumn("content", F.lit("")).withColumn("seq", F.lit(1))
+    collection.upsert(new, path)
+    where = collection.layout(spark, path).withColumnRenamed("bucket", "_bucket")
+    rows = collection.read(spark, path).withColumn("bucket", collection.bucket_of("id", 256))
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("rows"))
+    return counts.join(F.broadcast(where), F.col("bucket") == F.col("_bucket")).select("bucket", "version", "rows")
+
+
+def stored_replacing(spark, sf_dir):
+    """New and shorter versions of labelled documents, in a collection laid out by document."""
+    path = scratch_path(spark, "collection")
+    rows, new = _windows(spark, sf_dir)
+    collection.create(rows, path, document_col="doc_id")
+    collection.upsert(new, path, replace_document=True)
+    return collection.read(spark, path).select("id", "doc_id", "chunk_id")
+
+
+def merged_stats(spark, sf_dir):
+    """Rows by source and by language after a write, merged from what each write has left; and
+    whether the estimate of different ids is within a tenth of their number."""
+    path = _stored(spark, sf_dir, stats_by=("source", "lang"))
+    collection.upsert(_batch(spark, sf_dir), path)
+    out = collection.stored_stats(spark, path)
+    return out.select("of", "value", "rows", (F.abs(F.col("ids") - F.col("rows")) * 10 <= F.col("rows")).alias("close"))
 
 
 def collection_sample(spark, sf_dir):
@@ -97,7 +157,8 @@ def corpus_status(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    upsert_latest, upsert_counts, upsert_replacing, collection_sample, collection_stats, source_stats,
+    upsert_latest, upsert_counts, upsert_replacing, stored_upsert, stored_versions, stored_layout, stored_replacing,
+    merged_stats, collection_sample, collection_stats, source_stats,
     sample_source_stats, technology_available, technology_stats, corpus_status,
 )}
 
@@ -131,3 +192,22 @@ FROM (SELECT *, row_number() OVER (PARTITION BY technology ORDER BY doc_id) AS n
     "corpus_status": f"""SELECT count(*) AS document_count, count(DISTINCT source) AS sources,
   count(DISTINCT {TECHNOLOGY}) AS technologies, {len(C.FORMATS)}::BIGINT AS formats FROM documents""",
 }
+
+_LAST = f"""WITH {_BATCH},
+last AS (SELECT * FROM batch b WHERE seq = (SELECT max(seq) FROM batch c WHERE c.id = b.id)),
+final AS (SELECT coalesce(l.id, d.doc_id) AS id, coalesce(l.content, d.text) AS content, coalesce(l.source, d.source) AS source,
+  CASE WHEN l.id IS NULL THEN d.lang END AS lang FROM documents d FULL JOIN last l ON d.doc_id = l.id)"""
+_BUCKET = "('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 256"
+
+ORACLE |= {
+    "stored_upsert": ORACLE["upsert_latest"],
+    "stored_replacing": ORACLE["upsert_replacing"],
+    "stored_versions": f"""{_LAST}
+SELECT 1 AS version, source, count(*) AS rows, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source
+UNION ALL SELECT 2, source, count(*), sum(length(content))::BIGINT FROM final GROUP BY source""",
+    "stored_layout": f"""SELECT ({_BUCKET})::INT AS bucket, CASE WHEN bool_or(coalesce(toxic, 0) = 1) THEN 2 ELSE 1 END AS version, count(*) AS rows
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""",
+    "merged_stats": f"""{_LAST}
+SELECT 'source' AS "of", source AS value, count(*) AS rows, true AS close FROM final GROUP BY source
+UNION ALL SELECT 'lang', lang, count(*), true FROM final GROUP BY lang""",
+}
