@@ -133,6 +133,14 @@ def read_keys(spark: SparkSession, path: str, keys: list, version: int | None =
     return _read(spark, path, of, only).where(F.col(of.key).isin(list(keys))).drop("bucket")
 
 
+def beside(keys: DataFrame, path: str, key_col: str) -> DataFrame:
+    """The rows of the collection in the buckets of the given keys: those of the keys, and others."""
+    spark = keys.sparkSession
+    of = manifest(spark, path)
+    only = [r[0] for r in keys.select(bucket_of(key_col, of.buckets)).distinct().collect()]  # buckets at most
+    return _read(spark, path, of, only).drop("bucket")
+
+
 def _write(spark: SparkSession, path: str, rows: DataFrame, old: Manifest, touched: list[int], tag: str | None) -> Manifest:
     """Write the new rows of the touched buckets and publish the version that has them."""
     number = old.version + 1

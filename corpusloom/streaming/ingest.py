@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom import constants as C
 from corpusloom.functions.text import clean_text, upload_id
+from corpusloom.operators import collection, store
 from corpusloom.operators.chunking import chunk_documents
+from corpusloom.session import written
+from corpusloom.sources import files as sources
 from corpusloom.sources.files import extract
 from corpusloom.streaming.sink import write_batches
 
@@ -33,3 +38,76 @@ def ingest_files(files: DataFrame, path: str, checkpoint: str, source: str = "ap
         F.col("filename").alias("title"), "content", F.lit(source).alias("source"), "file_type"
     )
     return ingest_documents(docs, path, checkpoint, **options)
+
+
+UPLOADS = "path string, modificationTime timestamp, length long, content binary"
+
+
+def upload_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Files below a folder as they come in. A path is read once: a new version of a file comes
+    under another path, such as a folder of its day, with the same file name."""
+    stream = spark.readStream.format("binaryFile").schema(UPLOADS).option("recursiveFileLookup", True)
+    return stream.option("maxFilesPerTrigger", files_per_batch).load(path)
+
+
+def ingest_uploads(
+    uploads: DataFrame, path: str, checkpoint: str, vectoriser: Callable[[DataFrame], DataFrame] | None = None,
+    source: str = "api_upload", trigger: dict | None = None, buckets: int = collection.BUCKETS,
+) -> StreamingQuery:
+    """A stream of files (UPLOADS) into a stored collection, laid out by document (``title``).
+
+    A document is known by its file name. A file that is stored already with the same content is
+    left out before anything is extracted; a newer one replaces all that its document had; an older
+    one changes nothing, whenever it arrives. The collection itself remembers content and time of
+    what it has, so no state grows with the files, and a repeated batch finds its own work done.
+    ``vectoriser`` adds further columns to the chunks. What became of each file of a batch is
+    written to ``<path>-reports``: stored, known, older, superseded (within its batch), empty (no
+    text: nothing changes), or the problem or error.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        gated = sources.gate(batch).withColumns({
+            "digest": F.sha2("content", 256), "made": F.col("modificationTime"), "title": sources.base_name(F.col("path")),
+        })
+        gated = written(sources.latest_named(gated.where("problem IS NULL")).unionByName(
+            gated.where("problem IS NOT NULL").withColumn("superseded", F.lit(False))
+        ), "uploads")
+        fresh = gated.where("problem IS NULL AND NOT superseded")
+        if collection.versions(spark, path):
+            held = collection.beside(fresh, path, "title").groupBy("title").agg(
+                F.max_by("digest", "upload_timestamp").alias("_digest"), F.max("upload_timestamp").alias("_newest")
+            )
+        else:
+            held = spark.createDataFrame([], "title string, _digest string, _newest timestamp")
+        state = (
+            F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("superseded"), "superseded")
+            .when(F.col("digest") == F.col("_digest"), "known").when(F.col("made") < F.col("_newest"), "older")
+        )
+        judged = written(gated.join(held, "title", "left").withColumn("outcome", state).drop("_digest", "_newest"), "judged")
+        report = written(extract(judged.where("outcome IS NULL").drop("problem", "superseded", "outcome", "title")), "extracted")
+        docs = report.where("success").select(
+            F.col("filename").alias("title"), "content", "file_type", F.lit(source).alias("source"),
+            F.col("made").alias("upload_timestamp"), "digest",
+        )
+        rows = document_chunks(docs).withColumn("seq", F.lit(0))
+        rows = written(store.cleaned(vectoriser(rows) if vectoriser else rows), "chunks")
+        if not collection.versions(spark, path):
+            collection.create(rows.drop("seq").limit(0), path, document_col="title", buckets=buckets)
+        collection.upsert(rows, path, replace_document=True, version_col="upload_timestamp", tag=f"{checkpoint}:{number}")
+        chunks = rows.groupBy("title").agg(F.count("*").alias("chunks"))
+        done = report.select(F.col("filename").alias("title"), "error").join(chunks, "title", "left")
+        done = done.withColumn("outcome", F.coalesce("error", F.when(F.col("chunks") > 0, "stored").otherwise("empty")))
+        others = judged.where("outcome IS NOT NULL").select("title", "outcome", F.lit(None).cast("long").alias("chunks"))
+        both = done.select("title", "outcome", "chunks").unionByName(others)
+        both.write.mode("overwrite").parquet(f"{path}-reports/batch={number}")
+
+    return (
+        uploads.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start()
+    )
+
+
+def upload_reports(spark: SparkSession, path: str) -> DataFrame:
+    """batch, title, outcome and chunks of every file that has come in."""
+    return spark.read.schema("title string, outcome string, chunks long, batch long").parquet(f"{path}-reports")

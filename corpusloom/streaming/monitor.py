@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructType
 
 from corpusloom import constants as C
 from corpusloom.operators.stats import allowed_calls
+from corpusloom.streaming.sink import write_batches
 
 
 def timed(events: DataFrame, late: str | None, ts: str = "ts") -> DataFrame:
@@ -46,3 +54,117 @@ def breaches(
     return out.select(
         F.col("window.start").cast("timestamp_ntz").alias("window_start"), client, endpoint, "calls", "allowed"
     )
+
+
+# --- alerts with state of their own ---------------------------------------------------------------
+
+
+def _calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Calls counted before the shuffle, so that a busy client sends a few rows per task."""
+    for batch in batches:
+        if batch.num_rows:
+            names = batch.schema.names
+            counted = pa.Table.from_batches([batch]).group_by(names).aggregate([([], "count_all")])
+            yield from counted.select([*names, "count_all"]).rename_columns([*names, "_n"]).combine_chunks().to_batches()
+
+
+def breach_alerts(
+    events: DataFrame, client: str, endpoint: str, limits: dict[str, int], late: str,
+    width: str = "1 minute", ts: str = "ts",
+) -> DataFrame:
+    """One row for each window in which a client goes over the limit of an endpoint, in the batch in
+    which that happens, and none after it. For append mode.
+
+    The state of a client and endpoint are the counts of its open windows. A window is closed, its
+    count freed and further calls of it left out, once a window that ends ``late`` later has been
+    seen; a time-out frees what no call asks for any more. Endpoints without a limit, and calls
+    without a client or a time, are left out.
+    """
+    span = F.window(F.col(ts).cast("timestamp"), width)
+    known = events.where(F.col(endpoint).isin(*limits) & F.col(client).isNotNull() & F.col(ts).isNotNull())
+    calls = known.select(
+        F.col(client).alias("_client"), F.col(endpoint).alias("_endpoint"), allowed_calls(endpoint, limits).alias("_allowed"),
+        span.alias("_span"),
+    )
+    calls = calls.select("_client", "_endpoint", "_allowed", F.unix_micros("_span.start").alias("_start"), F.col("_span.end").alias("_end"))
+    kinds = dict(calls.dtypes)
+    row = f"_client {kinds['_client']}, _endpoint {kinds['_endpoint']}, _allowed long, _start long, _end timestamp, _n long"
+    counted = calls.mapInArrow(_calls, row).withWatermark("_end", late)
+
+    def track(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        counts: dict[int, list[int]] = {s: [n, end] for s, n, end in zip(*state.get)} if state.exists else {}
+        told = []
+        for part in parts:
+            for start, n, end, allowed in zip(part["_start"], part["_n"], part["_end"], part["_allowed"]):
+                before, _ = counts.get(start, (0, 0))
+                counts[start] = [before + n, int(end.timestamp() * 1000)]
+                if before <= allowed < before + n:
+                    told.append((start, key[0], key[1], allowed))
+        closed = state.getCurrentWatermarkMs()
+        counts = {s: v for s, v in counts.items() if v[1] > closed}
+        if counts:
+            state.update(([*counts], [n for n, _ in counts.values()], [end for _, end in counts.values()]))
+            state.setTimeoutTimestamp(min(end for _, end in counts.values()))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(told, columns=["_start", "_client", "_endpoint", "_allowed"])
+
+    alerts = counted.groupBy("_client", "_endpoint").applyInPandasWithState(
+        track, f"_start long, _client {kinds['_client']}, _endpoint {kinds['_endpoint']}, _allowed long",
+        "starts array<long>, counts array<long>, ends array<long>", "append", GroupStateTimeout.EventTimeTimeout,
+    )
+    return alerts.select(
+        F.timestamp_micros("_start").cast("timestamp_ntz").alias("window_start"),
+        F.col("_client").alias(client), F.col("_endpoint").alias(endpoint), F.col("_allowed").alias("allowed"),
+    )
+
+
+# --- final windows and what came too late ----------------------------------------------------------
+
+
+def write_final(
+    events: DataFrame, labels: list[str], late: str, path: str, checkpoint: str, width: str = "1 hour",
+    ts: str = "ts", **options,
+) -> list[StreamingQuery]:
+    """Two streams over ``events``: windows that are final (append mode; state ends with them), in
+    ``path/final``, and the counts of all that arrived, batch by batch and without state, in
+    ``path/arrived``. What is in the second and not in the first came too late or is still open."""
+    counts = windowed_counts(timed(events, late, ts), labels, width, ts)
+    zoned = timed(events, None, ts)
+
+    def arrived(batch: DataFrame) -> DataFrame:
+        newest = F.max(F.col(ts)).cast("timestamp_ntz").alias("newest")
+        out = batch.groupBy(F.window(F.col(ts), width), *labels).agg(F.count("*").alias("total"), newest)
+        edges = [F.col(f"window.{e}").cast("timestamp_ntz").alias(f"window_{e}") for e in ("start", "end")]
+        return out.select(*edges, *labels, "total", "newest")
+
+    return [
+        write_batches(counts, f"{path}/final", f"{checkpoint}/final", "append", **options),
+        write_batches(zoned, f"{path}/arrived", f"{checkpoint}/arrived", "append", transform=arrived, **options),
+    ]
+
+
+def final_counts(spark: SparkSession, path: str, labels: StructType) -> DataFrame:
+    """The windows that are final; ``labels`` are the fields of the labels."""
+    schema = StructType.fromDDL("window_start timestamp_ntz")
+    schema = StructType([*schema.fields, *labels.fields]).add("total", LongType())
+    return spark.read.schema(schema).parquet(f"{path}/final").drop("batch")
+
+
+def late_counts(spark: SparkSession, path: str, labels: StructType, late: str) -> DataFrame:
+    """Rows that came too late for their window, by window: those that arrived and are not in its
+    final count, of windows that are closed. For after both streams have taken in the same files."""
+    edges = StructType.fromDDL("window_start timestamp_ntz, window_end timestamp_ntz")
+    rest = StructType.fromDDL("total long, newest timestamp_ntz")
+    schema = StructType([*edges.fields, *labels.fields, *rest.fields])
+    rows = spark.read.schema(schema).parquet(f"{path}/arrived")
+    keys = ["window_start", "window_end", *labels.names]
+    both = rows.groupBy(*keys).agg(F.sum("total").alias("total"))
+    newest = rows.agg((F.max("newest") - F.expr(f"INTERVAL {late}")).alias("_closed"))  # one row
+    done = final_counts(spark, path, labels).withColumnRenamed("total", "_final")
+    same = [both["window_start"] == done["window_start"]] + [both[c].eqNullSafe(done[c]) for c in labels.names]
+    joined = both.join(done, same, "left").select(*[both[c] for c in keys], "total", "_final")
+    joined = joined.join(F.broadcast(newest), F.col("window_end") <= F.col("_closed"))
+    return joined.select(
+        "window_start", *labels.names, (F.col("total") - F.coalesce("_final", F.lit(0))).alias("late")
+    ).where("late > 0")

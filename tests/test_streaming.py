@@ -137,3 +137,107 @@ def test_corpus_from_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"title": "t", "content": "alpha beta", "source": "s"}]))
     out = flows.chunk_corpus([str(tmp_path / "a.json")], spark, str(tmp_path / "saved"))
     assert [(r.title, r.content, r.total_chunks) for r in out.collect()] == [("t", "alpha beta", 1)]
+
+
+def _calls(spark, rows):
+    schema = "t string, client string, endpoint string"
+    return spark.createDataFrame(rows, schema).select(F.col("t").cast("timestamp_ntz").alias("ts"), "client", "endpoint")
+
+
+def test_alerts_come_once_and_state_ends(spark, tmp_path):
+    """Over five starts from one checkpoint: an alert when a limit is passed and none after, late
+    calls left out, state freed by the clock of the data alone."""
+    path, state = str(tmp_path / "out"), str(tmp_path / "state")
+    minute = lambda m, n, client="a", endpoint="upload": [(f"2024-01-01 00:{m:02d}:{i:02d}", client, endpoint) for i in range(n)]
+    batches = [
+        minute(0, 10) + minute(0, 3, "b") + minute(1, 1) + minute(0, 50, "a", "free") + [(None, "a", "upload"), ("2024-01-01 00:00:01", None, "upload")],
+        minute(0, 1) + minute(1, 30),  # the 11th call of the first minute, from another batch
+        minute(0, 5) + minute(1, 5) + minute(2, 11, "b"),
+        minute(30, 1, "c"),  # time goes on: all earlier windows close
+        minute(0, 20, "b") + minute(31, 11, "c"),  # too late for b
+    ]
+    schema, left = None, []
+    for rows in batches:
+        _calls(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("ts timestamp_ntz, client string, endpoint string").parquet(str(tmp_path / "in"))
+        alerts = monitor.breach_alerts(stream, "client", "endpoint", {"upload": 10, "ask": 30}, "5 minutes")
+        schema = alerts.schema
+        query = sink.write_batches(alerts, path, state, "append")
+        query.awaitTermination()
+        left.append(query.lastProgress.stateOperators[0].numRowsTotal)
+    rows = spark.read.schema(schema).parquet(path).collect()
+    assert sorted((r.window_start.minute, r.client, r.allowed, r.batch >= 0) for r in rows) == [
+        (0, "a", 10, True), (1, "a", 10, True), (2, "b", 10, True), (31, "c", 10, True)]
+    assert left == [2, 2, 2, 1, 1]
+
+
+def test_final_windows_and_late_rows(spark, tmp_path):
+    """What arrives is either in a final window, late, or in a window that is still open."""
+    times = [["00:10", "03:00"], ["00:50", "02:10", "05:00"], ["02:20", "03:30", "05:10"], []]
+    for i, part in enumerate(times):
+        rows = [(f"2024-01-01 {t}:00", "x", None if i == 1 else "e") for t in part]
+        _calls(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("ts timestamp_ntz, client string, endpoint string").parquet(str(tmp_path / "in"))
+        for query in monitor.write_final(stream, ["endpoint"], "1 hour", str(tmp_path / "out"), str(tmp_path / "state")):
+            query.awaitTermination()
+    labels = _calls(spark, rows).select("endpoint").schema
+    final = monitor.final_counts(spark, str(tmp_path / "out"), labels)
+    late = monitor.late_counts(spark, str(tmp_path / "out"), labels, "1 hour")
+    key = lambda r: (r.window_start.hour, r.endpoint or "-")
+    assert sorted((*key(r), r.total) for r in final.collect()) == [(0, "e", 1), (2, "-", 1), (3, "e", 1)]
+    assert sorted((*key(r), r.late) for r in late.collect()) == [(0, "-", 1), (2, "e", 1), (3, "e", 1)]
+
+
+def test_uploads_into_a_collection(spark, tmp_path):
+    """Files in several batches: repeats, new versions, an older one that comes late, a return to
+    what was there before, damaged and unknown files. The result is that of the newest files."""
+    import os
+
+    from corpusloom.operators import collection
+
+    path, state, root = str(tmp_path / "stored"), str(tmp_path / "state"), tmp_path / "in"
+    long, code = "A sentence about roses. " * 200, "Text.\n\n```python\nx = 1\n```\nEnd."
+    rounds = [
+        ("1", 100, {"guide.md": code, "notes.txt": long, "bad.docx": "no zip", "skip.exe": "MZ\x00", "blank.txt": " \n"}),
+        ("2", 200, {"notes.txt": long, "guide.md": "short now", "new.txt": "new"}),
+        ("3", 300, {"guide.md": code}),
+        ("4", 150, {"guide.md": "older version", "new.txt": "older"}),
+        ("5", 400, {}),
+    ]
+    outcomes = []
+    for folder, at, made in rounds:
+        (root / folder).mkdir(parents=True)
+        for name, text in made.items():
+            (root / folder / name).write_text(text)
+            os.utime(root / folder / name, (1_700_000_000 + at, 1_700_000_000 + at))
+        ingest.ingest_uploads(ingest.upload_stream(spark, str(root), 100), path, state, buckets=8).awaitTermination()
+    for r in ingest.upload_reports(spark, path).collect():
+        outcomes.append((r.batch, r.title, r.outcome.split(":")[0], r.chunks))
+    rejected = {t: o for _, t, o, _ in outcomes if t in ("bad.docx", "skip.exe")}
+    assert set(rejected) == {"bad.docx", "skip.exe"} and "stored" not in rejected.values()
+    assert sorted(o for o in outcomes if o[1] not in rejected) == [
+        (0, "blank.txt", "empty", None), (0, "guide.md", "stored", 3), (0, "notes.txt", "stored", 6),
+        (1, "guide.md", "stored", 1), (1, "new.txt", "stored", 1), (1, "notes.txt", "known", None),
+        (2, "guide.md", "stored", 3), (3, "guide.md", "older", None), (3, "new.txt", "older", None)]
+    docs = spark.createDataFrame([("guide.md", code), ("notes.txt", long), ("new.txt", "new")], "title string, content string")
+    want = ingest.document_chunks(docs).select("id", "content", "total_chunks").collect()
+    got = collection.read(spark, path).select("id", "content", "total_chunks").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_a_repeated_upload_batch_changes_nothing(spark, tmp_path):
+    """A batch that died after its write and is run again finds its work done."""
+    import shutil
+
+    from corpusloom.operators import collection
+
+    path, state, root = str(tmp_path / "stored"), tmp_path / "state", tmp_path / "in"
+    root.mkdir()
+    (root / "a.txt").write_text("first text")
+    run = lambda: ingest.ingest_uploads(ingest.upload_stream(spark, str(root)), path, str(state), buckets=4).awaitTermination()
+    run()
+    before = collection.versions(spark, path)
+    shutil.rmtree(state / "commits")  # as if it had died before the batch was committed
+    run()
+    assert collection.versions(spark, path) == before
+    assert [r.content for r in collection.read(spark, path).collect()] == ["first text"]
