@@ -8,6 +8,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom import constants as C
@@ -180,6 +181,63 @@ def scraped_documents(spark, sf_dir):
     )
 
 
+def _large_arrays(spark, sf_dir):
+    """All documents as a few JSON array files without a line end; some texts look like JSON."""
+    docs = documents(spark, sf_dir, "doc_id", "lang", "source")
+    noise = F.when(F.col("lang") == "fr", F.concat(F.lit('{"a": "}, {\\" ['), "content")).otherwise(F.col("content"))
+    rows = docs.select(F.to_json(F.struct(
+        F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), noise.alias("content"), "source",
+        F.struct(F.col("doc_id").alias("id"), F.array(F.lit("x"), "lang").alias("tags")).alias("about"),
+    )).alias("value"))
+
+    def laid_out(batches):
+        begun = False
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            marks = ["," if begun or i else "[" for i in range(len(texts))]
+            begun = begun or bool(texts)
+            yield pa.RecordBatch.from_pydict({"value": pa.array([m + t for m, t in zip(marks, texts)], pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": pa.array(["]" if begun else "[]"])})
+
+    path = scratch_path(spark, "arrays")
+    rows.coalesce(3).mapInArrow(laid_out, "value string").write.option("lineSep", " ").text(path)
+    return path
+
+
+def scraped_large(spark, sf_dir):
+    """Documents from arrays of any size, each cut by many tasks."""
+    found = files.read_scraped_large(spark, [_large_arrays(spark, sf_dir), scratch_path(spark, "absent")])
+    return found.select(
+        "title", F.md5("content").alias("digest"), "source", "read_error",
+        F.get_json_object(F.try_element_at("extra", F.lit("about")), "$.id").alias("about_id"),
+        F.get_json_object(F.try_element_at("extra", F.lit("about")), "$.tags[1]").alias("tag"),
+    )
+
+
+def _large_table(spark, sf_dir):
+    """All documents as CSV, with line ends, quotes and commas in the fields."""
+    docs = documents(spark, sf_dir, "doc_id", "lang").withColumn("content", F.concat("content", F.lit('\n"quoted", and more\n')))
+    path = scratch_path(spark, "table")
+    docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select("doc_id", "content", "lang").write.option(
+        "header", True
+    ).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def csv_large_profile(spark, sf_dir):
+    """Counts and names of a CSV of any size, and the number of lines in its preview."""
+    out = files.large_csv_profile(spark, _large_table(spark, sf_dir))
+    return out.select("rows", "columns", F.array_join("column_names", ",").alias("names"), F.contains("content", F.lit("Data Preview")).alias("preview"))
+
+
+def csv_large_rows(spark, sf_dir):
+    """Every row of such a CSV."""
+    rows, _ = files.csv_rows(spark, _large_table(spark, sf_dir))
+    return rows.select(
+        F.col("fields")[0].cast("bigint").alias("doc_id"), F.md5(F.col("fields")[1]).alias("digest"), F.col("fields")[2].alias("lang"), "problem"
+    )
+
+
 def saved_counts(spark, sf_dir):
     """Chunks by type and by source, from what is saved beside them."""
     docs = documents(spark, sf_dir, "doc_id", "source")
@@ -204,7 +262,8 @@ def same_named_files(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     extract_text_files, rtf_text, extract_summary, file_gate, supported_formats, extract_office_files,
-    csv_profile, saved_chunks, saved_counts, scraped_documents, same_named_files,
+    csv_profile, saved_chunks, saved_counts, scraped_documents, scraped_large, csv_large_profile, csv_large_rows,
+    same_named_files,
 )}
 
 _RTF = "replace(regexp_replace(regexp_replace({0}, '\\\\[a-z]+\\d*\\s?', '', 'g'), '[{{}}]', '', 'g'), '\\', '')"
@@ -214,6 +273,10 @@ _LINES = "string_split(text, chr(10))"
 _WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 ORACLE = {
+    "scraped_large": """SELECT 'doc ' || doc_id AS title, md5(CASE WHEN lang = 'fr' THEN '{"a": "}, {\\" [' || text ELSE text END) AS digest, source,
+  NULL::VARCHAR AS read_error, doc_id::VARCHAR AS about_id, lang AS tag FROM documents""",
+    "csv_large_profile": "SELECT count(*) AS rows, 3::BIGINT AS columns, 'doc_id,content,lang' AS names, true AS preview FROM documents",
+    "csv_large_rows": """SELECT doc_id, md5(text || chr(10) || '"quoted", and more' || chr(10)) AS digest, lang, NULL::VARCHAR AS problem FROM documents""",
     "scraped_documents": """SELECT 'doc ' || doc_id AS title, text AS content, source, NULL::VARCHAR AS doc_type, doc_id::DOUBLE AS scraped_at,
   NULL::VARCHAR AS read_error, doc_id::VARCHAR AS about_id, lang AS language, 2::BIGINT AS other_keys FROM documents""",
     "saved_counts": """WITH w AS (SELECT source, unnest(range(greatest(0, length(text) - 201) // 800 + 1)) AS i FROM documents WHERE text <> ''),

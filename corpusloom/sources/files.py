@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +16,7 @@ from corpusloom.functions.text import base_name, file_extension
 from corpusloom.operators.stats import chunk_counts, chunk_stats
 from corpusloom.schemas import SCRAPED
 from corpusloom.sources.office import HANDLERS, table_profile
+from corpusloom.sources.records import csv_records, json_elements
 
 PROCESSOR = "corpusloom"
 _PARSED = (
@@ -124,6 +128,28 @@ def read_scraped(spark: SparkSession, paths: list[str]) -> DataFrame:
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
+    return _documents(whole)
+
+
+def read_scraped_large(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The same from files of any size: each is cut into documents by many tasks, and never held as
+    one row. Of a file that breaks off or turns bad, the documents before that are kept, beside the
+    row with the error."""
+    found = []
+    for path in paths:
+        try:
+            spark.read.text(path, recursiveFileLookup=True)
+            found.append(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    if not found:
+        return _documents(spark.createDataFrame([], "value string, path string"))
+    return _documents(json_elements(spark, found).select("value", "path"))
+
+
+def _documents(whole: DataFrame) -> DataFrame:
+    """Documents and errors of texts that should be JSON arrays."""
     # Kept as variants, every key of a document survives whatever its type.
     document = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
     parsed = whole.select("path", document.alias("_docs"))
@@ -139,14 +165,34 @@ def read_scraped(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.select(*known, extra.alias("extra"), F.coalesce("_bad", odd).alias("read_error"))
 
 
+def csv_rows(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """(rows of the CSV files below a path, their column names). Every file begins with a header; the
+    names are those of the first file. Fields may hold line ends within quotes, and still each file
+    is read by many tasks. Rows have their columns as strings in ``fields``, their place as path,
+    block and at, their text as value, and ``problem``: not null where quotes are not closed."""
+    records = csv_records(spark, path)
+    head = records.orderBy("path", "block", "at").limit(1).collect()
+    names = next(csv.reader(io.StringIO(head[0]["value"]))) if head and head[0]["value"] else []
+    place = F.struct("block", "at")
+    first = records.groupBy("path").agg(F.min(place).alias("_first"))  # a row per file
+    rows = records.join(first, "path").where(place > F.col("_first")).drop("_first")
+    schema = ", ".join(f"_c{i} string" for i in range(max(1, len(names))))
+    parsed = F.from_csv("value", schema, {"quote": '"', "escape": '"'})
+    fields = F.array(*[parsed[f"_c{i}"] for i in range(len(names))]).cast("array<string>")
+    problem = F.when(F.col("value").isNull(), "quotes are not closed")
+    return rows.select("path", "block", "at", fields.alias("fields"), "value", problem.alias("problem")), names
+
+
 def large_csv_profile(spark: SparkSession, path: str) -> DataFrame:
-    """Profile of a CSV file or folder too large for one row: counted by Spark, and only the
-    first rows come back for the preview."""
-    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    rows, head = df.count(), df.limit(C.CSV_PREVIEW_ROWS).toPandas()
-    text = table_profile(rows, df.columns, head)
+    """Profile of a CSV file or folder too large for one row: counted by Spark, and only the first
+    rows come back for the preview."""
+    rows, names = csv_rows(spark, path)
+    good = rows.where("problem IS NULL")
+    count = good.count()
+    head = [r["value"] for r in good.orderBy("path", "block", "at").limit(C.CSV_PREVIEW_ROWS).collect()]
+    shown = pd.read_csv(io.StringIO("\n".join(head)), names=names, header=None) if head else pd.DataFrame(columns=names)
     return spark.createDataFrame(
-        [(text, rows, len(df.columns), df.columns)],
+        [(table_profile(count, names, shown), count, len(names), names)],
         "content string, rows bigint, columns bigint, column_names array<string>",
     )
 
