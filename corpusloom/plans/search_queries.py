@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom import constants as C
-from corpusloom.operators import search
+from corpusloom.operators import quantised, search
 from corpusloom.operators.hits import top_hits
 from corpusloom.plans.tables import table
 
@@ -71,6 +71,32 @@ def knn_cells_approx(spark, sf_dir):
     return _shown(search.nearest_in_cells(indexed, centres, _questions(rows), K, 3, id_col="vec_id"))
 
 
+def _quantised(spark, sf_dir):
+    """(hits by codes, hits by measuring every row), ten each, for every twentieth vector."""
+    rows = _collection(spark, sf_dir)
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    book = quantised.fit(rows, 16, id_col="vec_id")
+    hits = quantised.search(quantised.build(rows, book, id_col="vec_id"), book, asked, 10, id_col="vec_id")
+    return hits, search.nearest(rows, asked, 10, id_col="vec_id")
+
+
+def knn_quantised(spark, sf_dir):
+    """Search by codes of sixteen bytes, candidates measured exactly."""
+    return _shown(_quantised(spark, sf_dir)[0])
+
+
+def knn_quantised_recall(spark, sf_dir):
+    """Whether such a search finds nine tenths of what measuring every row finds, and how many of
+    its scores are not those of the rows."""
+    hits, full = _quantised(spark, sf_dir)
+    full = full.select("query_id", "vec_id", F.col("score").alias("_score"))
+    both = hits.join(full, ["query_id", "vec_id"], "left")
+    return both.agg(
+        F.count("*").alias("hits"), (F.count("_score") >= 0.9 * F.count("*")).alias("recalled"),
+        F.count_if(F.col("score") != F.col("_score")).alias("odd_scores"),
+    )
+
+
 def knn_every_vector(spark, sf_dir):
     """Every vector as a question."""
     rows = _collection(spark, sf_dir)
@@ -103,7 +129,7 @@ def hits_with_labels(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     knn_l2_topk, knn_cosine_topk, knn_inner_topk, knn_filtered_topk, knn_max_k,
-    knn_cells_exact, knn_cells_approx, knn_every_vector, knn_finite_topk, unsearchable_vectors, hits_with_labels,
+    knn_cells_exact, knn_cells_approx, knn_quantised, knn_quantised_recall, knn_every_vector, knn_finite_topk, unsearchable_vectors, hits_with_labels,
 )}
 
 _DISTANCE = {
@@ -144,6 +170,7 @@ SELECT * FROM hits WHERE rank <= 3""",
 probed AS (SELECT query_id, cell FROM (SELECT a.query_id, b.query_id AS cell,
   row_number() OVER (PARTITION BY a.query_id ORDER BY list_distance(a.q, b.q)) AS n FROM means a, means b) WHERE n <= 3),
 found AS (""").replace("FROM means, e WHERE true", "FROM means JOIN probed USING (query_id) JOIN celled USING (cell)"),
+    "knn_quantised_recall": "SELECT (count(*) FILTER (vec_id % 20 = 0) * least(count(*), 10))::BIGINT AS hits, true AS recalled, 0::BIGINT AS odd_scores FROM embeddings",
     "hits_with_labels": _sql("l2", C.CONTEXT_HITS).replace(
         "SELECT query_id, rank, vec_id, score FROM", "SELECT query_id, rank, vec_id, label, score FROM"
     ),
