@@ -5,7 +5,9 @@ A cache is a frame of ``key`` (hex digest), a value column, ``created_at``, ``ac
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import constants as C
@@ -109,3 +111,44 @@ def clear(cache: DataFrame, path: str | None = None) -> DataFrame:
     if path:
         save(empty, path)
     return empty
+
+
+# --- a stored cache that stays where it is ----------------------------------------------------------
+
+
+def _table_name(path: str) -> str:
+    return f"corpusloom_cache_{hashlib.md5(path.encode()).hexdigest()[:16]}"
+
+
+def save_bucketed(cache: DataFrame, path: str, buckets: int = 64, mode: str = "errorifexists") -> DataFrame:
+    """Write a cache dealt out and sorted by key, so that lookups need not move it. ``append`` adds
+    entries with new keys to a cache that has been written so."""
+    name = _table_name(path)
+    writer = cache.write.mode(mode).format("parquet").bucketBy(buckets, "key").sortBy("key")
+    if mode == "append":
+        open_bucketed(cache.sparkSession, path, cache.schema, buckets)
+        writer.saveAsTable(name)
+    else:
+        writer.option("path", path).saveAsTable(name)
+    return cache.sparkSession.table(name)
+
+
+def open_bucketed(spark: SparkSession, path: str, schema, buckets: int = 64) -> DataFrame:
+    """A cache written by :func:`save_bucketed`, also by another application; schema and number of
+    buckets are those that it was written with."""
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        place = path.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {buckets} BUCKETS LOCATION '{place}'"
+        )
+    return spark.table(name)
+
+
+def lookup_bucketed(rows: DataFrame, cache: DataFrame, value: str, buckets: int = 64) -> DataFrame:
+    """As :func:`lookup`, from a bucketed cache, which is read where it lies. Each key that is asked
+    for goes to its bucket once, however many rows ask; only the entries found come back to them."""
+    keys = rows.select("key").where(F.col("key").isNotNull()).distinct().repartition(buckets, "key")
+    found = keys.join(cache.select("key", F.col(value)).hint("merge"), "key").withColumn("hit", F.lit(True))
+    return lookup_join(rows, found, "key").withColumn("hit", F.coalesce("hit", F.lit(False)))

@@ -35,6 +35,15 @@ def embedding_cache_lookup(spark, sf_dir):
     return found.select("doc_id", "hit", "entry")
 
 
+def bucketed_cache_lookup(spark, sf_dir):
+    """The same lookups in a stored cache that was filled in two steps."""
+    cache, path = _embedding_cache(spark, sf_dir), scratch_path(spark, "bucketed")
+    early = F.col("entry") % 2 == 0
+    caches.save_bucketed(cache.where(early), path, 16)
+    stored = caches.save_bucketed(cache.where(~early), path, 16, "append")
+    return caches.lookup_bucketed(_lookups(spark, sf_dir), stored, "entry", 16).select("doc_id", "hit", "entry")
+
+
 def cache_lookup_ttl(spark, sf_dir):
     cache = _embedding_cache(spark, sf_dir)
     found = caches.lookup(_lookups(spark, sf_dir), cache, "entry", ttl_seconds=TTL, now=NOW)
@@ -129,7 +138,7 @@ def cache_clear(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    embedding_cache_lookup, cache_lookup_ttl, hit_rate, response_cache_lookup, lru_keep, bulk_evict,
+    embedding_cache_lookup, bucketed_cache_lookup, cache_lookup_ttl, hit_rate, response_cache_lookup, lru_keep, bulk_evict,
     cache_store, cache_touch, cache_stats, cache_roundtrip, cache_clear,
 )}
 
@@ -176,3 +185,5 @@ SELECT l.key, created_at, greatest(created_at, coalesce(last, created_at)) AS ac
     "cache_roundtrip": f"WITH {_LOG} SELECT * FROM log",
     "cache_clear": f"WITH {_LOG} SELECT * FROM log WHERE false",
 }
+
+ORACLE["bucketed_cache_lookup"] = ORACLE["embedding_cache_lookup"]
