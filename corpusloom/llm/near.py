@@ -352,10 +352,16 @@ def classes(
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class, the one with the least key, and all others as they
-    are. Rows with a null key stay; of rows that share a key and have words, one stays."""
-    found = written(classes(docs.where(F.col(key).isNotNull()), key, text, **options), "kept")
-    kept = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("keep")).where("keep")
-    kept = kept.select(F.col("doc_id").alias("_kept"))
-    rows = docs.where(F.col(key).isNotNull()).join(kept, docs[key] == kept["_kept"], "left_semi")
-    return rows.dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    """``docs`` with one document of each class, the one with the least key. Rows without words, and
+    rows with a null key, stay as they are. Rows that share a key are judged by their texts: they
+    are told apart unless these are equal, or of one class."""
+    worded = F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)) & F.col(key).isNotNull()
+    row = F.xxhash64(F.col(key), F.col(text))
+    names = docs.where(worded).select(row.alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    found = written(classes(names, "_row", "_text", **options).select("doc_id", "class_id").distinct(), "kept")
+    known = names.select("_row", "_key").distinct().join(found, F.col("_row") == F.col("doc_id"))
+    kept = known.groupBy("class_id").agg(F.min_by("_row", F.struct("_key", "_row")).alias("_least")).select("_least")
+    mark = "_row" + "_" * max(map(len, docs.columns))  # no column has that name
+    rows = docs.where(worded).withColumn(mark, row)
+    rows = rows.join(kept, rows[mark] == kept["_least"], "left_semi").dropDuplicates([mark]).drop(mark)
+    return rows.unionByName(docs.where(~worded))

@@ -77,6 +77,17 @@ def test_deduplicate_keeps_one_of_each_class(spark):
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted(want)
 
 
+def test_repeated_keys_are_judged_by_their_texts(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"o{i}" for i in range(60))
+    rows = [(1, text), (1, other), (1, text), (2, text + " end"), (3, "lone words here"), (3, "lone words here"), (4, " "), (4, " "),
+            (5, None), (None, text), (6, other + " end"), (7, "w0 alone")]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, _least string")
+    got = sorted(((str(r.doc_id), r.text) for r in near.deduplicate(docs).collect()), key=str)
+    want = [("1", text), ("1", other), ("3", "lone words here"), ("4", " "), ("4", " "), ("5", None), ("None", text), ("7", "w0 alone")]
+    assert got == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near.classes(docs).count() == 0 and near.deduplicate(docs).count() == 0
