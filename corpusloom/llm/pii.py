@@ -2,16 +2,20 @@
 
 Patterns find the protected entities: mail and network addresses, card and phone numbers. Other
 words may give an entity away, too. How much a term reveals an entity is their pointwise mutual
-information over the corpus, against the information content of the entity: both in bits, from the
-numbers of distinct texts with the entity, with the term, and with the term close to the entity.
-Terms that disclose more than one share of the entity's information are generalised to their kind,
-and those that disclose more than a second, larger share are removed, wherever they occur.
+information over the corpus: the information content of the entity less what remains unknown of it
+where the term is seen. Both are in bits, from the numbers of distinct texts with the entity, with
+the term, and with the term close to the entity. Terms that leave no more than a fraction of a bit
+unknown are generalised to their kind, those that leave still less are removed, wherever they occur.
 
-Most values are in one text only, so evidence is also taken where a corpus has more of it: for the
-group of a value (mail domain, network, card issuer, all but the last digits of a phone number) and
-for its kind. Each is an entity of its own, and the most disclosed one counts. Small counts of a term
-close to an entity are smoothed, so there is no least number of texts: how far few texts suffice
-depends on the information of the entity, that is on the size of the corpus.
+What remains unknown, -log2 of the share of a term's texts in which it is close to the entity, does
+not depend on the size of the corpus. Small counts are smoothed: a term in a single text leaves one
+bit, one in two texts a fifth of a bit, so a single text never suffices, at any size. An entity that
+most texts have holds no information to disclose.
+
+Most values are in one text only, so evidence is also taken for the group of a value (mail domain,
+network, card issuer, all but the last digits of a phone number). Each is an entity of its own, and
+the most disclosed one counts. The kind of a value is none: a label such as the word before a phone
+number tells that there is a number, but not whose.
 
 Only terms within a few words of an entity can become candidates, and each text counts a pair once,
 so pairs grow with the entities found, not with the square of anything; copies of one text count
@@ -39,7 +43,8 @@ TERM_KINDS = ("generalise", "remove")
 REACH = 5  # words on either side of an entity
 TAIL = 4  # last digits of a phone number that its group leaves out
 ISSUER = 6  # first digits of a card number
-GENERALISE, REMOVE = 0.95, 0.99  # shares of the entity's information
+GENERALISE, REMOVE = 0.25, 0.1  # bits of the entity that a term may leave unknown
+MIN_BITS = 1.0  # of the entity's information that a term must give
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -205,7 +210,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def levels(entity: Column) -> Column:
-    """An entity's value, its group and its kind. No value is named as a group or a kind is."""
+    """An entity's value and its group. No value is named as a group is."""
     kind = F.substring_index(entity, ":", 1)
     group = (
         F.when(kind == "email", F.regexp_replace(entity, ":.*@", ":@"))
@@ -213,7 +218,7 @@ def levels(entity: Column) -> Column:
         .when(kind == "card", F.concat(F.substring(entity, 1, len("card:") + ISSUER), F.lit("*")))
         .otherwise(F.concat(F.left(entity, F.length(entity) - TAIL), F.lit("*")))
     )
-    return F.array(entity, group, kind)
+    return F.array(entity, group)
 
 
 def entity_counts(found: DataFrame) -> tuple[int, DataFrame]:
@@ -230,11 +235,9 @@ def smoothed(n: Column) -> Column:
     return n - F.pow(F.lit(2.0), -n)
 
 
-def disclosed(total: int) -> Column:
-    """The share of an entity's information that a term gives: of n_both, n_term and n_entity. An
-    entity that is in every text has none to give."""
-    gained = F.log2(smoothed(F.col("n_both")) * total / (F.col("n_term") * F.col("n_entity")))
-    return F.when(F.col("n_entity") < total, gained / F.log2(total / F.col("n_entity"))).otherwise(0.0)
+def unknown(n_both: str, n_term: str) -> Column:
+    """Bits of an entity that remain unknown where a term is seen."""
+    return F.log2(F.col(n_term) / smoothed(F.col(n_both)))
 
 
 def disclosing_terms(places: DataFrame, pairs: DataFrame, total: int, generalise: float, remove: float) -> DataFrame:
@@ -243,9 +246,15 @@ def disclosing_terms(places: DataFrame, pairs: DataFrame, total: int, generalise
     places: candidates and the texts they are in; pairs: entity, term, n_both and n_entity.
     """
     texts = places.select("term", "_digest").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    worst = pairs.join(texts, "term").groupBy("term").agg(F.max(disclosed(total)).alias("share"))
-    action = F.when(F.col("share") >= remove, F.lit("remove")).otherwise("generalise")
-    return worst.where(F.col("share") >= generalise).select("term", action.alias("action"))
+    rated = pairs.join(texts, "term").withColumn("left", unknown("n_both", "n_term"))
+    least = rated.where(gives(total)).groupBy("term").agg(F.min("left").alias("left"))
+    action = F.when(F.col("left") <= remove, F.lit("remove")).otherwise("generalise")
+    return least.where(F.col("left") <= generalise).select("term", action.alias("action"))
+
+
+def gives(total: int) -> Column:
+    """Whether a term gives enough of an entity's information: of n_both, n_term and n_entity."""
+    return F.log2(F.lit(float(max(1, total))) / F.col("n_entity")) - unknown("n_both", "n_term") >= MIN_BITS
 
 
 def find(
@@ -270,12 +279,12 @@ def find(
     raised = near.select("_digest", F.explode(levels(F.col("entity"))).alias("entity"), "term").distinct()
     pairs = raised.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     # A term is in no fewer texts than it is close to any entity in: what can't reach the threshold
-    # by that number is no candidate. No entity has more information than one that is in one text.
+    # by that number is no candidate.
     at_least = near.select("term", "_digest").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    least = 0.999999 * max(1, total) ** (generalise - 1)  # of the smoothed count in n_term
+    least = 0.999999 * 2.0**-generalise  # of the smoothed count in n_term
     enough = lambda n: smoothed(F.col("n_both")) >= least * F.col(n)
     rated = lookup_join(pairs.where(enough("n_both")), at_least, "term").where(enough("n_term"))
-    rated = lookup_join(rated, entities, "entity").where(disclosed(total) >= generalise)
+    rated = lookup_join(rated, entities, "entity").where(gives(total))
     pairs = written(rated.select("entity", "term", "n_both", "n_entity"), "pairs")
     candidates = pairs.select("term").distinct()
     table = bit_table(candidates.withColumnRenamed("term", "key"), bits_for(pairs.count()))
