@@ -72,9 +72,10 @@ def overlaps(
     pairs = found.groupBy(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d"), "item_id").agg(
         F.collect_set("shift").alias("shifts")
     )
-    near = rows.distinct().join(
-        pairs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d"))
-    ).withColumn("_doc", tokens_of(F.col("_text"))).select("doc_id", "_digest", "item_id", "shifts", "_doc")
+    # Only texts with a hit are shuffled, once each; they are picked out where they lie.
+    same_text = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d"))
+    wanted, _ = small_side(pairs.select("_id", "_d").distinct(), "texts")
+    near = rows.join(wanted, same_text, "left_semi").distinct().join(pairs, same_text).withColumn("_doc", tokens_of(F.col("_text"))).select("doc_id", "_digest", "item_id", "shifts", "_doc")
     own = tests.select(F.col("item_id").alias("_item"), "_tokens")
     laid = near.join(own, F.col("item_id").eqNullSafe(F.col("_item")))
     laid = laid.select("doc_id", "_digest", "item_id", "_doc", "_tokens", F.explode("shifts").alias("shift"))
