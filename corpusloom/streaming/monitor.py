@@ -160,11 +160,10 @@ def late_counts(spark: SparkSession, path: str, labels: StructType, late: str) -
     rows = spark.read.schema(schema).parquet(f"{path}/arrived")
     keys = ["window_start", "window_end", *labels.names]
     both = rows.groupBy(*keys).agg(F.sum("total").alias("total"))
-    newest = rows.agg((F.max("newest") - F.expr(f"INTERVAL {late}")).alias("_closed"))  # one row
+    closed = rows.agg(F.max("newest") - F.expr(f"INTERVAL {late}")).scalar()
     done = final_counts(spark, path, labels).withColumnRenamed("total", "_final")
     same = [both["window_start"] == done["window_start"]] + [both[c].eqNullSafe(done[c]) for c in labels.names]
     joined = both.join(done, same, "left").select(*[both[c] for c in keys], "total", "_final")
-    joined = joined.join(F.broadcast(newest), F.col("window_end") <= F.col("_closed"))
-    return joined.select(
+    return joined.where(F.col("window_end") <= closed).select(
         "window_start", *labels.names, (F.col("total") - F.coalesce("_final", F.lit(0))).alias("late")
     ).where("late > 0")
