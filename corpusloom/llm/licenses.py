@@ -122,6 +122,13 @@ RULES = (
     ("Proprietary", ("copyright", "reserved")),
 )
 
+# A tag is a sentence of its own, up to the end of its line; a choice or a sum of licences counts as
+# a tag for each, and an exception does not count.
+TAG = r"(?i)[ \t\r\n]*spdx-license-identifier:[ \t]*"
+TAG_LINE = r"(\x02[^\r\n]*)[\r\n]+"
+TAG_WITH = r"(\x02[^\r\n\x01\x02]*?)[ \t]+WITH[ \t]+[A-Za-z0-9.-]+"
+TAG_JOIN = r"(\x02[^\r\n\x01\x02]*?)[ \t)]+(?:OR|AND)[ \t(]+"
+MOST_JOINS = 8  # licences after the first that a tag may name
 # A sentence ends at a mark with white space after it, and at a line end before a capital, a digit
 # or an empty line. Other line ends are white space.
 MARK_END = r"([.!?;:])[ \t\r\n]+"
@@ -144,8 +151,13 @@ def normalised(sentence: Column) -> Column:
 
 
 def sentences_of(text: Column) -> Column:
-    """The sentences of a text (a control character 1 also ends one)."""
-    cut = F.regexp_replace(text, MARK_END, "$1\x01")
+    """The sentences of a text (the control characters 1 and 2 also end one)."""
+    cut = F.regexp_replace(F.regexp_replace(text, TAG, "\x02"), TAG_LINE, "$1\x01")
+    cut = F.regexp_replace(cut, TAG_WITH, "$1")
+    for _ in range(MOST_JOINS):
+        cut = F.regexp_replace(cut, TAG_JOIN, "$1\x01\x02")
+    cut = F.replace(cut, F.lit("\x02"), F.lit("\x01SPDX-License-Identifier: "))
+    cut = F.regexp_replace(F.regexp_replace(cut, "^\x01", ""), MARK_END, "$1\x01")
     return F.split(F.regexp_replace(cut, LINE_END, "\x01$1"), "\x01")
 
 

@@ -138,3 +138,20 @@ def test_cut_sentences(spark):
     ]
     got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert got == {"mit": "MIT", "gpl": "GPL-3.0-or-later", "mpl": "MPL-2.0", "two": "BSD-3-Clause"}
+
+
+def test_tags_as_they_are_written(spark):
+    rows = {
+        "c": ("// SPDX-License-Identifier: MIT\n// Copyright 2020 X\nint x;", "MIT"),
+        "py": ("import os\n# SPDX-License-Identifier: Apache-2.0\nimport sys", "Apache-2.0"),
+        "or": ("SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"),
+        "and": ("/* spdx-license-identifier: (BSD-3-Clause AND ISC) OR MPL-2.0 */\nx", "MPL-2.0,BSD-3-Clause,ISC"),
+        "with": ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\nnext", "GPL-2.0-only"),
+        "crlf": ("#!/bin/sh\r\n# SPDX-License-Identifier: CC0-1.0\r\nset -e", "CC0-1.0"),
+        "two": ("SPDX-License-Identifier: ISC\nSPDX-License-Identifier: Zlib\n", "ISC,Zlib"),
+        "wrapped": ("// Permission to use, copy, modify, and/or distribute this software for any purpose with or\n// without fee is hereby granted, provided that the above\n// copyright notice and this permission notice appear in all copies.", "ISC"),
+        "end": ("SPDX-License-Identifier:", None), "blank": ("SPDX-License-Identifier: \nMIT", None),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, _) in rows.items()], "doc_id string, text string")
+    got = {r.doc_id: r.licences for r in licenses.scan(df).collect()}
+    assert got == {k: want for k, (_, want) in rows.items() if want}
