@@ -4,7 +4,9 @@ Texts with the same set of word shingles form one node. The signatures of the no
 trees; all trees together are one globally sorted table, in which a shared prefix is a run of
 neighbours. Each entry looks at its neighbours from the longest shared prefix outwards, that is at
 ever shorter prefixes, down to the depth at which the trees together reach the target recall at the
-similarity threshold. Pairs whose signatures can't belong to similar sets are passed over.
+similarity threshold. Pairs whose signatures can't belong to similar sets are passed over. A run may
+be longer than the neighbours looked at, or lie in several partitions: what is not connected by then
+is compared in blocks of the run.
 
 Candidates only say which nodes may belong together. Their components are verified whole: the
 shingle sets of a component meet in blocks, and each pair of blocks counts the exact similarities of
@@ -33,7 +35,8 @@ WORDS = 5  # of a shingle
 SIMILAR = Fraction(4, 5)
 TREES, DEPTH = 16, 8
 RECALL = 0.99
-REACH = 8  # neighbours looked at on one side; runs of similar nodes are chained by them
+REACH = 8  # neighbours looked at on one side while a partition is read; the rest of a run comes after
+RUN_BLOCK = 4096  # entries of a run
 BLOCK = 512  # nodes
 _CHUNK = 1 << 16
 _A = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
@@ -159,41 +162,42 @@ class _Sets:
         return True
 
 
-_FOREST = "a long, b long, tree int, path binary, bits binary"
+_FOREST = "a long, b long, tree int, run binary, bits binary"
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], depth: int, unequal: int, edges: bool) -> Iterator[pa.RecordBatch]:
-    """From sorted entries: pairs of nodes that may be similar and are not yet connected in this
-    partition; with ``edges``, also the first and last entries (b is null), for pairs that lie
-    across partitions."""
-    sets, held, first = _Sets(), None, True
+def _neighbours(batches: Iterator[pa.RecordBatch], depth: int, unequal: int) -> Iterator[pa.RecordBatch]:
+    """From sorted entries: pairs (a, b) of nodes that may be similar and are not yet connected in
+    this partition. Also, with b null, each entry with a partner in its run (a shared prefix of
+    ``depth``) that it was not compared with: one farther away than the reach, or one that may lie
+    in another partition, as the first and the last run may go on there."""
+    sets, held, held_open, first = _Sets(), None, None, None
     schema = pa.schema([
-        ("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("path", pa.binary()), ("bits", pa.binary()),
+        ("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("run", pa.binary()), ("bits", pa.binary()),
     ])
 
-    def border(rows: pa.Table) -> pa.Table:
-        return pa.table({
-            "a": rows["node"], "b": pa.nulls(rows.num_rows, pa.int64()), "tree": rows["tree"].cast(pa.int32()),
-            "path": rows["path"].cast(pa.binary()), "bits": rows["bits"].cast(pa.binary()),
-        }).cast(schema)
+    def left_open(rows: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(at):
+            rows = rows.take(pa.array(at))
+            runs = [path[: 2 * depth] for path in rows["path"].to_pylist()]
+            yield from pa.table({
+                "a": rows["node"], "b": pa.nulls(len(at), pa.int64()), "tree": rows["tree"],
+                "run": pa.array(runs, pa.binary()), "bits": rows["bits"],
+            }).cast(schema).to_batches()
 
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         if not rows.num_rows:
             continue
-        if first and edges:
-            yield from border(rows.slice(0, REACH)).to_batches()
-        first = False
         carried = held.num_rows if held is not None else 0
         rows = pa.concat_tables([held, rows]) if carried else rows
         n = rows.num_rows
         tree = rows["tree"].to_numpy()
         node = rows["node"].to_numpy()
-        path = np.frombuffer(b"".join(rows["path"].to_pylist()), dtype=">u2").reshape(n, -1)
+        path = np.frombuffer(b"".join(rows["path"].to_pylist()), dtype=">u2").reshape(n, -1)[:, :depth]
         bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), dtype=np.uint64).reshape(n, -1)
         pairs = []
         for offset in range(1, min(REACH, n - 1) + 1):
-            same = (tree[offset:] == tree[:-offset]) & (path[offset:, :depth] == path[:-offset, :depth]).all(1)
+            same = (tree[offset:] == tree[:-offset]) & (path[offset:] == path[:-offset]).all(1)
             same[: max(0, carried - offset)] = False  # seen with the last batch
             at = np.flatnonzero(same)
             apart = np.bitwise_count(bits[at] ^ bits[at + offset]).sum(1)
@@ -206,24 +210,81 @@ def _neighbours(batches: Iterator[pa.RecordBatch], depth: int, unequal: int, edg
                 [pa.array([a for a, _ in new]), pa.array([b for _, b in new]), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())],
                 schema=schema,
             )
-        held = rows.slice(max(0, n - REACH))
-    if edges and held is not None:
-        yield from border(held).to_batches()
-
-
-def candidates(nodes: DataFrame, similar: float, recall: float) -> DataFrame:
-    """Pairs (a, b) of nodes (node, sign) that connect all that may be similar."""
+        if first is None:
+            first = tree[0], path[0].copy()
+        open_ = (tree == first[0]) & (path == first[1]).all(1)
+        far = REACH + 1
+        if n > far:
+            same = (tree[far:] == tree[:-far]) & (path[far:] == path[:-far]).all(1)
+            open_[far:] |= same
+            open_[:-far] |= same
+        told = np.zeros(n, dtype=bool)
+        if carried:
+            told[:carried] = held_open
+        yield from left_open(rows, np.flatnonzero(open_ & ~told))
+        keep = max(0, n - far)
+        held, held_open = rows.slice(keep), (open_ | told)[keep:]
+    if held is not None:
+        # What is farther from the end of the last run than the reach has been told already.
+        prefixes = [path[: 2 * depth] for path in held["path"].to_pylist()]
+        trees = held["tree"].to_pylist()
+        last = np.array([t == trees[-1] and p == prefixes[-1] for t, p in zip(trees, prefixes)])
+        yield from left_open(held, np.flatnonzero(last & ~held_open))
+
+
+def _close(rows: pa.Table, unequal: int) -> pa.Table:
+    """Of a pair of blocks of one run: pairs of groups that hold nodes which may be similar, as few
+    as connect them."""
+    group, side = rows["group"].to_numpy(), rows["side"].to_numpy()
+    bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), dtype=np.uint64).reshape(len(group), -1)
+    same = rows["i"][0].as_py() == rows["j"][0].as_py()
+    one = np.arange(len(group)) if same else np.flatnonzero(side == 0)
+    two = one if same else np.flatnonzero(side == 1)
+    sets, out = _Sets(), []
+    if len(np.unique(group)) > 1:
+        for start in range(0, len(one), 256):
+            part = one[start : start + 256]
+            apart = np.zeros((len(part), len(two)), dtype=np.uint16)
+            for word in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[part, word][:, None] ^ bits[two, word][None])
+            a, b = np.nonzero((apart <= unequal) & (group[part][:, None] != group[two][None]))
+            found = np.unique(np.stack([group[part[a]], group[two[b]]], axis=1), axis=0)
+            out += [(x, y) for x, y in found.tolist() if sets.join(x, y)]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def candidates(nodes: DataFrame, similar: float, recall: float, run_block: int = RUN_BLOCK) -> DataFrame:
+    """(node, component) of the nodes (node, sign) that may be similar to another one: all pairs that
+    share a prefix in some tree and whose bits allow it lie in one component.
+
+    Neighbours within reach connect most of them. What they leave is settled without a limit: entries
+    of a run that were not compared, and are not in one component already, meet in blocks of
+    ``run_block``, so a run of any length is shared out among tasks.
+    """
     depth, unequal = depth_for(recall, similar, TREES, DEPTH), most_unequal_bits(similar, TREES * DEPTH)
     entries = nodes.select("node", "sign").mapInArrow(_entries, "tree int, path binary, bits binary, node long")
     order = ["tree", "path", "node"]
     shuffles = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = entries.repartitionByRange(shuffles, *order).sortWithinPartitions(*order)
-    found = written(entries.mapInArrow(lambda b: _neighbours(b, depth, unequal, True), _FOREST), "forest")
-    # The ends of the partitions: a few entries for each of them.
-    ends = found.where("b IS NULL").select("tree", "path", "bits", F.col("a").alias("node")).distinct()
-    ends = ends.coalesce(1).sortWithinPartitions(*order)
-    across = ends.mapInArrow(lambda b: _neighbours(b, depth, unequal, False), _FOREST)
-    return found.where("b IS NOT NULL").select("a", "b").unionByName(across.select("a", "b"))
+    found = written(entries.mapInArrow(lambda b: _neighbours(b, depth, unequal), _FOREST), "forest")
+    near = components(found.where("b IS NOT NULL").select("a", "b"))
+    rest = found.where("b IS NULL").select("tree", "run", "bits", F.col("a").alias("node")).join(near, "node", "left")
+    rest = written(rest.select("tree", "run", "bits", "node", F.coalesce("component", "node").alias("group")), "runs")
+    runs = rest.groupBy("tree", "run").agg(
+        F.count(F.lit(1)).alias("n"), F.min("group").alias("least"), F.max("group").alias("most")
+    ).where("least < most").select("tree", "run", F.ceil(F.col("n") / run_block).cast("int").alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = rest.join(runs, ["tree", "run"]).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.select("tree", "run", "bits", "group", "own", other).select(
+        "tree", "run", "bits", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"),
+    )
+    pairs = dealt.groupBy("tree", "run", "i", "j").applyInArrow(lambda rows: _close(rows, unequal), "a long, b long")
+    joined = components(pairs).select(F.col("node").alias("group"), F.col("component").alias("whole"))
+    known = near.join(joined, F.col("component") == F.col("group"), "left")
+    known = known.select("node", F.coalesce("whole", "component").alias("component"))
+    alone = joined.select(F.col("group").alias("node"), F.col("whole").alias("component"))
+    return written(known.unionByName(alone.join(near.select("node"), "node", "left_anti")), "together")
 
 
 def _own_key(node: int, key) -> bytes:
@@ -318,7 +379,7 @@ def classes(
     )
     nodes = written(nodes, "nodes")
     # A node's set is taken from its least document.
-    together = components(candidates(nodes, float(similar), recall))
+    together = candidates(nodes, float(similar), recall)
     sizes = together.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = together.join(sizes, "component").join(nodes.select("node", "least_doc", "copies"), "node").select(
         "component", "node", "least_doc", "copies", F.ceil(F.col("n") / block).cast("int").alias("blocks")

@@ -108,6 +108,29 @@ def test_recall_of_the_forest(spark):
     assert sum(got[2 * i + 1] == 2 * i for i in similar) >= 0.98 * len(similar)
 
 
+def test_crowded_runs_lose_no_pair(spark):
+    """Twins that share a prefix with hundreds of others in one tree only, and lie far apart there,
+    are found wherever the partitions end and however the run is cut; the others stay alone."""
+    rng = np.random.default_rng(1)
+    width = near.TREES * near.DEPTH
+    signs, twins = [], set()
+    for size, planted in ((700, 40), (11, 3), (10, 1), (2, 1)):
+        head = rng.integers(0, 1 << 16, 6)
+        run = rng.integers(0, 1 << 16, (size, width))
+        for i in range(planted):  # equal bits, other minima
+            run[size - 1 - i] = run[i] ^ (rng.integers(1, 1 << 15, width) << 1)
+            twins.add((len(signs) + i, len(signs) + size - 1 - i))
+        run[:, :6] = head
+        signs += run.tolist()
+    rows = [(i, bytearray(np.array(s, dtype=">u2").tobytes())) for i, s in enumerate(signs)]
+    nodes = spark.createDataFrame(rows, "node long, sign binary")
+    for block in (near.RUN_BLOCK, 64):
+        got = {}
+        for r in near.candidates(nodes, 0.8, 0.99, block).collect():
+            got.setdefault(r.component, []).append(r.node)
+        assert {tuple(sorted(g)) for g in got.values()} == twins
+
+
 def test_depth():
     d = near.depth_for(0.99, 0.8, 16, 8)
     assert 1 - (1 - 0.8**d) ** 16 >= 0.99 > 1 - (1 - 0.8 ** (d + 1)) ** 16
