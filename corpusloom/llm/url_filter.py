@@ -4,7 +4,9 @@ Reputation is an empirical-Bayes estimate of the share of bad pages. Labelled ou
 per host and shrunk along the chain all pages, suffix, registered domain, host: at each level the
 groups below a parent share a beta prior around the parent's estimate, whose strength comes from
 the spread of the groups (moments of the beta-binomial). A host is blocked when the lower bound of
-its posterior passes a threshold, so a few bad labels do not condemn a host.
+its posterior passes a threshold, so a few bad labels do not condemn a host. The bound is the beta
+distribution's own: it lies above the threshold where the distribution function there is below the
+tail allowed, and that function is summed as a series in one row's expression.
 
 Only built-in column functions are used. Counting is partial before its shuffle. A host with very
 many pages is a skewed join against one row per host, which adaptive execution splits.
@@ -12,6 +14,9 @@ many pages is a skewed join against one row per host, which adaptive execution s
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +26,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Two-part suffixes: one of these labels before a two-letter country.
 TWO_PART = "(?:ac|co|com|edu|gov|net|org)"
 SUFFIX = rf"(?:{TWO_PART}\.[a-z][a-z]|[^.]*)$"
+ADDRESS = r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*)$"
+ADDRESSES = "#ip"  # the suffix of numeric hosts; no host holds this sign
+BEFORE_HOST, BEHIND_HOST = r"(?s)^.*@", r"\.?(?::[0-9]*)?\z"
 MIN_RHO, MAX_RHO = 0.0001, 0.5  # correlation of outcomes within a group: prior of 9999 to 1 pages
-LOWER_Z = 1.645  # one-sided 95 %
+TAIL = 0.05  # posterior probability left below the bound
 MAX_BAD = 0.5
 
 Rule = tuple[str, str, str]  # verdict, host, path
@@ -37,16 +45,48 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def domain_parts(host: Column) -> tuple[Column, Column]:
-    """Registered domain and public suffix by a rule: the last label, or the last two where the
-    first of them is a usual second level under a country. The port does not count."""
-    bare = F.regexp_replace(host, r":[0-9]*$", "")
+def domain_parts(host: Column, suffixes: tuple[str, ...] = ()) -> tuple[Column, Column]:
+    """Registered domain and public suffix: one of the listed ``suffixes`` (any length, such as
+    ``github.io``), else the last two labels where the first of them is a usual second level under a
+    country, else the last label. User names, ports and a final dot do not count. A numeric host is
+    its own domain."""
+    bare = F.regexp_replace(F.regexp_replace(host, BEFORE_HOST, ""), BEHIND_HOST, "")
+    listed = "".join(name.replace(".", r"\.") + "|" for name in sorted(suffixes, key=len, reverse=True))
+    end = f"(?:{listed}{SUFFIX[3:]}"
+    numeric = bare.rlike(ADDRESS)
     return (
-        F.regexp_extract(bare, rf"(?:[^.]*\.)?{SUFFIX}", 0),
-        F.regexp_extract(bare, rf"(?:^|\.)({SUFFIX[:-1]})$", 1),
+        F.when(numeric, bare).otherwise(F.regexp_extract(bare, rf"(?:[^.]*\.)?{end}", 0)),
+        F.when(numeric, ADDRESSES).otherwise(F.regexp_extract(bare, rf"(?:^|\.)({end[:-1]})$", 1)),
     )
 
 
+def _ln_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function of positive numbers: Stirling's series, eight steps up."""
+    w = z + 8
+    series = 1 / (12 * w) - 1 / (360 * w**3) + 1 / (1260 * w**5) - 1 / (1680 * w**7)
+    below = reduce(lambda product, k: product * (z + k), range(1, 8), z)
+    return (w - 0.5) * F.ln(w) - w + 0.5 * math.log(2 * math.pi) + series - F.ln(below)
+
+
+def beta_below(a: Column, b: Column, x: float) -> Column:
+    """Probability that a beta variable of ``a`` and ``b`` (both positive) is at most ``x`` (between 0
+    and 1). The series is taken from the side where its terms fall from the first on; the number of
+    terms follows from a and b, and leaves less than 1e-12."""
+    least = min(x, 1 - x)
+    terms = F.ceil(8 * F.sqrt((a + b) / least) + 40 / least).cast("int")
+
+    def lower(p: Column, q: Column, y: float) -> Column:
+        start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
+        step = lambda s, j: F.struct(
+            (s["term"] * (p + q + j) / (p + 1 + j) * y).alias("term"), (s["total"] + s["term"]).alias("total")
+        )
+        total = F.aggregate(F.sequence(F.lit(0), terms), start, step, lambda s: s["total"])
+        ln_beta = _ln_gamma(p) + _ln_gamma(q) - _ln_gamma(p + q)
+        return F.exp(p * math.log(y) + q * math.log(1 - y) - ln_beta) / p * total
+
+    return F.when((a + b + 2) * x <= a + 1, lower(a, b, x)).otherwise(1 - lower(b, a, 1 - x))
+
+
 def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """The longest rule that fits (as ``host`` + ``path``) and its verdict, null where none fits.
 
@@ -77,14 +117,15 @@ def _shrunk(groups: DataFrame) -> DataFrame:
     })
 
 
-def host_reputation(outcomes: DataFrame, z: float = LOWER_Z) -> DataFrame:
+def host_reputation(outcomes: DataFrame, max_bad: float = MAX_BAD, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """One row per host of ``outcomes`` (host, bad: boolean, null for pages without a label):
-    n and bad (labelled and bad pages), bad_rate and bad_lower (posterior mean and lower bound).
+    n and bad (labelled and bad pages), bad_rate (posterior mean) and doubt (posterior probability
+    that the rate is at most ``max_bad``).
 
     Hosts without labels get what their domain says. No labels at all: a rate of one half with a
     weak prior.
     """
-    domain, suffix = domain_parts(F.col("host"))
+    domain, suffix = domain_parts(F.col("host"), suffixes)
     hosts = written(outcomes.groupBy("host").agg(
         F.count("bad").alias("n"), F.count(F.when(F.col("bad"), 1)).alias("bad")
     ).withColumns({"domain": domain, "suffix": suffix}), "hosts")
@@ -96,9 +137,10 @@ def host_reputation(outcomes: DataFrame, z: float = LOWER_Z) -> DataFrame:
     domains = _shrunk(hosts.groupBy("domain", "suffix").agg(*sums).join(prior, "suffix"))
     prior = domains.select("domain", F.col("rate").alias("prior"))
     rated = _shrunk(hosts.join(prior, "domain"))
-    sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("strength") + 1))
+    bad = F.col("bad") + F.col("strength") * F.col("prior")
+    good = F.col("n") - F.col("bad") + F.col("strength") * (1 - F.col("prior"))
     return rated.select(
-        "host", "n", "bad", F.col("rate").alias("bad_rate"), (F.col("rate") - z * sd).alias("bad_lower")
+        "host", "n", "bad", F.col("rate").alias("bad_rate"), beta_below(bad, good, max_bad).alias("doubt")
     )
 
 
@@ -108,23 +150,24 @@ def judge(
     key: str = "page_id",
     url: str = "url",
     bad: str = "bad",
-    z: float = LOWER_Z,
+    tail: float = TAIL,
     max_bad: float = MAX_BAD,
+    suffixes: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per row of ``pages`` (key, url, and the label ``bad``: boolean or null): key, host,
     path, rule, verdict (allow or block), and the host's counts and bounds.
 
     The verdict is the longest fitting rule's, else block where the lower bound of the host's bad
-    rate passes ``max_bad``. Urls that can't be read share the empty host. Repeated rows are judged
+    rate (the quantile at ``tail`` of its posterior) passes ``max_bad``. Urls that can't be read share the empty host. Repeated rows are judged
     each, null keys are kept, an empty table gives no rows, further columns are ignored.
     """
     host, path = url_parts(F.col(url))
     rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"), F.col(bad).alias("bad"))
-    known = host_reputation(rows.select("host", "bad"), z)
-    known = known.select("host", "n", F.col("bad").alias("n_bad"), "bad_rate", "bad_lower")
+    known = host_reputation(rows.select("host", "bad"), max_bad, suffixes)
+    known = known.select("host", "n", F.col("bad").alias("n_bad"), "bad_rate", "doubt")
     rule, listed = matching_rule(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("bad_lower") > max_bad, F.lit("block")).otherwise("allow")
+    own = F.when(F.col("doubt") < tail, F.lit("block")).otherwise("allow")
     return rows.drop("bad").join(known, "host").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(listed, own).alias("verdict"),
-        F.col("n").alias("host_labelled"), F.col("n_bad").alias("host_bad"), "bad_rate", "bad_lower",
+        F.col("n").alias("host_labelled"), F.col("n_bad").alias("host_bad"), "bad_rate", "doubt",
     )

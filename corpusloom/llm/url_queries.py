@@ -59,9 +59,12 @@ page AS (
   FROM (SELECT page_id, url, coalesce(rest, '') AS rest FROM cut)),
 host AS (
   SELECT host, count(bad) AS n, count(*) FILTER (bad) AS n_bad,
-    regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '(?:[^.]*\.)?{url_filter.SUFFIX}', 0) AS domain,
-    regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '(?:^|\.)({url_filter.SUFFIX[:-1]})$', 1) AS suffix
-  FROM page LEFT JOIN label USING (doc_id) GROUP BY host),
+    CASE WHEN regexp_matches(bare, '{url_filter.ADDRESS}') THEN bare
+      ELSE regexp_extract(bare, '(?:[^.]*\.)?{url_filter.SUFFIX}', 0) END AS domain,
+    CASE WHEN regexp_matches(bare, '{url_filter.ADDRESS}') THEN '{url_filter.ADDRESSES}'
+      ELSE regexp_extract(bare, '(?:^|\.)({url_filter.SUFFIX[:-1]})$', 1) END AS suffix
+  FROM (SELECT *, regexp_replace(regexp_replace(host, '{url_filter.BEFORE_HOST}', ''), '{url_filter.BEHIND_HOST}', '') AS bare
+    FROM page) LEFT JOIN label USING (doc_id) GROUP BY host, bare),
 root AS (SELECT (coalesce(sum(n_bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS prior FROM host),
 suffixes AS (
   SELECT suffix, sum(n) AS n, sum(n_bad) AS n_bad, any_value(prior) AS prior FROM host, root GROUP BY suffix),
@@ -73,6 +76,17 @@ domains AS (
 hosts AS (
   SELECT h.host, h.n, h.n_bad, d.rate AS prior FROM host h JOIN domains_rate d USING (domain)),
 {_SHRUNK.format(name="hosts")},
+sides AS (
+  SELECT *, n_bad + strength * prior AS a, n - n_bad + strength * (1 - prior) AS b,
+    ({url_filter.MAX_BAD} * (a + b + 2) <= a + 1) AS low, CASE WHEN low THEN a ELSE b END AS p, a + b AS s,
+    CASE WHEN low THEN {url_filter.MAX_BAD} ELSE 1 - {url_filter.MAX_BAD} END AS y
+  FROM hosts_rate),
+bounded AS (
+  SELECT *, exp(p * ln(y) + (s - p) * ln(1 - y) + lgamma(s) - lgamma(p) - lgamma(s - p)) / p * list_sum(
+      [exp(lgamma(s + k) - lgamma(s) - lgamma(p + 1 + k) + lgamma(p + 1) + k * ln(y))
+       for k in range(CAST(100 + 12 * sqrt(s) AS bigint))]) AS below,
+    CASE WHEN low THEN below ELSE 1 - below END AS doubt
+  FROM sides),
 rule AS (
   SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
     ('block', 'net', '/es/'), ('block', 'net', '/fr/')) r(kind, rule_host, rule_path)),
@@ -82,8 +96,7 @@ fits AS (
   FROM page, rule
   WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
 SELECT p.page_id, p.host, p.path, f.rule,
-  coalesce(f.kind, CASE WHEN rate - {url_filter.LOWER_Z} * sqrt(rate * (1 - rate) / (n + strength + 1)) > {url_filter.MAX_BAD}
-    THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(f.kind, CASE WHEN doubt < {url_filter.TAIL} THEN 'block' ELSE 'allow' END) AS verdict,
   n AS host_labelled, n_bad AS host_bad
-FROM page p JOIN hosts_rate USING (host) LEFT JOIN fits f USING (page_id)
+FROM page p JOIN bounded USING (host) LEFT JOIN fits f USING (page_id)
 """

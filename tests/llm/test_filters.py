@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, licenses, registry, url_filter, url_queries
@@ -44,17 +45,37 @@ def test_reputation_shrinks(spark):
     rows += [(f"h{i}.y.org", j % 10 == 0) for i in range(20) for j in range(20)]
     rows += [(f"s{i}.z.org", True) for i in range(80)] + [("new.z.org", None), ("new.y.org", None)]
     got = {r.host: r for r in url_filter.host_reputation(spark.createDataFrame(rows, "host string, bad boolean")).collect()}
-    assert got["bad.x.org"].bad_lower > 0.5 > got["few.y.org"].bad_lower
+    assert got["bad.x.org"].doubt < url_filter.TAIL < got["few.y.org"].doubt
     assert got["new.z.org"].n == 0 and got["new.z.org"].bad_rate > 0.5 > got["new.y.org"].bad_rate
     assert got["few.y.org"].bad_rate < 1
 
 
 def test_domain_parts(spark):
     hosts = {"a.b.example.com": ("example.com", "com"), "x.example.co.uk": ("example.co.uk", "co.uk"), "com": ("com", "com"),
-             "": ("", ""), "h.org:81": ("h.org", "org"), "co.uk": ("co.uk", "co.uk")}
+             "": ("", ""), "h.org:81": ("h.org", "org"), "co.uk": ("co.uk", "co.uk"),
+             "192.168.1.1": ("192.168.1.1", "#ip"), "10.20.1.1:80": ("10.20.1.1", "#ip"), "[::1]:80": ("[::1]", "#ip"),
+             "me:x@www.h.org.": ("h.org", "org"), "a.b.github.io": ("github.io", "io")}
     df = spark.createDataFrame([(h,) for h in hosts], "host string")
     got = df.select("host", *url_filter.domain_parts(F.col("host"))).collect()
     assert {r[0]: (r[1], r[2]) for r in got} == hosts
+    listed = df.select("host", *url_filter.domain_parts(F.col("host"), ("io", "github.io"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in listed} == hosts | {"a.b.github.io": ("b.github.io", "github.io")}
+
+
+def test_bound_is_the_quantile_of_the_posterior(spark):
+    """Against closed forms (a or b is one) and sums over a fine grid of angles."""
+    pairs = [(a, 1.0) for a in (0.02, 0.5, 3.0, 900.0)] + [(1.0, b) for b in (0.02, 7.0, 40.0)]
+    want = [0.5**a for a, b in pairs if b == 1] + [1 - 0.5**b for a, b in pairs if a == 1]
+    for a, b in ((2.5, 0.5), (3.3, 0.7), (0.5, 2.5), (60.0, 41.0), (5200.0, 5000.0), (30.0, 900.0)):
+        angle = (np.arange(1 << 20) + 0.5) / (1 << 20) * np.pi / 2
+        dense = (2 * a - 1) * np.log(np.sin(angle)) + (2 * b - 1) * np.log(np.cos(angle))
+        dense = np.exp(dense - dense.max())
+        pairs.append((a, b))
+        want.append(dense[: 1 << 19].sum() / dense.sum())
+    df = spark.createDataFrame(pairs, "a double, b double").coalesce(1)
+    got = [r[0] for r in df.select(url_filter.beta_below(F.col("a"), F.col("b"), 0.5)).collect()]
+    assert np.allclose(got, want, rtol=1e-5, atol=1e-9)
+    assert got[7] > url_filter.TAIL  # two bad labels of two, a weak even prior: no block
 
 
 def test_overlaps_tolerate_changed_tokens(spark):
