@@ -7,11 +7,13 @@ shuffled, never its tokens.
 
 Tokenizing keeps a table of words in each Python worker: the pre-tokenizer splits a text into words
 whose tokens do not depend on their neighbours, so most words are looked up. Texts for which that
-is not certain go through the tokenizer as a whole.
+is not certain go through the tokenizer as a whole, and so do all texts where the tokenizer's file
+describes other normal forms or other words.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -35,6 +37,11 @@ _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 _UNSURE = regex.compile(r"[^\x00-\xff]|[\x1c-\x1f]|<\|")
 
 
+# The steps of a tokenizer whose words may be looked up.
+_NORMAL_FORMS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = {"type": "Split", "pattern": {"Regex": _WORD.pattern}, "behavior": "Removed", "invert": True}
+
+
 def _byte_signs() -> dict[int, str]:
     """The sign that stands for each byte in the vocabulary: itself where it is printable, else
     the next one from 256 on."""
@@ -63,17 +70,34 @@ class _Words(dict):
         return ids
 
 
+def has_these_words(path: str) -> bool:
+    """Whether the words of this module are those of the tokenizer in a file."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    forms = (told.get("normalizer") or {}).get("normalizers", [])
+    steps = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    spaces = [f for f in forms if f["type"] == "Replace"] == [
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    ]
+    signs = len(steps) == 2 and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    marked = all("<|" in token["content"] for token in told.get("added_tokens", []))
+    return (
+        [f["type"] for f in forms] == _NORMAL_FORMS and spaces and signs and steps[0] == _SPLIT
+        and marked and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+    )
+
+
 @lru_cache(maxsize=2)
-def _words(path: str) -> _Words:
+def _words(path: str) -> tuple[_Words, bool]:
     from tokenizers import Tokenizer
 
-    return _Words(Tokenizer.from_file(path))
+    return _Words(Tokenizer.from_file(path)), has_these_words(path)
 
 
 def token_bytes(text: str, path: str) -> bytes:
     """The ids of a text, four little-endian bytes each."""
-    words = _words(path)
-    if _UNSURE.search(text):
+    words, known = _words(path)
+    if not known or _UNSURE.search(text):
         ids = words.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
     return b"".join(map(words.__getitem__, _WORD.findall(text.lower())))

@@ -1,5 +1,6 @@
 """Packing, language identification and sharding: round trips, held-out accuracy, laws."""
 
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -83,6 +84,25 @@ def test_words_equal_the_tokenizer(tokenizer):
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_other_tokenizers_take_whole_texts(tmp_path):
+    """A file with other normal forms, words or marks is not looked up in the table of words."""
+    other = TOKENIZER.replace("word_bpe_49k", "byte_bpe_50k")
+    assert packing.has_these_words(TOKENIZER) and not packing.has_these_words(other)
+    plain = Tokenizer.from_file(other)
+    for text in ("Ab c\n d's 12", "", " Éa<|endoftext|>", "x" * 300):
+        ids = np.frombuffer(packing.token_bytes(text, other), dtype="<u4").tolist()
+        assert ids == plain.encode(text, add_special_tokens=False).ids
+    with open(TOKENIZER, encoding="utf-8") as file:
+        told = json.load(file)
+    told["normalizer"]["normalizers"].pop()
+    cased = str(tmp_path / "cased.json")
+    with open(cased, "w", encoding="utf-8") as file:
+        json.dump(told, file)
+    assert not packing.has_these_words(cased)
+    ids = np.frombuffer(packing.token_bytes("Ab ab", cased), dtype="<u4").tolist()
+    assert ids == Tokenizer.from_file(cased).encode("Ab ab", add_special_tokens=False).ids
+
+
 def test_first_fit_decreasing():
     rng = random.Random(1)
     for _ in range(50):
