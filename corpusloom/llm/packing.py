@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +31,18 @@ CAPACITY = 4096
 GROUP_TOKENS = 8 << 20
 _KNOWN_WORDS = 400_000  # table entries per worker; the table starts anew when it is full
 # The words of the pre-tokenizer, which applies them to lower-cased text.
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The letters and numbers of Latin-1, lower-cased.
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_WORD = re.compile(_WORDS.replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _NUMBERS))
 # Outside Latin-1 normal forms and case depend on context; the separators are space to some
 # libraries only; special tokens are spelled with "<|".
-_UNSURE = regex.compile(r"[^\x00-\xff]|[\x1c-\x1f]|<\|")
+_UNSURE = re.compile(r"[^\x00-\xff]|[\x1c-\x1f]|<\|")
 
 
 # The steps of a tokenizer whose words may be looked up.
 _NORMAL_FORMS = ["NFC", "Replace", "Lowercase"]
-_SPLIT = {"type": "Split", "pattern": {"Regex": _WORD.pattern}, "behavior": "Removed", "invert": True}
+_SPLIT = {"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}
 
 
 def _byte_signs() -> dict[int, str]:
