@@ -68,9 +68,12 @@ def _calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from counted.select([*names, "count_all"]).rename_columns([*names, "_n"]).combine_chunks().to_batches()
 
 
+ALERT_GROUPS = 1024  # clients and endpoints share so many states
+
+
 def breach_alerts(
     events: DataFrame, client: str, endpoint: str, limits: dict[str, int], late: str,
-    width: str = "1 minute", ts: str = "ts",
+    width: str = "1 minute", ts: str = "ts", groups: int = ALERT_GROUPS,
 ) -> DataFrame:
     """One row for each window in which a client goes over the limit of an endpoint, in the batch in
     which that happens, and none after it. For append mode.
@@ -79,6 +82,10 @@ def breach_alerts(
     count freed and further calls of it left out, once a window that ends ``late`` later has been
     seen; a time-out frees what no call asks for any more. Endpoints without a limit, and calls
     without a client or a time, are left out.
+
+    Calling Python once for each client and endpoint takes far longer than counting, so those of one
+    hash share a state and a call: the number of calls does not grow with the clients. More
+    ``groups`` make smaller states; a checkpoint keeps to the number that it began with.
     """
     span = F.window(F.col(ts).cast("timestamp"), width)
     known = events.where(F.col(endpoint).isin(*limits) & F.col(client).isNotNull() & F.col(ts).isNotNull())
@@ -86,32 +93,39 @@ def breach_alerts(
         F.col(client).alias("_client"), F.col(endpoint).alias("_endpoint"), allowed_calls(endpoint, limits).alias("_allowed"),
         span.alias("_span"),
     )
-    calls = calls.select("_client", "_endpoint", "_allowed", F.unix_micros("_span.start").alias("_start"), F.col("_span.end").alias("_end"))
+    calls = calls.select(
+        "_client", "_endpoint", "_allowed", F.unix_micros("_span.start").alias("_start"), F.col("_span.end").alias("_end"),
+        F.unix_millis("_span.end").alias("_until"),
+    )
     kinds = dict(calls.dtypes)
-    row = f"_client {kinds['_client']}, _endpoint {kinds['_endpoint']}, _allowed long, _start long, _end timestamp, _n long"
-    counted = calls.mapInArrow(_calls, row).withWatermark("_end", late)
-
-    def track(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        counts: dict[int, list[int]] = {s: [n, end] for s, n, end in zip(*state.get)} if state.exists else {}
+    who = f"_client {kinds['_client']}, _endpoint {kinds['_endpoint']}"
+    counted = calls.mapInArrow(_calls, f"{who}, _allowed long, _start long, _end timestamp, _until long, _n long")
+    group = F.pmod(F.xxhash64("_client", "_endpoint"), F.lit(groups)).cast("int")
+    counted = counted.withColumn("_group", group).withWatermark("_end", late)
+    read = ["_client", "_endpoint", "_start", "_n", "_until", "_allowed"]
+
+    def track(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        counts: dict[tuple, tuple[int, int]] = {(c, e, s): (n, end) for c, e, s, n, end in zip(*state.get)} if state.exists else {}
         told = []
         for part in parts:
-            for start, n, end, allowed in zip(part["_start"], part["_n"], part["_end"], part["_allowed"]):
-                before, _ = counts.get(start, (0, 0))
-                counts[start] = [before + n, int(end.timestamp() * 1000)]
+            for who, where, start, n, end, allowed in zip(*(part[c].tolist() for c in read)):
+                before = counts.get((who, where, start), (0, 0))[0]
+                counts[who, where, start] = (before + n, end)
                 if before <= allowed < before + n:
-                    told.append((start, key[0], key[1], allowed))
+                    told.append((start, who, where, allowed))
         closed = state.getCurrentWatermarkMs()
-        counts = {s: v for s, v in counts.items() if v[1] > closed}
-        if counts:
-            state.update(([*counts], [n for n, _ in counts.values()], [end for _, end in counts.values()]))
-            state.setTimeoutTimestamp(min(end for _, end in counts.values()))
+        open_ = [(*at, n, end) for at, (n, end) in counts.items() if end > closed]
+        if open_:
+            state.update(tuple(list(c) for c in zip(*open_)))
+            state.setTimeoutTimestamp(min(row[-1] for row in open_))
         elif state.exists:
             state.remove()
         yield pd.DataFrame(told, columns=["_start", "_client", "_endpoint", "_allowed"])
 
-    alerts = counted.groupBy("_client", "_endpoint").applyInPandasWithState(
-        track, f"_start long, _client {kinds['_client']}, _endpoint {kinds['_endpoint']}, _allowed long",
-        "starts array<long>, counts array<long>, ends array<long>", "append", GroupStateTimeout.EventTimeTimeout,
+    alerts = counted.groupBy("_group").applyInPandasWithState(
+        track, f"_start long, {who}, _allowed long",
+        f"clients array<{kinds['_client']}>, endpoints array<{kinds['_endpoint']}>, starts array<long>, counts array<long>, ends array<long>",
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
     return alerts.select(
         F.timestamp_micros("_start").cast("timestamp_ntz").alias("window_start"),

@@ -171,6 +171,21 @@ def test_alerts_come_once_and_state_ends(spark, tmp_path):
     assert left == [2, 2, 2, 1, 1]
 
 
+def test_alerts_of_many_clients_share_few_states(spark, tmp_path):
+    """Sixty clients in four states: each client is counted for itself, over two starts."""
+    path, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for start in (0, 30):  # client i calls i times in all, half of them at each start
+        rows = [(f"2024-01-01 00:00:{start + k // 2:02d}", f"c{i}", "upload") for i in range(60) for k in range(i) if k % 2 == (start > 0)]
+        _calls(spark, rows).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("ts timestamp_ntz, client string, endpoint string").parquet(str(tmp_path / "in"))
+        alerts = monitor.breach_alerts(stream, "client", "endpoint", {"upload": 10}, "5 minutes", groups=4)
+        query = sink.write_batches(alerts, path, state, "append")
+        query.awaitTermination()
+        assert 1 <= query.lastProgress.stateOperators[0].numRowsTotal <= 4
+    told = spark.read.schema(alerts.schema).parquet(path).collect()
+    assert sorted(r.client for r in told) == sorted(f"c{i}" for i in range(11, 60))
+
+
 def test_final_windows_and_late_rows(spark, tmp_path):
     """What arrives is either in a final window, late, or in a window that is still open."""
     times = [["00:10", "03:00"], ["00:50", "02:10", "05:00"], ["02:20", "03:30", "05:10"], []]
