@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from corpusloom.functions.batches import cut
 from corpusloom.functions.vectors import DECIMALS
 from corpusloom.operators import joins
 from corpusloom.operators.embedding import terms
@@ -38,7 +39,7 @@ from corpusloom.session import spread, written
 
 SEGMENT = 1024  # documents
 BUCKETS = 32  # of terms
-HELD_BYTES = 32 << 20  # words that a task sorts at a time
+HELD_BYTES = 8 << 20  # words that a task sorts at a time; arrays of these take some twenty times as much
 WAVES = (8, 64)  # segments that a question scores before it rules others out, and then again
 _SLACK = 2 * 10.0**-DECIMALS  # bounds and scores are sums in different orders, and scores are rounded
 
@@ -94,7 +95,7 @@ def _invert(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         first += count
         return out
 
-    for batch in batches:
+    for batch in cut(batches, 1):
         if batch.num_rows:
             held.append(batch)
         if sum(b.nbytes for b in held) >= HELD_BYTES:
