@@ -181,8 +181,14 @@ def scraped_documents(spark, sf_dir):
     )
 
 
+def _large_files(docs) -> int:
+    """Number of large files that the documents go to: two splits of a scan for each, so that no task
+    writes a share that grows with the table."""
+    return max(3, docs.rdd.getNumPartitions() // 2)
+
+
 def _large_arrays(spark, sf_dir):
-    """All documents as a few JSON array files without a line end; some texts look like JSON."""
+    """All documents as large JSON array files without a line end; some texts look like JSON."""
     docs = documents(spark, sf_dir, "doc_id", "lang", "source")
     noise = F.when(F.col("lang") == "fr", F.concat(F.lit('{"a": "}, {\\" ['), "content")).otherwise(F.col("content"))
     rows = docs.select(F.to_json(F.struct(
@@ -200,7 +206,7 @@ def _large_arrays(spark, sf_dir):
         yield pa.RecordBatch.from_pydict({"value": pa.array(["]" if begun else "[]"])})
 
     path = scratch_path(spark, "arrays")
-    rows.coalesce(3).mapInArrow(laid_out, "value string").write.option("lineSep", " ").text(path)
+    rows.coalesce(_large_files(docs)).mapInArrow(laid_out, "value string").write.option("lineSep", " ").text(path)
     return path
 
 
@@ -218,7 +224,7 @@ def _large_table(spark, sf_dir):
     """All documents as CSV, with line ends, quotes and commas in the fields."""
     docs = documents(spark, sf_dir, "doc_id", "lang").withColumn("content", F.concat("content", F.lit('\n"quoted", and more\n')))
     path = scratch_path(spark, "table")
-    docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select("doc_id", "content", "lang").write.option(
+    docs.repartitionByRange(_large_files(docs), "doc_id").sortWithinPartitions("doc_id").select("doc_id", "content", "lang").write.option(
         "header", True
     ).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
