@@ -29,6 +29,7 @@ SAMPLE_ROWS = 20_000  # about so many vectors are fitted on
 ROUNDS = 12
 CANDIDATES = 10  # measured exactly, for each hit that is asked for
 _SLICE = 1 << 21  # question-by-row cells worked on at a time
+_TABLES = 256  # questions whose tables a task holds at a time
 
 
 @dataclass(frozen=True)
@@ -136,28 +137,29 @@ def _candidates(indexed: DataFrame, held: list, book: Book, probes: np.ndarray,
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, questions, book, probes = shared.value
         best = TopK(len(keys), k)
-        last, mine, tables = None, None, None
+        last, tables = None, None
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             ids = ids.astype(str) if ids.dtype == object else ids
             codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
             cells = batch.column(2).to_numpy()
             for cell in np.unique(cells).tolist():
-                if cell != last:
-                    mine = np.flatnonzero(probes[:, cell])
-                    last, tables = cell, book.tables(questions[mine], cell)
-                rows = np.flatnonzero(cells == cell)
-                step = max(1, _SLICE // max(1, len(mine)))
-                for at in range(0, len(rows), step):
-                    part = rows[at : at + step]
-                    cost = tables[:, 0, codes[part, 0]]
-                    for j in range(1, codes.shape[1]):
-                        cost += tables[:, j, codes[part, j]]
-                    limit = best.limit[mine]
-                    if len(part) > k:
-                        limit = np.minimum(limit, np.partition(cost, k - 1, axis=1)[:, k - 1])
-                    q, r = np.nonzero(cost <= limit[:, None])
-                    best.push(mine[q], cost[q, r], ids[part[r]])
+                rows, probing = np.flatnonzero(cells == cell), np.flatnonzero(probes[:, cell])
+                for first in range(0, len(probing), _TABLES):
+                    mine = probing[first : first + _TABLES]
+                    if (cell, first) != last:
+                        last, tables = (cell, first), book.tables(questions[mine], cell)
+                    step = max(1, _SLICE // len(mine))
+                    for at in range(0, len(rows), step):
+                        part = rows[at : at + step]
+                        cost = tables[:, 0, codes[part, 0]]
+                        for j in range(1, codes.shape[1]):
+                            cost += tables[:, j, codes[part, j]]
+                        limit = best.limit[mine]
+                        if len(part) > k:
+                            limit = np.minimum(limit, np.partition(cost, k - 1, axis=1)[:, k - 1])
+                        q, r = np.nonzero(cost <= limit[:, None])
+                        best.push(mine[q], cost[q, r], ids[part[r]])
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(best.columns(keys), types)], names=names)
 
     return indexed.where(F.col("cell").isin(wanted)).select(id_col, "code", "cell").mapInArrow(task, schema)
