@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from corpusloom import constants as C
+from corpusloom.functions.batches import cut
 from corpusloom.functions.predicates import cacheable_text
 from corpusloom.functions.text import embedding_key
 from corpusloom.functions.vectors import DECIMALS, TopK
@@ -72,7 +73,7 @@ def fit_vectoriser(corpus: DataFrame, text_col: str = "text", dim: int = C.EMBED
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, seen = _slots(dim), np.zeros(dim + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in cut(batches, 0):
             for words in batch.column(0).to_pylist():
                 seen[:dim] += slots.counts(words) > 0
             seen[dim] += batch.num_rows
@@ -251,7 +252,7 @@ def _score_block(docs, asked, k, id_col, text_col, query_id) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, postings = shared.value
         best = TopK(len(keys), k)
-        for batch in batches:
+        for batch in cut(batches, 1):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             ids = ids.astype(str) if ids.dtype == object else ids
             for at, scores in postings.scores(batch.column(1), len(keys)):
