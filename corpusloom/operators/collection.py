@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from corpusloom.operators import store
-from corpusloom.operators.joins import latest_per_key
+from corpusloom.operators.joins import small_side
 
 BUCKETS = 64
 
@@ -141,24 +141,84 @@ def beside(keys: DataFrame, path: str, key_col: str) -> DataFrame:
     return _read(spark, path, of, only).drop("bucket")
 
 
-def _write(spark: SparkSession, path: str, rows: DataFrame, old: Manifest, touched: list[int], tag: str | None) -> Manifest:
-    """Write the new rows of the touched buckets and publish the version that has them."""
-    number = old.version + 1
-    name = f"{number}-{uuid.uuid4().hex[:12]}"
-    dealt = rows.withColumn("bucket", bucket_of(old.key, old.buckets)).hint("rebalance", "bucket")
+def _next(old: Manifest) -> str:
+    """A name for the write of the next version."""
+    return f"{old.version + 1}-{uuid.uuid4().hex[:12]}"
+
+
+def _deal(rows: DataFrame, path: str, of: Manifest, name: str) -> list[int]:
+    """Write rows to the folder of a write, bucket by bucket; the buckets that got any."""
+    dealt = rows.withColumn("bucket", bucket_of(of.key, of.buckets)).hint("rebalance", "bucket")
     dealt.write.partitionBy("bucket").parquet(f"{path}/rows/write={name}")
-    fs, place = _fs(spark, f"{path}/rows/write={name}")
+    fs, place = _fs(rows.sparkSession, f"{path}/rows/write={name}")
     found = [f.getPath().getName() for f in fs.listStatus(place)]
-    filled = {int(n[7:]) for n in found if n.startswith("bucket=")}
+    return sorted(int(n[7:]) for n in found if n.startswith("bucket="))
+
+
+def _discard(spark: SparkSession, path: str, name: str) -> None:
+    fs, place = _fs(spark, f"{path}/rows/write={name}")
+    fs.delete(place, True)
+
+
+def _finish(
+    spark: SparkSession, path: str, old: Manifest, name: str, filled: list[int], touched: list[int], tag: str | None
+) -> Manifest:
+    """Publish the version whose touched buckets are those that a write has filled."""
     folders = {b: w for b, w in old.folders.items() if b not in touched} | {b: name for b in filled}
-    made = replace(old, version=number, folders=folders, tag=tag)
+    made = replace(old, version=old.version + 1, folders=folders, tag=tag)
     if filled and old.stats_by:
-        mine = _read(spark, path, made, sorted(filled))
+        mine = _read(spark, path, made, filled)
         partial_stats(mine, old.id_col, old.stats_by).write.parquet(f"{path}/stats/write={name}")
     _publish(spark, path, made)
     return made
 
 
+def _write(spark: SparkSession, path: str, rows: DataFrame, old: Manifest, touched: list[int], tag: str | None) -> Manifest:
+    """Write the new rows of the touched buckets and publish the version that has them."""
+    name = _next(old)
+    return _finish(spark, path, old, name, _deal(rows, path, old, name), touched, tag)
+
+
+def _apply(
+    new: DataFrame, path: str, old: Manifest, seq: Column, replace_document: bool = False,
+    version_col: str | None = None, tag: str | None = None,
+) -> Manifest | None:
+    """Write ``new`` over the version ``old``; none if there is nothing to write.
+
+    The rows are dealt to their buckets as they come. Where these hold nothing yet and no id comes
+    twice, that is the write already. Else it is merged with what the buckets hold, and goes. What
+    has to be left out or comes twice is found on keys alone, so rows move for it only if there is any.
+    """
+    spark, name = new.sparkSession, _next(old)
+    fields = StructType.fromJson(json.loads(old.schema)).fields
+    given = {c.lower() for c in new.columns}
+    columns = [(F.col(f.name) if f.name.lower() in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    chosen = new.select(*columns, seq.alias("_seq"))
+    touched = _deal(chosen, path, old, name)
+    if not touched:
+        _discard(spark, path, name)
+        return None
+    staged = replace(old, schema=chosen.schema.json(), folders={b: name for b in touched})
+    batch = _read(spark, path, staged).drop("bucket")
+    unique = batch.groupBy(old.id_col).count().where("count > 1").isEmpty()
+    if unique and not set(touched) & set(old.folders):
+        return _finish(spark, path, old, name, touched, touched, tag)
+    held = _read(spark, path, old, touched).drop("bucket")
+    if version_col:
+        stored = held.groupBy(F.col(old.key).alias("_stored")).agg(F.max(version_col).alias("_newest"))
+        offered = batch.select(F.col(old.key).alias("_key"), F.col(version_col).alias("_at")).distinct()
+        newer = F.col("_key").eqNullSafe(F.col("_stored")) & (F.col("_at") < F.col("_newest"))
+        outdated, count = small_side(offered.join(stored, newer, "left_semi"), "outdated")
+        if count:
+            same = batch[old.key].eqNullSafe(F.col("_key")) & (batch[version_col] == F.col("_at"))
+            batch = batch.join(outdated, same, "left_anti")
+    document = old.document_col if replace_document else None
+    rows = store.upsert(held, batch.drop("_seq") if unique else batch, old.id_col, None if unique else "_seq", document)
+    made = _write(spark, path, rows, old, touched, tag)
+    _discard(spark, path, name)
+    return made
+
+
 def create(
     rows: DataFrame, path: str, id_col: str = "id", document_col: str | None = None, buckets: int = BUCKETS,
     stats_by: tuple[str, ...] = (), seq_col: str | None = None,
@@ -172,10 +232,10 @@ def create(
         raise ValueError(f"names of the layout: {sorted(clash)}")
     if versions(spark, path):
         raise Conflict(f"there is a collection at {path}")
-    order = seq_col or "_seq"
-    once = latest_per_key(rows if seq_col else rows.withColumn(order, F.lit(0)), id_col, order).drop(order)
-    first = Manifest(0, buckets, id_col, document_col, once.schema.json(), stats_by=list(stats_by))
-    return _write(spark, path, once, first, list(range(buckets)), None)
+    schema = rows.drop(seq_col).schema if seq_col else rows.schema
+    first = Manifest(0, buckets, id_col, document_col, schema.json(), stats_by=list(stats_by))
+    made = _apply(rows, path, first, F.col(seq_col) if seq_col else F.lit(0))
+    return made or _finish(spark, path, first, _next(first), [], [], None)
 
 
 def upsert(
@@ -191,28 +251,12 @@ def upsert(
     changes nothing, so a repeated job does no harm. Columns that the collection lacks are
     dropped, those that ``new`` lacks are null. Nothing to write makes no version.
     """
-    spark = new.sparkSession
-    old = manifest(spark, path)
+    old = manifest(new.sparkSession, path)
     if tag is not None and old.tag == tag:
         return old
     if replace_document and not old.document_col:
         raise ValueError("the collection is not laid out by document")
-    schema = StructType.fromJson(json.loads(old.schema))
-    given = {c.lower() for c in new.columns}
-    columns = [
-        (F.col(f.name) if f.name.lower() in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
-    ]
-    batch = store.written_batch(new.select(*columns, F.col(seq_col).alias("_seq")))
-    touched = [r[0] for r in batch.select(bucket_of(old.key, old.buckets)).distinct().collect()]  # buckets at most
-    if not touched:
-        return old
-    held = _read(spark, path, old, touched).drop("bucket")
-    if version_col:
-        stored = held.groupBy(F.col(old.key).alias("_key")).agg(F.max(version_col).alias("_newest"))
-        newer = batch[old.key].eqNullSafe(F.col("_key")) & (batch[version_col] < F.col("_newest"))
-        batch = batch.join(stored, newer, "left_anti")
-    rows = store.upsert(held, batch, old.id_col, "_seq", old.document_col if replace_document else None)
-    return _write(spark, path, rows, old, touched, tag)
+    return _apply(new, path, old, F.col(seq_col), replace_document, version_col, tag) or old
 
 
 def layout(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:

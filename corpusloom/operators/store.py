@@ -23,13 +23,13 @@ def upsert(
     existing: DataFrame,
     new: DataFrame,
     id_col: str = "id",
-    seq_col: str = "seq",
+    seq_col: str | None = "seq",
     document_col: str | None = None,
 ) -> DataFrame:
     """Rows of ``existing`` replaced and extended by ``new``, unique by id; the last write of an
-    id within the batch wins. With ``document_col`` the rows a document had before are dropped
+    id within the batch wins (without ``seq_col`` no id comes twice). With ``document_col`` the rows a document had before are dropped
     first, so that a shorter new version leaves none behind."""
-    last = latest_per_key(new, id_col, seq_col).drop(seq_col)
+    last = latest_per_key(new, id_col, seq_col).drop(seq_col) if seq_col else new
     names = [id_col, document_col] if document_col else [id_col]
     keys, count = small_side(new.select(*names).distinct(), "upsert-keys")
     kept = existing

@@ -12,6 +12,7 @@ from corpusloom import constants as C
 from corpusloom.functions.text import clean_text, upload_id
 from corpusloom.operators import collection, store
 from corpusloom.operators.chunking import chunk_documents
+from corpusloom.operators.joins import small_side
 from corpusloom.session import written
 from corpusloom.sources import files as sources
 from corpusloom.sources.files import extract
@@ -67,12 +68,14 @@ def ingest_uploads(
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        gated = sources.gate(batch).withColumns({
+        given = sources.gate(batch).withColumns({
             "digest": F.sha2("content", 256), "made": F.col("modificationTime"), "title": sources.base_name(F.col("path")),
         })
-        gated = written(sources.latest_named(gated.where("problem IS NULL")).unionByName(
-            gated.where("problem IS NOT NULL").withColumn("superseded", F.lit(False))
-        ), "uploads")
+        # Judged by names, times and digests; contents are read again for the files that are taken.
+        narrow = written(given.drop("content", "length"), "uploads")
+        gated = sources.latest_named(narrow.where("problem IS NULL")).unionByName(
+            narrow.where("problem IS NOT NULL").withColumn("superseded", F.lit(False))
+        )
         fresh = gated.where("problem IS NULL AND NOT superseded")
         if collection.versions(spark, path):
             held = collection.beside(fresh, path, "title").groupBy("title").agg(
@@ -85,21 +88,28 @@ def ingest_uploads(
             .when(F.col("digest") == F.col("_digest"), "known").when(F.col("made") < F.col("_newest"), "older")
         )
         judged = written(gated.join(held, "title", "left").withColumn("outcome", state).drop("_digest", "_newest"), "judged")
-        report = written(extract(judged.where("outcome IS NULL").drop("problem", "superseded", "outcome", "title")), "extracted")
+        taken, others = judged.where("outcome IS NULL"), judged.where("outcome IS NOT NULL")
+        contents = given.drop("problem", "title")
+        report = extract(_of_files(contents, taken, others))
         docs = report.where("success").select(
             F.col("filename").alias("title"), "content", "file_type", F.lit(source).alias("source"),
             F.col("made").alias("upload_timestamp"), "digest",
         )
         rows = document_chunks(docs).withColumn("seq", F.lit(0))
-        rows = written(store.cleaned(vectoriser(rows) if vectoriser else rows), "chunks")
+        rows = store.cleaned(vectoriser(rows) if vectoriser else rows)
         if not collection.versions(spark, path):
             collection.create(rows.drop("seq").limit(0), path, document_col="title", buckets=buckets)
         collection.upsert(rows, path, replace_document=True, version_col="upload_timestamp", tag=f"{checkpoint}:{number}")
-        chunks = rows.groupBy("title").agg(F.count("*").alias("chunks"))
-        done = report.select(F.col("filename").alias("title"), "error").join(chunks, "title", "left")
-        done = done.withColumn("outcome", F.coalesce("error", F.when(F.col("chunks") > 0, "stored").otherwise("empty")))
-        others = judged.where("outcome IS NOT NULL").select("title", "outcome", F.lit(None).cast("long").alias("chunks"))
-        both = done.select("title", "outcome", "chunks").unionByName(others)
+        mine = ["title", "digest"]  # not known before, so what the collection has of it is of this batch
+        chunks = collection.beside(taken, path, "title").groupBy(*mine).agg(F.count("*").alias("chunks"))
+        done = written(taken.join(chunks, mine, "left"), "done")
+        # Only files without a chunk are extracted again, for their errors.
+        bare, full = done.where("chunks IS NULL"), done.where("chunks IS NOT NULL")
+        failed = extract(_of_files(contents, bare, full.unionByName(others, allowMissingColumns=True))).select(
+            F.lit(None).cast("long").alias("chunks"), F.col("filename").alias("title"), F.coalesce("error", F.lit("empty")).alias("outcome")
+        )
+        both = full.withColumn("outcome", F.lit("stored")).select("title", "outcome", "chunks").unionByName(failed, allowMissingColumns=True)
+        both = both.unionByName(others.select("title", "outcome"), allowMissingColumns=True)
         both.write.mode("overwrite").parquet(f"{path}-reports/batch={number}")
 
     return (
@@ -108,6 +118,18 @@ def ingest_uploads(
     )
 
 
+def _of_files(contents: DataFrame, taken: DataFrame, others: DataFrame) -> DataFrame:
+    """Files with contents that are among the taken ones; all others are given, too. The shorter list
+    goes out to where the contents are, and none if there are no others."""
+    few, how = (others, "left_anti") if others.count() <= taken.count() else (taken, "left_semi")
+    keys = ("path", "made", "digest")
+    side, count = small_side(few.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct(), "files")
+    if not count:
+        return contents if how == "left_anti" else contents.limit(0)
+    same = [contents[k].eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return contents.join(side, same[0] & same[1] & same[2], how)
+
+
 def upload_reports(spark: SparkSession, path: str) -> DataFrame:
     """batch, title, outcome and chunks of every file that has come in."""
     return spark.read.schema("title string, outcome string, chunks long, batch long").parquet(f"{path}-reports")

@@ -120,3 +120,16 @@ def test_statistics_merge(spark, stored):
     assert {k: v[0] for k, v in got.items()} == want
     assert all(abs(ids - rows) <= 0.05 * rows for rows, ids in got.values())
     assert all("/stats/" in f for f in stats.inputFiles())
+
+
+def test_rows_of_empty_buckets_are_written_once(spark, tmp_path):
+    """No second copy of the rows stays or was published; ids that come twice are settled all the same."""
+    path = str(tmp_path / "c")
+    rows = spark.createDataFrame([(i % 8, f"v{i}", i) for i in range(12)], "id long, content string, seq int")
+    collection.create(rows, path, seq_col="seq")
+    want = {i: f"v{i + 8 if i < 4 else i}" for i in range(8)}
+    assert {r.id: r.content for r in collection.read(spark, path).collect()} == want
+    assert len(os.listdir(f"{path}/rows")) == 1
+    made = collection.upsert(spark.createDataFrame([(i, "x", 1) for i in range(100, 104)], "id long, content string, seq int"), path)
+    assert made.version == 2 and collection.read(spark, path).count() == 12
+    assert {w for w in os.listdir(f"{path}/rows")} == {f"write={w}" for w in made.folders.values()}

@@ -256,3 +256,26 @@ def test_a_repeated_upload_batch_changes_nothing(spark, tmp_path):
     run()
     assert collection.versions(spark, path) == before
     assert [r.content for r in collection.read(spark, path).collect()] == ["first text"]
+
+
+def test_contents_of_uploads_are_not_kept_on_the_way(spark, tmp_path):
+    """Only names, times and digests go to scratch tables: contents go once, to the collection."""
+    import os
+    import random
+
+    from corpusloom import session
+    from corpusloom.operators import collection
+
+    def size(folder):
+        return sum(os.path.getsize(os.path.join(at, n)) for at, _, names in os.walk(folder) for n in names)
+
+    path, root, pick = str(tmp_path / "stored"), tmp_path / "in", random.Random(5)
+    root.mkdir()
+    for i in range(4):
+        (root / f"{i}.txt").write_text(" ".join(f"{pick.getrandbits(64):x}" for _ in range(15_000)))
+    scratch = session.own_scratch(spark).removeprefix("file:")
+    before = size(scratch)
+    ingest.ingest_uploads(ingest.upload_stream(spark, str(root)), path, str(tmp_path / "state"), buckets=4).awaitTermination()
+    assert size(scratch) - before < 100_000 < 500_000 < size(f"{path}/rows")
+    assert {r.outcome for r in ingest.upload_reports(spark, path).collect()} == {"stored"}
+    assert collection.read(spark, path).select("title").distinct().count() == 4
