@@ -148,14 +148,20 @@ def cap_chunks(chunks: DataFrame, limit: int = C.MAX_CHUNKS_PER_DOCUMENT) -> Dat
 
 
 def _segments(text: Column) -> Column:
-    """Fences and what stands between them, alternating, by matches and not by marks in the text:
-    every character is in one segment. Between two fences there is a segment, if an empty one."""
-    pattern = F.lit(f"({C.FENCE_PATTERN})")
-    fences = F.regexp_extract_all(text, pattern, F.lit(1))
-    between = F.split(text, C.FENCE_PATTERN, -1)
-    count = F.size(fences)
-    mixed = F.zip_with(between, fences, lambda b, f: F.array(b, f))
-    return F.filter(F.flatten(F.when(count > 0, mixed).otherwise(F.array(F.array(text)))), lambda s: s.isNotNull())
+    """Fences and what stands between them, alternating: a mark opens a fence and the next one closes
+    it, so every character is in one segment. Between two fences there is a segment, if an empty one."""
+    mark = F.lit(C.FENCE)
+
+    def segments(parts: Column) -> Column:
+        count = F.size(parts)  # odd if every mark has its partner; a last one without is text
+        return F.transform(
+            F.slice(parts, 1, count - 1 + count % 2),
+            lambda p, i: F.when(i % 2 == 1, F.concat(mark, p, mark))
+            .when(i + 2 == count, F.concat(p, mark, F.get(parts, count - 1))).otherwise(p),
+        )
+
+    # As the element of an array the parts have a name, and a text is split once.
+    return F.get(F.transform(F.array(F.split(text, C.FENCE, -1)), segments), F.lit(0))
 
 
 def fence_segments(docs: DataFrame, text_col: str = "content") -> DataFrame:

@@ -212,3 +212,23 @@ def test_control_characters_stay_in_segments_and_sections(spark):
     sections = chunking.header_sections(docs).orderBy("no_1").collect()
     assert [r.section for r in sections] == ["a\x01b\x02# c\n\x02# d\n```\n# x\x01\n\x02# y\n```", "\x01z"]
     assert sections[1].header_1 == "H\x02"
+
+
+def test_fence_segments_split_a_text_once(spark):
+    """By literal marks, with the result of matching the pattern over and over."""
+    import random
+
+    pick = random.Random(3)
+    texts = ["".join(pick.choices(["`", "``", "```", "a", "\n", "é"], k=pick.randrange(14))) for _ in range(400)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    out = chunking.fence_segments(docs)
+    got = sorted((r.id, r.segment_no, r.kind, r.segment) for r in out.collect())
+    want = []
+    for i, text in enumerate(texts):
+        parts = re.split(f"({C.FENCE_PATTERN})", text) if text else []
+        want += [(i, n, "code" if p.startswith(C.FENCE) else "text", p) for n, p in enumerate(parts) if p]
+    assert got == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "regexp" not in plan
+    shown = chunking.header_sections(docs.where(F.col("id") < 5))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in shown
